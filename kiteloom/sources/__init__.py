@@ -1,0 +1 @@
+"""Sources of the library; see README.md for the map."""

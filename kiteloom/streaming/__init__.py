@@ -1,0 +1 @@
+"""Streaming of the library; see README.md for the map."""

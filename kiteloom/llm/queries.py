@@ -2,17 +2,47 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiteloom.llm import quality_rules, sharding, url_filters
+from kiteloom.llm import bpe, chat, media, near_dedup, packing, quality_rules, sharding, substring_dedup, toxicity, url_filters
 from kiteloom.llm.common import table
+from kiteloom.llm.oracles import ORACLE_SQL  # noqa: F401
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: A conversation of control strings, which the formatting must keep apart from its own.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, ids=False)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_events(chat.events_of(rows.unionByName(probe))))
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -23,5 +53,18 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op7_histogram_sharding, op8_url_filters)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.columns(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_substring_dedup, op5_chat_formatting,
+        op6_minhash_near_dedup, op7_histogram_sharding, op8_url_filters, op9_media_chunks, op10_best_fit_packing,
+    )
+}

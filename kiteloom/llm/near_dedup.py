@@ -99,7 +99,7 @@ def _survey(n: int):
                 for k in range(len(w)):
                     s = shingles(w, k, n)
                     sizes.append(len(s))
-                    keys.append(np.array([W.mix(s.sum(dtype=np.uint64)), W.mix(W.mix(s).sum(dtype=np.uint64))], "<u8").tobytes())
+                    keys.append(W.mix(np.array([s.sum(dtype=np.uint64), W.mix(s).sum(dtype=np.uint64)], "<u8")).tobytes())
                     found.append(bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(

@@ -212,5 +212,18 @@ def removals(docs: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFra
     return told.mapInArrow(_remove(span), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
 
 
+def apply(docs: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+    """``docs`` with the kept words as text and, if it is a column, n_chars of that text.
+
+    Texts are joined back by doc_id, so rows that share one take each other's place:
+    give rows ids of their own first.
+    """
+    kept = removals(docs, span, phrase).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("kept").cast("string").alias("cut_text"))
+    joined = docs.join(kept.dropDuplicates(["cut_id"]), docs["doc_id"] == F.col("cut_id"), "left")
+    text = F.coalesce(F.col("cut_text"), docs["text"])
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+
+
 def report(docs: DataFrame) -> DataFrame:
     return removals(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -38,6 +38,7 @@ from kiteloom.llm.common import small_batches
 SAMPLE = (3000, 9000)
 TERMS = 1200
 LEAST_TEXTS = 4
+LEAST_G2 = 15.0
 MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Identity terms, in groups whose members may stand for each other.
@@ -139,11 +140,20 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_terms(counted: DataFrame, n_bad: int, n_good: int, most: int = TERMS) -> list[str]:
-    """The ``most`` features with the largest log-odds ratio in standard errors."""
+    """The ``most`` features whose presence tells most about the label, by likelihood ratio."""
     rates = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") + F.col("good") >= LEAST_TEXTS)
-    odds = lambda k, n: F.log((F.col(k) + 0.5) / (n - F.col(k) + 0.5))
-    error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5) + 1 / (n_bad - F.col("bad") + 0.5) + 1 / (n_good - F.col("good") + 0.5))
-    told = rates.withColumn("z", F.abs(odds("bad", n_bad) - odds("good", n_good)) / error).filter("z > 4")
+    share = F.lit(n_bad / (n_bad + n_good))
+    seen = F.col("bad") + F.col("good")
+
+    def part(k: F.Column, expected: F.Column) -> F.Column:
+        return F.when(k > 0, k * F.log(k / expected)).otherwise(F.lit(0.0))
+
+    total = n_bad + n_good
+    g2 = 2 * (
+        part(F.col("bad"), seen * share) + part(F.col("good"), seen * (1 - share))
+        + part(n_bad - F.col("bad"), (total - seen) * share) + part(n_good - F.col("good"), (total - seen) * (1 - share))
+    )
+    told = rates.withColumn("z", g2).filter(F.col("z") > LEAST_G2)
     return [r["term"] for r in told.orderBy(F.desc("z"), "term").limit(most).collect()]
 
 

@@ -155,10 +155,9 @@ def sequence_keys(w: Words) -> list[bytes]:
     out = []
     for i in range(len(w)):
         h = w.hashes[w.first[i] : w.first[i + 1]]
-        n = np.uint64(len(h))
-        a = (h * up_a[: len(h)]).sum(dtype=np.uint64) + n
-        b = (mix(h) * up_b[: len(h)]).sum(dtype=np.uint64) + n
-        out.append(np.array([mix(a), mix(b)], "<u8").tobytes())
+        a = (h * up_a[: len(h)]).sum(dtype=np.uint64)
+        b = (mix(h) * up_b[: len(h)]).sum(dtype=np.uint64)
+        out.append(mix(np.array([a, b], "<u8")).tobytes())
     return out
 
 

@@ -172,7 +172,8 @@ def reject(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that every rule keeps, with their own columns only."""
     # the row is packed first, so that measures can't clash with its columns
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    return judge(packed, rules).filter("kept").select("row.*")
+    # a filter on kept would be pushed below and repeat every measure; a generator stays above
+    return judge(packed, rules).select(F.inline(F.when(F.col("kept"), F.array("row"))))
 
 
 RESULT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")

@@ -34,3 +34,38 @@ def corpus_health(
         "flagged",
         (hits / total > DAMAGE_LIMIT) | (F.col(fragments) / total > FRAGMENT_LIMIT),
     )
+
+
+def bucket_medians(df: DataFrame, bucket: str, value: Column, count: bool = False) -> DataFrame:
+    """Median (cut to an integer) of the parsed values per bucket; blank buckets are "(none)".
+
+    Rows without a value are left out.
+    """
+    name = F.when(F.trim(F.coalesce(F.col(bucket).cast("string"), F.lit(""))) == "", "(none)").otherwise(F.col(bucket).cast("string"))
+    rows = df.select(name.alias("bucket"), value.alias("v")).filter("v IS NOT NULL")
+    return rows.groupBy("bucket").agg(F.median("v").cast("long").alias("median"), *[F.count(F.lit(1)).alias("n")] * count)
+
+
+def engagement(*parts: Column) -> Column:
+    """Sum of the parts with null as 0; null only where all are null."""
+    none = parts[0].isNull()
+    for p in parts[1:]:
+        none &= p.isNull()
+    total = F.lit(0)
+    for p in parts:
+        total = total + F.coalesce(p, F.lit(0))
+    return F.when(~none, total)
+
+
+def share_against_target(df: DataFrame, by: str, targets: DataFrame, slack: float = 0.10) -> DataFrame:
+    """Count and share of each value, its target, and whether it is off by over ``slack``."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    both = counts.join(targets, by, "full_outer").crossJoin(F.broadcast(total))
+    share = F.coalesce("n", F.lit(0)) / F.greatest(F.col("total"), F.lit(1))
+    return both.select(by, F.coalesce("n", F.lit(0)).alias("n"), share.alias("share"), "target", (F.abs(share - F.col("target")) > slack).alias("off_target"))
+
+
+def safe_ratio(n: Column, d: Column) -> Column:
+    """n / d, and 0 where d is 0 or null."""
+    return F.when(F.coalesce(d, F.lit(0)) == 0, F.lit(0.0)).otherwise(n / d)

@@ -2,8 +2,9 @@
 
 
 def FAMILIES():
-    """The query families, imported late so that an operator can be used alone."""
+    """The query families of this package, imported late so that an operator can be used alone."""
     import importlib
+    import pkgutil
 
-    names = ["aggregate_queries"]
-    return [importlib.import_module(f"kiteloom.plans.{n}").FAMILY for n in names]
+    names = sorted(m.name for m in pkgutil.iter_modules(__path__) if m.name.endswith("_queries"))
+    return [importlib.import_module(f"{__name__}.{n}").FAMILY for n in names]

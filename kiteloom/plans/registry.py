@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kiteloom.sources.tables import table
+
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -29,6 +33,18 @@ class Family:
 
         return keep
 
+    def sql(self, name: str, text: str, oracle: str | None = None) -> None:
+        """Register a query in Spark SQL; where both dialects agree, its text is the oracle too."""
+        used = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            for t in used:
+                table(spark, sf_dir, t).createOrReplaceTempView(t)
+            return spark.sql(text)
+
+        run.__name__ = name
+        self.add(name, oracle or text)(run)
+
 
 def families() -> list[Family]:
     from kiteloom.plans import FAMILIES

@@ -31,7 +31,7 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
     """
     have = set(rows.columns)
     out = rows.select(*[(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(c) for c in columns])
-    out.write.mode("overwrite").csv(path, header=True, emptyValue="")
+    out.write.mode("overwrite").csv(path, header=True, emptyValue="", escape='"')
 
 
 def write_pages(rows: DataFrame, send: Callable[[list[dict]], None], size: int = 500) -> None:

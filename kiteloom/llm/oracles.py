@@ -1,3 +1,105 @@
 """Oracle SQL of the training-data queries that SQL can express."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from kiteloom.llm.quality_rules import RULES, STOP_WORDS
+from kiteloom.llm.url_filters import TWO_LABEL_SUFFIXES
+from kiteloom.llm.url_filters import RULES as URL_RULES
+
+#: Runs of characters outside the six word separators, as a list.
+_WORDS = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _count(chars: str) -> str:
+    return f"length(coalesce(text, '')) - length(translate(coalesce(text, ''), '{chars}', ''))"
+
+
+def _quality() -> str:
+    cases = [f"CASE WHEN {r.numerator} {r.op} {float(r.limit)!r}::DOUBLE * {r.denominator or 1} THEN '{r.name}' END" for r in RULES]
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    return f"""
+    WITH d AS (SELECT doc_id, text, {_WORDS.format('text')} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+    win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+    rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM twice, range(3) t(k)) GROUP BY doc_id),
+    m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, {_count('#*$%&|<>')} AS n_symbols,
+        {_count('!')} AS n_marks, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        len(list_filter(l, lambda x: regexp_matches(x, '^[\\x20\\x09]*[-*•]'))) AS n_bullet_lines,
+        len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09\\r]*$'))) AS n_ellipsis_lines,
+        len(list_filter(list_distinct(w), lambda x: x IN ({stop}))) AS n_stop_words, coalesce(rep.n, 0) AS n_repeat_words
+        FROM d LEFT JOIN rep USING (doc_id)),
+    j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL) AS failed_rules FROM m)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed_rules) = 0 AS kept, failed_rules FROM j
+    """
+
+
+_SUBSTRINGS = f"""
+    WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+    cut AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE least < doc_id),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM cut) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+        sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, n: NOT list_contains(gone, n)) END, ' ')) AS kept_sha256
+    FROM d LEFT JOIN gone USING (doc_id)
+    """
+
+_ESCAPED = "replace(replace(replace(replace(replace(replace(replace({}, '\\', '\\\\'), '</s>', '\\e'), '<s>', '\\b'), '[/INST]', '\\c'), '[INST]', '\\o'), '<<SYS>>', '\\y'), '<</SYS>>', '\\z')"
+_CHAT = f"""
+    WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -1, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(length('<s>[INST][/INST]</s>') + 1 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id
+    """
+
+_NEAR = f"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+        UNION SELECT doc_id, md5(array_to_string(w, ' ')) FROM d WHERE len(w) BETWEEN 1 AND 2),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+    e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.low AS component_id, m.low = d.doc_id AS kept
+    FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(low) AS low FROM r GROUP BY node) m ON m.node = d.doc_id
+    """
+
+
+def _urls(z: float = 1.645, least: float = 2.0, most: float = 200.0, max_bad: float = 0.5) -> str:
+    suffixes = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
+    ordered = sorted(URL_RULES, key=lambda r: (-len(r.rule), r.rule))
+    fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in ordered]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{r.rule}'" for f, r in zip(fits, ordered, strict=True)) + " END"
+    told = "CASE rule " + " ".join(f"WHEN '{r.rule}' THEN '{r.verdict}'" for r in ordered) + " END"
+
+    def strength(groups: str) -> str:
+        return f"""(SELECT least(greatest(coalesce(CASE WHEN k > 1 AND n > k AND n * n > nn THEN CASE WHEN between_ > 0 THEN p * (1 - p) / between_ - 1 ELSE {most} END END, {least}), {least}), {most}) FROM
+            (SELECT *, (sq - n * p * p - (k - 1) * p * (1 - p)) / (n - nn / n) AS between_ FROM (SELECT count(*)::DOUBLE AS k, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE / sum(n) AS p, sum(n * (bad / n::DOUBLE) * (bad / n::DOUBLE)) AS sq, sum(n * n)::DOUBLE AS nn FROM {groups} WHERE n > 0)))"""
+
+    return f"""
+    WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+    h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+    h1 AS (SELECT *, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({suffixes}) THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix FROM h0),
+    h AS (SELECT *, CASE WHEN length(host) <= length(suffix) THEN host ELSE string_split(host[:length(host) - length(suffix) - 1], '.')[-1] || '.' || suffix END AS domain FROM h1),
+    d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
+    a AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2)::DOUBLE AS mean FROM s),
+    ks AS (SELECT {strength('s')} AS k), kd AS (SELECT {strength('d')} AS k), kh AS (SELECT {strength('h')} AS k),
+    ps AS (SELECT suffix, (mean * k + bad) / (k + n) AS mean FROM s, a, ks), pd AS (SELECT domain, (ps.mean * k + bad) / (k + n) AS mean FROM d JOIN ps USING (suffix), kd),
+    ph AS (SELECT host, (pd.mean * k + bad) / (k + n) AS post_mean, k + n AS total FROM h JOIN pd USING (domain), kh),
+    v AS (SELECT p.*, {rule} AS rule, post_mean, greatest(post_mean - {z} * sqrt(post_mean * (1 - post_mean) / (total + 1)), 0.0) AS lower_bound FROM p JOIN ph USING (host))
+    SELECT page_id, host, path, rule, coalesce({told}, CASE WHEN lower_bound > {max_bad} THEN 'block' ELSE 'allow' END) AS verdict FROM v
+    """
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": _quality(),
+    "op4_substring_dedup": _SUBSTRINGS,
+    "op5_chat_formatting": _CHAT,
+    "op6_minhash_near_dedup": _NEAR,
+    "op8_url_filters": _urls(),
+}

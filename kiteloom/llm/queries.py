@@ -50,7 +50,8 @@ def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
-    return url_filters.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+    judged = url_filters.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from kiteloom.llm.common import small_batches, stage
 
 CAPACITY = 1024
 END_ID = 2
-SALTS = 256
+SALTS = 64
 MEMO = 400_000
 #: The byte-level pattern of the vocabulary, whose matches are merged separately.
 #: Beyond these characters the tokenizer splits whole texts itself, by its own Unicode tables.

@@ -1,9 +1,9 @@
 """MinHash near-dedup with fast similarity sketches, banding and exact verification.
 
-Sketch: in round i < t each shingle is thrown into one of t bins by a fresh hash; in
-round t + i all shingles are thrown into bin i. A bin keeps the least (round, value)
-it gets, so every coordinate is filled after 2t rounds at most, and one or two rounds
-fill them all for sets of a few times t shingles. Equal coordinates of two sketches
+Sketch: in each of the first rounds every shingle is thrown into one of t bins by a
+fresh hash; then follows a round for each bin, in which all shingles go to that bin. A
+bin keeps the least (round, value) it gets, so every coordinate is filled for sure, and
+a few rounds fill them all for sets of about t shingles or more. Equal coordinates of two sketches
 estimate the similarity of the sets with the concentration of independent hashes.
 
 Documents with equal shingle sets form a class, represented by its least id. Bands
@@ -38,9 +38,11 @@ from pyspark.sql.window import Window
 from kiteloom.llm import words as W
 from kiteloom.llm.common import small_batches, stage
 
-COORDINATES = 128
-#: A pair at the threshold 0.85 misses all 25 bands of 5 with probability 4e-7.
-ROWS = 5
+COORDINATES = 512
+#: A pair at the threshold 0.85 misses all 56 bands of 9 with probability 4e-7; one at 0.3 meets in one with 0.001.
+ROWS = 9
+#: Rounds with random bins; what is left then is filled bin by bin, for every set alike.
+ROUNDS = 32
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 85, 100
 _RNG = np.random.default_rng(97)
@@ -60,7 +62,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
     """The fast similarity sketch of a non-empty set of 64-bit hashes."""
     out = np.zeros(COORDINATES, np.uint64)
     free = np.ones(COORDINATES, bool)
-    for i in range(COORDINATES):
+    for i in range(ROUNDS):
         # the top bits are the bin, the rest is the value: after sorting, a bin's first is its least
         h = np.sort(W.mix(items * SEEDS[i] + SEEDS[-1 - i]))
         bins = (h >> np.uint64(64 - BITS)).astype(np.int64)
@@ -72,10 +74,8 @@ def sketch(items: np.ndarray) -> np.ndarray:
         free[at[new]] = False
         if not free.any():
             return out
-        if 4 * (i + 1) > COORDINATES:  # what is left is filled one bin at a time
-            break
-    for b in np.flatnonzero(free):
-        out[b] = W.mix(items * SEEDS[COORDINATES + b] + np.uint64(b)).min()
+    rest = np.flatnonzero(free)
+    out[rest] = W.mix(items[None, :] * SEEDS[COORDINATES + rest][:, None] + rest.astype(np.uint64)[:, None]).min(axis=1)
     return out
 
 
@@ -148,29 +148,36 @@ def _verify(n: int, numerator: int, denominator: int):
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
-    """(id, component): the least id that each of ``nodes`` reaches over ``links`` (a, b).
+def components(label: DataFrame, links: DataFrame, name: str = "components") -> DataFrame:
+    """``label`` (id, component) with the components that ``links`` (a, b) join made one.
 
-    Each round hooks every component to the least neighbouring one and then follows
-    these pointers to their end, so chains shrink by far more than a step a round.
+    A component is named by its least id. Each round hooks every component to the least
+    neighbouring one and follows these pointers to their end, so that chains shrink by
+    far more than a step a round. Links are contracted to their components as it goes.
     """
-    label = stage(nodes.select("id", F.col("id").alias("component")), name)
-    edges = links.select("a", "b")
+    named = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    edges = links.join(named("a"), "a").join(named("b"), "b").filter("ca <> cb").select(F.greatest("ca", "cb").alias("high"), F.least("ca", "cb").alias("low"))
+    edges = stage(edges.distinct(), "edges")
+    if edges.isEmpty():
+        return label
+    moves = None  # component -> the one it has become part of
     while True:
-        ends = edges.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
-        ends = ends.join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").filter("ca <> cb")
-        hook = ends.select(F.greatest("ca", "cb").alias("component"), F.least("ca", "cb").alias("to"))
-        hook = stage(hook.groupBy("component").agg(F.min("to").alias("to")), "hooks")
-        if hook.isEmpty():
-            return label
+        hook = stage(edges.groupBy("high").agg(F.min("low").alias("low")), "hooks")
         while True:  # pointers go down, so this ends
-            onward = hook.select(F.col("component").alias("to"), F.col("to").alias("next"))
-            jumped = stage(hook.join(onward, "to", "left").select("component", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "hooks")
-            moved = not jumped.filter("moved").isEmpty()
-            hook = jumped.select("component", "to")
-            if not moved:
+            onward = hook.select(F.col("high").alias("low"), F.col("low").alias("next"))
+            jumped = stage(hook.join(onward, "low", "left").select("high", F.coalesce("next", "low").alias("low"), F.col("next").isNotNull().alias("moved")), "hooks")
+            hook = jumped.select("high", "low")
+            if jumped.filter("moved").isEmpty():
                 break
-        label = stage(label.join(hook, "component", "left").select("id", F.coalesce("to", "component").alias("component")), name)
+        to = hook.select(F.col("high").alias("was"), F.col("low").alias("now"))
+        moves = hook if moves is None else moves.join(to, moves["low"] == to["was"], "left").select("high", F.coalesce("now", "low").alias("low")).unionByName(hook)
+        over = edges.join(to, edges["high"] == to["was"], "left").select(F.coalesce("now", "high").alias("x"), "low")
+        over = over.join(to, over["low"] == to["was"], "left").select("x", F.coalesce("now", "low").alias("y")).filter("x <> y")
+        edges = stage(over.select(F.greatest("x", "y").alias("high"), F.least("x", "y").alias("low")).distinct(), "edges")
+        if edges.isEmpty():
+            break
+    moves = moves.select(F.col("high").alias("component"), F.col("low").alias("to"))
+    return stage(label.join(moves, "component", "left").select("id", F.coalesce("to", "component").alias("component")), name)
 
 
 def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -183,8 +190,8 @@ def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denom
 
     # one representative a set, and a bucket a band that two or more of them share
     first = full.join(represent.select("key", F.col("least").alias("doc_id")), ["key", "doc_id"])
-    entries = first.select("doc_id", F.explode("bands").alias("bucket")).distinct()
-    crowded = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
+    entries = first.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
+    crowded = entries.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("bucket")
     members = stage(entries.join(crowded, "bucket"), "buckets")
     packed = texts.mapInArrow(_pack, "doc_id long, z binary")
     met = members.select("doc_id").distinct()
@@ -192,8 +199,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denom
 
     # equal sets and equal ids are links without a comparison
     same = full.join(represent.filter("least < most"), "key").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
-    nodes = stage(met.select(F.col("doc_id").alias("id")), "nodes")
-    label = nodes.select("id", F.col("id").alias("component"))
+    label = stage(met.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")), "components")
     links, centres = None, 1
     while True:
         known = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id")
@@ -201,31 +207,32 @@ def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denom
         left = stage(known.join(spread.select("bucket"), "bucket"), "left")
         if left.isEmpty():
             break
-        # centres: members of the bucket's smallest components, the least by hash first
-        sizes = left.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        ranked = left.join(sizes, ["bucket", "component"])
         if centres == 1:
             chosen = left.groupBy("bucket").agg(F.min("doc_id").alias("centre"))
-        else:
+        else:  # of the bucket's smallest components first, so that a large one is met by few
+            sizes = left.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
             inside = Window.partitionBy("bucket").orderBy("size", F.xxhash64("doc_id"), "doc_id")
-            chosen = ranked.withColumn("at", F.row_number().over(inside)).filter(F.col("at") <= centres)
-            chosen = chosen.select("bucket", F.col("doc_id").alias("centre"))
+            chosen = left.join(sizes, ["bucket", "component"]).withColumn("at", F.row_number().over(inside)).filter(F.col("at") <= centres)
+            chosen = chosen.select("bucket", F.col("doc_id").alias("centre")).distinct()
         centre = stage(chosen, "centres")
-        of = centre.join(left.select("bucket", F.col("doc_id").alias("centre"), F.col("component").alias("own")), ["bucket", "centre"])
-        pairs = left.join(of, "bucket").filter("component <> own")
+        of = centre.join(left.select("bucket", F.col("doc_id").alias("centre"), F.col("component").alias("own"), F.col("n_shingles").alias("size")), ["bucket", "centre"])
+        # sets whose sizes are too far apart can't be similar enough
+        near = F.least("size", "n_shingles") * denominator >= F.greatest("size", "n_shingles") * numerator
+        pairs = left.join(of, "bucket").filter((F.col("component") != F.col("own")) & near)
         pairs = pairs.select(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).distinct()
         both = pairs.join(bodies.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
         both = both.join(bodies.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b").select("a", "b", "za", "zb")
         found = stage(both.mapInArrow(_verify(n, numerator, denominator), "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
-        members = stage(left.select("bucket", "doc_id").join(centre.withColumnRenamed("centre", "doc_id"), ["bucket", "doc_id"], "left_anti"), "buckets")
-        label = components(nodes, links)
+        members = left.select("bucket", "doc_id", "n_shingles").join(centre.withColumnRenamed("centre", "doc_id"), ["bucket", "doc_id"], "left_anti")
+        label = components(label, found)
         centres *= 2
 
     # rows of one id, or of one set, join what the representatives' links have joined
     every = same if links is None else same.unionByName(links)
-    touched = stage(every.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "nodes")
-    final = components(touched, every)
+    touched = every.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = touched.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    final = components(stage(own, "components"), same)
     out = survey.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),

@@ -175,17 +175,22 @@ def _index_terms(terms: list[str], groups: tuple):
     return run
 
 
-def solve(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, ridge: float = 1e-3, pairing: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic regression; ``pairs`` holds x less x swapped."""
+def solve(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, ridge: float = 3e-4, pairing: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic regression; ``pairs`` holds x less x swapped.
+
+    Both classes count alike, so that 0.5 divides them where their evidence is equal.
+    """
     n, k = x.shape
-    w, b = np.zeros(k, np.float32), np.float32(np.log((y.sum() + 1) / (n - y.sum() + 1)))
+    share = np.where(y == 1, 0.5 * n / max(y.sum(), 1), 0.5 * n / max(n - y.sum(), 1)).astype(np.float32)
+    w, b = np.zeros(k, np.float32), np.float32(0)
     moment, square, mb, sb = np.zeros(k, np.float32), np.zeros(k, np.float32), 0.0, 0.0
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
-        g = x.T @ (p - y) / n + ridge * w
+        error = share * (p - y)
+        g = x.T @ error / n + ridge * w
         if len(pairs):
             g += pairing * 2 * pairs.T @ (pairs @ w) / len(pairs)
-        gb = float((p - y).mean())
+        gb = float(error.mean())
         moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
         mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
         rate, c1, c2 = 0.05, 1 - 0.9**step, 1 - 0.999**step

@@ -110,9 +110,9 @@ def ag20(spark, d):
     return table(spark, d, "nation").select("n_name", F.aggregate(F.split(F.lower("n_name"), ""), F.lit(0), lambda s, c: s + value(c)).alias("total"))
 
 
-@FAMILY.add("ag21_review_summary", "SELECT count(*) AS total, count(*) FILTER (WHERE quality = 0) AS flagged, string_agg(CASE WHEN quality = 0 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY doc_id) AS ids FROM labels WHERE doc_id < 200")
+@FAMILY.add("ag21_review_summary", "SELECT source, count(*) AS total, count(*) FILTER (WHERE quality = 0) AS flagged, coalesce(string_agg(CASE WHEN quality = 0 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY doc_id), '') AS ids FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def ag21(spark, d):
-    rows = table(spark, d, "labels").filter("doc_id < 200")
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source")
     ids = F.sort_array(F.collect_list(F.when(F.col("quality") == 0, F.col("doc_id"))))
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 0).alias("flagged"), F.array_join(ids.cast("array<string>"), ",").alias("ids"))
 

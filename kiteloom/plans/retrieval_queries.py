@@ -27,16 +27,16 @@ def _near(where_q, where_b, k):
     return f"SELECT q.vec_id AS query_id, b.vec_id, {_SIM} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_SIM} DESC, b.vec_id) AS rank FROM embeddings q, embeddings b WHERE {where_q} AND {where_b} AND q.vec_id <> b.vec_id QUALIFY rank <= {k}"
 
 
-@add("vr2_dense_search", f"SELECT query_id, vec_id, round(s, 4) AS similarity, rank FROM ({_near('q.vec_id % 100 = 3', 'TRUE', 10)}) WHERE s >= 0.1")
+@add("vr2_dense_search", f"SELECT query_id, vec_id, round(s, 4) AS similarity, rank FROM ({_near('q.vec_id % 100 = 0', 'TRUE', 10)}) WHERE s >= 0.1")
 def vr2(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.cosine_topk(e.filter("vec_id % 100 = 3"), e, 10, threshold=0.1).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"), "rank")
+    return vectors.cosine_topk(e.filter("vec_id % 100 = 0"), e, 10, threshold=0.1).select("query_id", "vec_id", F.round("similarity", 4).alias("similarity"), "rank")
 
 
-@add("vr3_filtered_search", f"SELECT query_id, vec_id, rank FROM ({_near('q.vec_id % 100 = 4', 'b.label IN (1, 2, 3)', 5)})")
+@add("vr3_filtered_search", f"SELECT query_id, vec_id, rank FROM ({_near('q.vec_id % 100 = 0', 'b.label IN (1, 2, 3)', 5)})")
 def vr3(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.cosine_topk(e.filter("vec_id % 100 = 4"), e.filter("label IN (1, 2, 3)"), 5).select("query_id", "vec_id", "rank")
+    return vectors.cosine_topk(e.filter("vec_id % 100 = 0"), e.filter("label IN (1, 2, 3)"), 5).select("query_id", "vec_id", "rank")
 
 
 _WORDS = "string_split_regex(trim(regexp_replace(lower({}), '[^a-z]+', ' ', 'g')), ' ')"
@@ -50,14 +50,14 @@ def vr4(spark, d):
     return lexical_rank(table(spark, d, "documents"), _QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@add("vr5_hybrid", f"""WITH t AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id < 500),
+@add("vr5_hybrid", f"""WITH t AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents),
   lex AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(len(list_filter(w, lambda x: x IN ('the', 'of'))) / sqrt(len(w)), 6) DESC, doc_id) - 1 AS r FROM t WHERE list_contains(w, 'the') AND list_contains(w, 'of') QUALIFY r < 50),
   den AS (SELECT vec_id AS id, rank - 1 AS r FROM ({_near('q.vec_id = 7', 'TRUE', 50)}))
   SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM den) GROUP BY id ORDER BY score DESC, min(r), id LIMIT 10""")
 def vr5(spark, d):
     e = table(spark, d, "embeddings")
     dense = vectors.cosine_topk(e.filter("vec_id = 7"), e, 50).select(F.col("vec_id").alias("id"), (F.col("rank") - 1).alias("rank0"))
-    ranked = lexical_rank(table(spark, d, "documents").filter("doc_id < 500"), ["the", "of"]).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("s"))
+    ranked = lexical_rank(table(spark, d, "documents"), ["the", "of"]).select(F.col("doc_id").alias("id"), F.round("score", 6).alias("s"))
     top = ranked.orderBy(F.desc("s"), "id").limit(50)
     lexical = top.select("id", (F.row_number().over(Window.orderBy(F.desc("s"), "id")) - 1).alias("rank0"))
     union = dense.unionByName(lexical)
@@ -65,20 +65,20 @@ def vr5(spark, d):
     return score.orderBy(F.desc("score"), "first", "id").limit(10).select("id", "score")
 
 
-@add("vr6_label_match", f"WITH n AS (SELECT query_id, q.label = b.label AS same, rank, s FROM ({_near('q.vec_id % 50 = 2', 'TRUE', 5)}) t JOIN embeddings q ON q.vec_id = query_id JOIN embeddings b ON b.vec_id = t.vec_id), g AS (SELECT query_id, count(*) FILTER (WHERE same) AS hits, max(s) AS top FROM n GROUP BY 1) SELECT round(avg(CASE WHEN hits >= 3 THEN 1.0 ELSE 0.0 END), 6) AS match5, round(avg(top), 4) AS mean_top FROM g")
+@add("vr6_label_match", f"WITH n AS (SELECT query_id, q.label = b.label AS same, rank, s FROM ({_near('q.vec_id % 100 = 0', 'TRUE', 5)}) t JOIN embeddings q ON q.vec_id = query_id JOIN embeddings b ON b.vec_id = t.vec_id), g AS (SELECT query_id, count(*) FILTER (WHERE same) AS hits, max(s) AS top FROM n GROUP BY 1) SELECT round(avg(CASE WHEN hits >= 3 THEN 1.0 ELSE 0.0 END), 6) AS match5, round(avg(top), 4) AS mean_top FROM g")
 def vr6(spark, d):
     e = table(spark, d, "embeddings")
-    near = vectors.cosine_topk(e.filter("vec_id % 50 = 2"), e, 5)
+    near = vectors.cosine_topk(e.filter("vec_id % 100 = 0"), e, 5)
     label = e.select("vec_id", "label")
     both = near.join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
     each = both.groupBy("query_id").agg(F.count_if(F.col("label") == F.col("own")).alias("hits"), F.max("similarity").alias("top"))
     return each.agg(F.round(F.avg(F.when(F.col("hits") >= 3, 1.0).otherwise(0.0)), 6).alias("match5"), F.round(F.avg("top"), 4).alias("mean_top"))
 
 
-@add("vr8_gate", f"SELECT query_id, max(s) >= 0.42 AS grounded FROM ({_near('q.vec_id % 100 = 5', 'TRUE', 1)}) GROUP BY query_id")
+@add("vr8_gate", f"SELECT query_id, max(s) >= 0.42 AS grounded FROM ({_near('q.vec_id % 100 = 0', 'TRUE', 1)}) GROUP BY query_id")
 def vr8(spark, d):
     e = table(spark, d, "embeddings")
-    return vectors.cosine_topk(e.filter("vec_id % 100 = 5"), e, 1).select("query_id", (F.col("similarity") >= 0.42).alias("grounded"))
+    return vectors.cosine_topk(e.filter("vec_id % 100 = 0"), e, 1).select("query_id", (F.col("similarity") >= 0.42).alias("grounded"))
 
 
 @add("vr9_normalised", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS total FROM embeddings")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kiteloom.operators.ranking import global_rank
 from kiteloom.plans.registry import Family
 from kiteloom.sources import files, sinks
 from kiteloom.sources.tables import table
@@ -49,7 +50,12 @@ def src9(spark, d):
 
 
 sql("src10_job_listing", "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 100 ELSE 50 END AS progress FROM orders")
-sql("src11_paging", "SELECT page, count(*) AS n FROM (SELECT cast(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 500) AS BIGINT) AS page FROM customer) t GROUP BY page")
+
+
+@add("src11_paging", "SELECT page, count(*) AS n FROM (SELECT CAST(floor((row_number() OVER (ORDER BY c_custkey) - 1) / 500) AS BIGINT) AS page FROM customer) t GROUP BY page")
+def src11(spark, d):
+    ranked = global_rank(table(spark, d, "customer").select("c_custkey"), ["c_custkey"], "nth")
+    return ranked.groupBy(F.floor((F.col("nth") - 1) / 500).alias("page")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @add("snk1_replace_by_source", "SELECT doc_id, source FROM documents WHERE source <> 'src3' UNION ALL SELECT doc_id + 1000000, source FROM documents WHERE source = 'src3'")

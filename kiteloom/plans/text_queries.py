@@ -236,8 +236,8 @@ def tx34(spark, d):
 
 @add("tx35_legacy_conversion")
 def tx35(spark, d):
-    coded = legacy.encode(F.substring("text", 1, 400))
-    return _docs(spark, d).select("doc_id", coded.alias("coded"), (legacy.decode(coded) == F.substring("text", 1, 400)).alias("same"))
+    coded = legacy.encode(F.col("text"))
+    return _docs(spark, d).select("doc_id", coded.alias("coded"), (legacy.decode(coded) == F.col("text")).alias("same"))
 
 
 @add("tx36_video_id", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN lpad(CAST(page_id AS VARCHAR), 11, 'a') END AS video FROM pages")

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from kiteloom.operators import sequences as ops
 from kiteloom.operators.folds import interleave, two_key_dedupe
+from kiteloom.operators.ranking import global_rank
 from kiteloom.operators.vectors import cosine_topk
 from kiteloom.plans.registry import Family
 from kiteloom.sources.tables import table
@@ -15,10 +16,10 @@ FAMILY = Family("windows")
 add, sql = FAMILY.add, FAMILY.sql
 
 
-@add("wn1_topk_per_group", "SELECT q.vec_id AS query_id, b.vec_id FROM embeddings q, embeddings b WHERE q.vec_id % 50 = 1 AND b.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) <= 5")
+@add("wn1_topk_per_group", "SELECT q.vec_id AS query_id, b.vec_id FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) <= 5")
 def wn1(spark, d):
     e = table(spark, d, "embeddings")
-    return cosine_topk(e.filter("vec_id % 50 = 1"), e, 5).select("query_id", "vec_id")
+    return cosine_topk(e.filter("vec_id % 100 = 0"), e, 5).select("query_id", "vec_id")
 
 
 _RUNS = """WITH t AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
@@ -128,15 +129,26 @@ sql("or6_eligible_groups", f"SELECT p_type FROM ({_USE}) u GROUP BY p_type HAVIN
 sql("or7_lru_groups", f"SELECT p_type, max(coalesce(used_ago, 0)) AS idle FROM ({_USE}) u WHERE p_type NOT LIKE '%STEEL%' GROUP BY p_type ORDER BY idle DESC, md5(concat('5|', p_type)) LIMIT 20")
 sql("or8_rows_in_group", f"SELECT p_brand, p_partkey, nth FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN used_ago IS NULL THEN 0 ELSE 1 END, used_ago DESC NULLS FIRST, p_partkey) AS nth FROM ({_USE}) u) v WHERE nth <= 3")
 _PRIORITY = "CASE WHEN contains(url, 'example.org') THEN 0 WHEN contains(url, 'example.net') THEN 1 WHEN contains(url, 'blog.') THEN 2 ELSE 3 END"
-sql("or9_stable_priority", f"SELECT page_id, {_PRIORITY} AS priority, row_number() OVER (ORDER BY {_PRIORITY}, page_id) AS place FROM pages")
+
+
+@add("or9_stable_priority", f"SELECT page_id, {_PRIORITY} AS priority, row_number() OVER (ORDER BY {_PRIORITY}, page_id) AS place FROM pages")
+def or9(spark, d):
+    rows = table(spark, d, "pages").select("page_id", F.expr(_PRIORITY).alias("priority"))
+    return global_rank(rows, ["priority", "page_id"], "place")
+
+
 sql("or10_domain_priority", f"SELECT page_id, {_PRIORITY} AS priority FROM pages")
-sql("or11_prefer_hits", f"SELECT page_id FROM (SELECT page_id, p, max(CASE WHEN p = 2 THEN 1 ELSE 0 END) OVER () AS any_hit FROM (SELECT page_id, {_PRIORITY} AS p FROM pages) a) b WHERE any_hit = 0 OR p = 2 ORDER BY page_id LIMIT 3")
+sql("or11_prefer_hits", f"WITH b AS (SELECT page_id, {_PRIORITY} AS p FROM pages), h AS (SELECT max(CASE WHEN p = 2 THEN 1 ELSE 0 END) AS any_hit FROM b) SELECT page_id FROM b CROSS JOIN h WHERE any_hit = 0 OR p = 2 ORDER BY page_id LIMIT 3")
 sql("or12_latest_name", "SELECT max(concat('Scrape ', cast(cast(o_orderdate AS DATE) AS STRING))) AS tab FROM orders")
 sql("or13_newest_jobs", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
-sql("or14_rerank", "SELECT doc_id, row_number() OVER (ORDER BY bad, doc_id) AS place FROM (SELECT doc_id, (length(text) - length(replace(text, '!', ''))) * 100.0 / greatest(length(text), 1) > 1.0 AS bad FROM documents WHERE doc_id < 14) t ORDER BY place LIMIT 10")
+sql("or14_rerank", "SELECT doc_id, row_number() OVER (ORDER BY bad, n_chars DESC, doc_id) AS place FROM (SELECT doc_id, n_chars, (length(text) - length(replace(text, '!', ''))) * 100.0 / greatest(length(text), 1) > 1.0 AS bad FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 14) p) t ORDER BY place LIMIT 10")
+
+sql("st1_union_all", "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer")
+
 
-sql("st1_union_all", "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer WHERE c_custkey < 100")
-sql("st2_renumber", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier WHERE s_suppkey % 3 <> 0")
+@add("st2_renumber", "SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS n FROM (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def st2(spark, d):
+    return global_rank(table(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey"), ["s_suppkey"], "n")
 
 
 @add("st3_set_difference", "SELECT p_brand, CAST(len(list_filter(range(1, 51), lambda x: NOT list_contains(seen, x))) AS INTEGER) AS missing FROM (SELECT p_brand, list(DISTINCT p_size) AS seen FROM part GROUP BY p_brand)")
@@ -162,14 +174,14 @@ def st7(spark, d):
     return top.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"))
 
 
-@add("st8_question_key", "SELECT count(DISTINCT CASE WHEN k = '' THEN '#' || doc_id ELSE k END) AS keys FROM (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)")
+@add("st8_question_key", "SELECT count(DISTINCT CASE WHEN k = '' THEN '#' || doc_id ELSE k END) AS keys FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)")
 def st8(spark, d):
-    k = F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 200)), "[^a-z0-9]+", " "))
+    k = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
     key = F.when(k == "", F.concat(F.lit("#"), F.col("doc_id").cast("string"))).otherwise(k)
     return table(spark, d, "documents").agg(F.countDistinct(key).alias("keys"))
 
 
-sql("st9_repeated_text", "SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY lang, md5(lower(substring(text, 1, 30)))) AS n FROM documents) t WHERE n <= 2")
+sql("st9_repeated_text", "SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY lang, md5(lower(text))) AS n FROM documents) t WHERE n <= 2")
 sql("st10_distinct_pairs", "SELECT DISTINCT source, lang FROM documents")
 
 

@@ -8,12 +8,12 @@ estimate the similarity of the sets with the concentration of independent hashes
 
 Documents with equal shingle sets form a class, represented by its least id. Bands
 of coordinates put representatives into buckets. Within a bucket not all pairs are
-made: in each round a few centres a bucket are compared with the bucket's members of
+made: in each turn a few centres a bucket are compared with the bucket's members of
 other components, on full shingle sets; links found so far join components, and a
 centre that has met all others leaves its bucket. A bucket is done when its members
 are of one component. Each pair of a bucket is thereby verified or known to be
 connected, so components are those of all links, while a bucket of n copies costs
-about n comparisons. The number of centres doubles each round.
+a few times n comparisons.
 
 Components are found by sending least ids along links, in Spark. Joins have one row a
 key on one side; counts combine on the map side; stage tables cut lineage.
@@ -43,6 +43,8 @@ COORDINATES = 512
 ROWS = 9
 #: Rounds with random bins; what is left then is filled bin by bin, for every set alike.
 ROUNDS = 32
+#: Turns with one centre a bucket, before their number grows fourfold each turn.
+EARLY = 2
 SHINGLE = 3
 NUMERATOR, DENOMINATOR = 85, 100
 _RNG = np.random.default_rng(97)
@@ -200,20 +202,21 @@ def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denom
     # equal sets and equal ids are links without a comparison
     same = full.join(represent.filter("least < most"), "key").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).filter("a <> b")
     label = stage(met.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("component")), "components")
-    links, centres = None, 1
+    links, turn = None, 0
     while True:
         known = members.join(label.withColumnRenamed("id", "doc_id"), "doc_id")
         spread = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         left = stage(known.join(spread.select("bucket"), "bucket"), "left")
         if left.isEmpty():
             break
-        if centres == 1:
-            chosen = left.groupBy("bucket").agg(F.min("doc_id").alias("centre"))
-        else:  # of the bucket's smallest components first, so that a large one is met by few
-            sizes = left.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-            inside = Window.partitionBy("bucket").orderBy("size", F.xxhash64("doc_id"), "doc_id")
-            chosen = left.join(sizes, ["bucket", "component"]).withColumn("at", F.row_number().over(inside)).filter(F.col("at") <= centres)
-            chosen = chosen.select("bucket", F.col("doc_id").alias("centre")).distinct()
+        sizes = left.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+        # first one of the largest component a round, which joins most of a group of copies;
+        # then of the smallest ones, so that the large one is met by the few that are left
+        early = turn < EARLY
+        rank = [F.desc("size") if early else F.asc("size"), F.xxhash64("doc_id", F.lit(turn)), F.col("doc_id")]
+        nth = F.row_number().over(Window.partitionBy("bucket").orderBy(*rank))
+        chosen = left.join(sizes, ["bucket", "component"]).withColumn("at", nth).filter(F.col("at") <= (1 if early else 4 ** (turn - EARLY + 1)))
+        chosen = chosen.select("bucket", F.col("doc_id").alias("centre")).distinct()
         centre = stage(chosen, "centres")
         of = centre.join(left.select("bucket", F.col("doc_id").alias("centre"), F.col("component").alias("own"), F.col("n_shingles").alias("size")), ["bucket", "centre"])
         # sets whose sizes are too far apart can't be similar enough
@@ -226,7 +229,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denom
         links = found if links is None else links.unionByName(found)
         members = left.select("bucket", "doc_id", "n_shingles").join(centre.withColumnRenamed("centre", "doc_id"), ["bucket", "doc_id"], "left_anti")
         label = components(label, found)
-        centres *= 2
+        turn += 1
 
     # rows of one id, or of one set, join what the representatives' links have joined
     every = same if links is None else same.unionByName(links)

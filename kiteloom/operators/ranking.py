@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def shared_folder(spark) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return (found or tempfile.mkdtemp(prefix="kiteloom-")).rstrip("/")
+from kiteloom.sources.stages import published
 
 
 def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
@@ -24,11 +18,7 @@ def global_rank(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     passes over them see the same ranges. A range's first place is the sum of the
     counts before it, a row a range; within one, a window counts on.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}"
-    dealt = df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
-    dealt.write.parquet(path)
-    rows = spark.read.schema(dealt.schema).parquet(path)
+    rows = published(df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()), "ranges")
     before = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
     starts = rows.groupBy("range_no").agg(F.count(F.lit(1)).alias("n")).select("range_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("range_no").orderBy(*order))

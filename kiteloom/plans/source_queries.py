@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kiteloom.operators.ranking import global_rank
 from kiteloom.plans.registry import Family
-from kiteloom.sources import files, sinks
+from kiteloom.sources import files, sinks, stages
 from kiteloom.sources.tables import table
 
 FAMILY = Family("sources")
@@ -15,6 +15,23 @@ add, sql = FAMILY.add, FAMILY.sql
 sql("src1_ordered_scan", "SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id")
 
 
+@add("src2_csv_read", "SELECT n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey, CAST(NULL AS VARCHAR) AS missing FROM nation")
+def src2(spark, d):
+    """A CSV file of nations read as strings; a column it lacks is null."""
+    path = stages.new_path(spark, "csv")
+    sinks.write_csv(table(spark, d, "nation"), path, ["n_name", "n_regionkey"])
+    return files.read_csv(spark, path, ["n_name", "n_regionkey", "missing"])
+
+
+@add("src3_csv_write", "SELECT c_mktsegment || ',' || c_custkey || ',' AS line FROM customer")
+def src3(spark, d):
+    """The lines of a CSV file of fixed columns, of which one is absent."""
+    path = stages.new_path(spark, "csv")
+    sinks.write_csv(table(spark, d, "customer"), path, ["c_mktsegment", "c_custkey", "absent"])
+    lines = spark.read.text(path).select(F.col("value").alias("line"))
+    return lines.filter("line <> 'c_mktsegment,c_custkey,absent'").select(F.regexp_replace("line", '""$', "").alias("line"))
+
+
 @add("src4_mapped_columns", "SELECT trim(c_name) AS name, coalesce(trim(c_mktsegment), '') AS company, '' AS phone FROM customer")
 def src4(spark, d):
     return files.mapped_columns(table(spark, d, "customer"), {"name": "c_name", "company": "c_mktsegment", "phone": "missing"})
@@ -75,6 +92,11 @@ sql("snk3_incremental", "SELECT doc_id FROM documents LEFT ANTI JOIN (SELECT doc
 sql("snk4_wipe_key", "SELECT doc_id FROM documents WHERE source <> 'src5'")
 
 
+@add("snk5_atomic_publish", "SELECT p_partkey, p_size FROM part")
+def snk5(spark, d):
+    return stages.published(table(spark, d, "part").select("p_partkey", "p_size"), "published")
+
+
 @add("snk6_export_projection", "SELECT CAST(c_custkey AS VARCHAR) AS id, coalesce(c_name, '') AS name, '' AS email, coalesce(c_mktsegment, '') AS industry, 'New' AS stage FROM customer")
 def snk6(spark, d):
     return sinks.export_rows(table(spark, d, "customer"), {"id": "c_custkey", "name": "c_name", "email": None, "industry": "c_mktsegment"}, {"stage": "New"})

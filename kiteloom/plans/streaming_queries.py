@@ -2,58 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from kiteloom.plans.registry import Family
+from kiteloom.sources.stages import shared_folder
 from kiteloom.streaming import events as ops
 
 FAMILY = Family("streaming")
 add = FAMILY.add
 
 
-def _folder(spark):
-    """The session's shared folder; a temporary one only where none is set."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="kiteloom-stream-")
-
-
 def _events(spark, d):
     return ops.read_events(spark, f"{d}/events.parquet")
 
 
 @add("ss1_ingest", "SELECT event_id, event_type FROM events")
 def ss1(spark, d):
-    return ops.drain(_events(spark, d).select("event_id", "event_type"), _folder(spark))
+    return ops.drain(_events(spark, d).select("event_id", "event_type"), shared_folder(spark))
 
 
 @add("ss2_accepted", "SELECT event_id, event_type IN ('purchase', 'signup') AS positive FROM events WHERE event_type NOT IN ('error')")
 def ss2(spark, d):
-    return ops.drain(ops.accepted(_events(spark, d)).select("event_id", "positive"), _folder(spark))
+    return ops.drain(ops.accepted(_events(spark, d)).select("event_id", "positive"), shared_folder(spark))
 
 
 @add("ss3_daily_snapshot", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def ss3(spark, d):
-    rows = ops.drain(ops.daily_counts(_events(spark, d)), _folder(spark), "complete")
+    rows = ops.drain(ops.daily_counts(_events(spark, d)), shared_folder(spark), "complete")
     return rows.select(F.to_date("w.start").alias("day"), "event_type", "n")
 
 
 @add("ss4_follow_up_beat", "SELECT user_id, max(ts) AS last_at FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 00:00:00' AND count(*) < 40")
 def ss4(spark, d):
     signups = _events(spark, d).filter("event_type = 'signup'").groupBy("user_id").agg(F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n"))
-    rows = ops.drain(signups, _folder(spark), "complete")
+    rows = ops.drain(signups, shared_folder(spark), "complete")
     return rows.filter((F.col("last_at") < F.lit("2024-01-30").cast("timestamp")) & (F.col("n") < 40)).select("user_id", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
 
 
 @add("ss5_once", "SELECT event_id FROM events")
 def ss5(spark, d):
     doubled = _events(spark, d)
-    return ops.drain(ops.once(doubled.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))).select("event_id"), _folder(spark))
+    return ops.drain(ops.once(doubled.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))).select("event_id"), shared_folder(spark))
 
 
 @add("ss6_sessions", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL OR ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS brk FROM events)) GROUP BY user_id, s")
 def ss6(spark, d):
-    rows = ops.drain(ops.sessions(_events(spark, d)), _folder(spark), "complete")
+    rows = ops.drain(ops.sessions(_events(spark, d)), shared_folder(spark), "complete")
     return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -63,11 +57,11 @@ _DELTA = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' TH
 @add("ss7_counters", f"WITH s AS (SELECT user_id, ts, event_id, sum({_DELTA}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM events) SELECT user_id, CAST(max_by(s, (ts, event_id)) - least(0, min(s)) AS BIGINT) AS value FROM s GROUP BY user_id")
 def ss7(spark, d):
     rows = _events(spark, d).withColumn("delta", F.expr(_DELTA))
-    out = ops.drain(ops.clamped_counters(rows, "delta"), _folder(spark), "update")
+    out = ops.drain(ops.clamped_counters(rows, "delta"), shared_folder(spark), "update")
     return out.groupBy("user_id").agg(F.max_by("value", "epoch").alias("value"))
 
 
 @add("ss8_progress", "SELECT user_id, max(value) AS progress FROM events GROUP BY user_id")
 def ss8(spark, d):
     best = _events(spark, d).groupBy("user_id").agg(F.max("value").alias("progress"))
-    return ops.drain(best, _folder(spark), "complete")
+    return ops.drain(best, shared_folder(spark), "complete")

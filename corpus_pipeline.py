@@ -5,7 +5,8 @@ DataFrame that is written as Parquet and read again as the next one's docs:
 
 1. quality: documents that the quality rules reject go;
 2. toxicity: documents that the classifier, fitted on labelled rows, calls toxic go;
-3. near_dedup: one document of each group of near copies stays;
+3. near_dedup: one document of each group of near copies stays, linked by five-word
+   shingles at a similarity of 0.8 or more;
 4. substring_dedup: words of passages that a document with a smaller id has too go;
 5. packing: what is left becomes token pieces in sequences of at most 1,024 tokens.
 """
@@ -30,7 +31,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.thin(docs)
+    # 64 bands of 8 miss a pair at the threshold with probability 8e-6
+    return near_dedup.thin(docs, n=5, numerator=80, denominator=100, rows=8)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

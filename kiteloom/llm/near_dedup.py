@@ -89,7 +89,7 @@ def bands(items: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
-def _survey(n: int):
+def _survey(n: int, rows: int = ROWS):
     """doc_id, n_shingles, a 128-bit key of the shingle set and the bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def _survey(n: int):
                     s = shingles(w, k, n)
                     sizes.append(len(s))
                     keys.append(W.mix(np.array([s.sum(dtype=np.uint64), W.mix(s).sum(dtype=np.uint64)], "<u8")).tobytes())
-                    found.append(bands(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    found.append(bands(s, rows).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))],
@@ -182,11 +182,14 @@ def components(label: DataFrame, links: DataFrame, name: str = "components") ->
     return stage(label.join(moves, "component", "left").select("id", F.coalesce("to", "component").alias("component")), name)
 
 
-def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
+def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row.
+
+    ``rows``: coordinates a band; a lower threshold needs shorter bands.
+    """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = stage(texts.mapInArrow(_survey(n), "doc_id long, n_shingles long, key binary, bands array<long>"), "sketches")
+    survey = stage(texts.mapInArrow(_survey(n, rows), "doc_id long, n_shingles long, key binary, bands array<long>"), "sketches")
     full = survey.filter("n_shingles > 0")
     represent = full.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
 
@@ -243,7 +246,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denom
     )
 
 
-def thin(docs: DataFrame) -> DataFrame:
+def thin(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs`` that represent their component, with all their columns."""
-    kept = classes(docs).filter("kept").select("doc_id").distinct()
+    kept = classes(docs, n, numerator, denominator, rows).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")

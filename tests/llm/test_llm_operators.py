@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from kiteloom.llm import bpe, chat, media, near_dedup, packing, quality_rules, sharding, substring_dedup, toxicity, url_filters
 from kiteloom.llm import words as W
 from kiteloom.llm.queries import RANKS, VOCABULARY, public_tokenizers
@@ -169,6 +170,18 @@ def test_near_copies_join_by_chains_and_not_below_the_threshold(spark):
     assert got == low
 
 
+def test_pipeline_drops_near_copies_with_an_added_paragraph(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(10):  # 296 / 356 of five-word shingles, 298 / 358 of three-word ones
+        base = " ".join(f"d{i}-{k}" for k in range(300))
+        rows += [(2 * i, base), (2 * i + 1, base + " " + " ".join(f"e{i}-{k}" for k in range(60)))]
+    rows += [(100, said(300, rng)), (101, said(300, rng))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near_dedup.thin(df).count() == 22
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()) == [*range(0, 20, 2), 100, 101]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for share in (0.5, 0.85):

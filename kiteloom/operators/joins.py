@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from kiteloom.sources.stages import published
+
+#: Characters of a piece, and numbers of neighbouring pieces of which one is kept.
+WIDTH, SPANS = 8, (1, 8, 64)
 
 
 def nested(parents: DataFrame, children: DataFrame, on: str, fields: Sequence[str], name: str) -> DataFrame:
@@ -49,29 +57,73 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_at:
     return seen.select("row.*", *[F.col(f"last.{v}").alias(v) for v in value])
 
 
+def _pieces(span: int, least: bool):
+    """Rows (..., text) as (..., piece): hashes of pieces of eight characters.
+
+    Of each ``span`` neighbouring pieces the least hash, so texts that share ``span``
+    neighbours share a hash; ``least``: only the least of all, which is one of these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # in small parts, since a text has as many pieces as characters
+        for batch in (b.slice(i, 128) for b in batches for i in range(0, b.num_rows, 128)):
+            at, found = [], []
+            for i, t in enumerate(batch.columns[-1].to_pylist()):
+                c = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+                h = np.zeros(len(c) - WIDTH + 1, np.uint64)
+                for k in range(WIDTH):
+                    h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : len(c) - WIDTH + 1 + k]
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(29)
+                kept = h.min(keepdims=True) if least else np.unique(np.lib.stride_tricks.sliding_window_view(h, span).min(axis=1))
+                at.append(np.full(len(kept), i))
+                found.append(kept.view(np.int64))
+            own = batch.take(pa.array(np.concatenate(at) if at else [], pa.int64()))
+            piece = pa.array(np.concatenate(found) if found else [], pa.int64())
+            yield pa.RecordBatch.from_arrays([*own.columns[:-1], piece], [*own.schema.names[:-1], "piece"])
+
+    return run
+
+
 def not_contained(rows: DataFrame, by: Sequence[str], seq: str, text: str) -> DataFrame:
     """Rows whose text isn't equal to, or part of, that of an earlier row of the group.
 
     Being contained is transitive, so "earlier" and "earlier and kept" mean the same.
-    Equal texts go first by a grouping. What is left is compared only where a row's
-    text begins with eight characters that the longer one holds somewhere: the pairs
-    come from an equality join on these pieces and are then checked in full.
+    Equal texts go first by a grouping. What is left is compared only where a longer
+    text holds the least hash of a text's pieces of eight characters: the pairs come
+    from an equality join on these hashes and are then checked in full. The longer the
+    contained text, the fewer pieces of the longer ones are needed; all are made only
+    in groups with a text that is too short for the next of ``SPANS``.
     """
-    width = 8
-    first = rows.groupBy(*by, text).agg(F.min(seq).alias(seq))
-    unique = rows.join(first, [*by, text, seq], "left_semi")
-    short = unique.filter(F.length(text) < width)
-    lead = unique.filter(F.length(text) >= width).select(*by, F.col(seq).alias("c_seq"), F.col(text).alias("c_text"), F.substring(text, 1, width).alias("piece"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.col(text).substr(i, F.lit(width))))
-    holds = unique.filter(F.length(text) >= width).select(*by, F.col(seq).alias("e_seq"), F.col(text).alias("e_text"), F.explode(grams).alias("piece"))
-    inside = lead.join(holds, [*by, "piece"]).filter((F.col("e_seq") < F.col("c_seq")) & (F.length("e_text") >= F.length("c_text")) & F.col("e_text").contains(F.col("c_text")))
-    gone = inside.select(*by, F.col("c_seq").alias(seq))
-    tiny = short.select(*by, F.col(seq).alias("c_seq"), F.col(text).alias("c_text"))
-    longer = unique.select(*[F.col(b).alias(f"e_{b}") for b in by], F.col(seq).alias("e_seq"), F.col(text).alias("e_text"))
-    same = [F.col(b) == F.col(f"e_{b}") for b in by]
-    gone_tiny = tiny.join(longer, [*same, F.col("e_seq") < F.col("c_seq"), F.col("e_text").contains(F.col("c_text"))] if same else (F.col("e_seq") < F.col("c_seq")) & F.col("e_text").contains(F.col("c_text")))
-    drop = gone.unionByName(gone_tiny.select(*by, F.col("c_seq").alias(seq))).distinct()
-    return unique.join(drop, [*by, seq], "left_anti")
+    keys = [f"b{i}" for i in range(len(by))]
+    first = rows.filter(F.col(text).isNotNull()).groupBy(*by, text).agg(F.min(seq).alias(seq))
+    plain = first.select(*[F.col(b).alias(k) for b, k in zip(by, keys, strict=True)], F.col(seq).alias("seq"), F.col(text).alias("text"))
+    plain = published(plain, "contained")
+    size = F.length("text")
+
+    def cut(part: DataFrame, span: int, least: bool, name: str) -> DataFrame:
+        kind = StructType([*[f for f in part.schema.fields if f.name != "text"], StructField("piece", LongType())])
+        return part.mapInArrow(_pieces(span, least), kind).withColumnRenamed("seq", name)
+
+    pairs = None
+    for span, longer in zip(SPANS, [*SPANS[1:], None], strict=True):
+        c = plain.filter(size >= WIDTH + span - 1)
+        e = c
+        if longer:
+            c = c.filter(size < WIDTH + longer - 1)
+            if keys:  # only what comes before one of the group's shorter texts can hold it
+                e = e.join(c.groupBy(*keys).agg(F.max("seq").alias("last")), keys).filter("seq < last").select(*plain.columns)
+        both = cut(c, span, True, "c_seq").join(cut(e, span, False, "e_seq"), [*keys, "piece"]).filter("e_seq < c_seq").select(*keys, "c_seq", "e_seq")
+        pairs = pairs.unionByName(both) if pairs else both
+    side = lambda p: plain.select(*keys, F.col("seq").alias(f"{p}_seq"), F.col("text").alias(f"{p}_text"))
+    held = F.col("e_text").contains(F.col("c_text"))
+    gone = pairs.distinct().join(side("c"), [*keys, "c_seq"]).join(side("e"), [*keys, "e_seq"]).filter(held)
+    tiny, every = side("c").filter(F.length("c_text") < WIDTH), side("e")
+    gone_tiny = (tiny.join(every, keys) if keys else tiny.crossJoin(every)).filter((F.col("e_seq") < F.col("c_seq")) & held)
+    told = [*keys, F.col("c_seq").alias("seq"), F.col("c_text").alias("text")]
+    kept = plain.join(gone.select(*told).unionByName(gone_tiny.select(*told)).distinct(), [*keys, "seq", "text"], "left_anti")
+    kept = kept.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], F.col("seq").alias(seq), F.col("text").alias(text))
+    return rows.join(kept, [*by, text, seq], "left_semi")
 
 
 def zipped(a: DataFrame, b: DataFrame, a_order: Sequence[Column], b_order: Sequence[Column], by: Sequence[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kiteloom.functions.texts import normalise
 from kiteloom.operators import joins as ops
 from kiteloom.operators.vectors import cosine_topk
 from kiteloom.plans.registry import Family
@@ -82,6 +83,15 @@ def jn11(spark, d):
     return ops.not_contained(lines, ["conv_id"], "turn", "line").select("conv_id", "turn")
 
 
+_TEXTS = "SELECT conv_id, turn, lower(trim(regexp_replace(text, '[\\x09-\\x0D\\x20\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS line FROM conversations"
+
+
+@add("jn11_whole_texts", f"WITH l AS (SELECT * FROM ({_TEXTS}) WHERE line <> '') SELECT conv_id, turn FROM l c WHERE NOT EXISTS (SELECT 1 FROM l e WHERE e.conv_id = c.conv_id AND e.turn < c.turn AND contains(e.line, c.line))")
+def jn11_whole(spark, d):
+    lines = table(spark, d, "conversations").select("conv_id", "turn", normalise(F.col("text")).alias("line")).filter("line <> ''")
+    return ops.not_contained(lines, ["conv_id"], "turn", "line").select("conv_id", "turn")
+
+
 @add("jn12_vector_cross_topk", """SELECT q.vec_id AS query_id, b.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank
     FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0 AND b.vec_id <> q.vec_id QUALIFY rank <= 5""")
 def jn12(spark, d):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kiteloom.functions import legacy, texts
 from kiteloom.operators import aggregates, filters, folds, joins, planning, sequences, state, vectors
+from kiteloom.plans.registry import queries
 from kiteloom.sources import files, sinks
 
 
@@ -68,6 +69,24 @@ def test_containment_is_the_nested_loop(spark, seed):
     assert rows(joins.not_contained(df, ["g"], "i", "t").select("g", "i")) == sorted(want)
 
 
+def test_containment_reads_whole_long_texts(spark, tmp_path):
+    rng = random.Random(3)
+    data = []
+    for g in range(5):
+        base = " ".join("".join(rng.choice("abcdéक") for _ in range(rng.randint(1, 7))) for _ in range(200))
+        for i in range(20):
+            a, n = rng.randrange(700), rng.choice([3, 12, 22, 23, 24, 60, 300])
+            data.append((g, i, "same " + base if i == 3 else base[a : a + n].upper().replace(" ", " \n\t")))
+        data.append((g, 20, "same start and another end"))
+        data.append((g, 21, " \n"))
+    tidy = [(g, i, " ".join(t.split()).lower()) for g, i, t in data]
+    want = [(g, i) for g, i, t in tidy if t and not any(h == g and j < i and t in u for h, j, u in tidy)]
+    spark.createDataFrame(data, "conv_id long, turn long, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert rows(queries()["jn11_whole_texts"](spark, str(tmp_path))) == sorted(want)
+    assert {(g, 20) for g in range(5)} <= set(want) and len(want) < len(data) - 10
+    assert (0, 20) not in rows(queries()["jn11_containment"](spark, str(tmp_path)))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_asof_takes_the_last_mark_at_or_before(spark, seed):
     rng = random.Random(seed)

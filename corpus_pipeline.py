@@ -31,8 +31,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # 64 bands of 8 miss a pair at the threshold with probability 8e-6
-    return near_dedup.thin(docs, n=5, numerator=80, denominator=100, rows=8)
+    return near_dedup.thin(docs, n=5, numerator=80, denominator=100)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,8 @@ from kiteloom.llm import words as W
 from kiteloom.llm.common import small_batches, stage
 
 COORDINATES = 512
-#: A pair at the threshold 0.85 misses all 56 bands of 9 with probability 4e-7; one at 0.3 meets in one with 0.001.
+#: A pair at the threshold misses all bands with this probability at most; at 0.85, 56 bands of 9 miss it with 4e-7.
+MISS = 1e-5
 ROWS = 9
 #: Rounds with random bins; what is left then is filled bin by bin, for every set alike.
 ROUNDS = 32
@@ -81,6 +82,15 @@ def sketch(items: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_rows(numerator: int, denominator: int) -> int:
+    """The most coordinates a band with which a pair at the threshold is missed with ``MISS`` at most."""
+    miss = lambda rows: (1 - (numerator / denominator) ** rows) ** (COORDINATES // rows)
+    fit = [rows for rows in range(1, ROWS + 1) if miss(rows) <= MISS]
+    if not fit:
+        raise ValueError(f"{COORDINATES} coordinates can't find pairs at {numerator}/{denominator}")
+    return max(fit)
+
+
 def bands(items: np.ndarray, rows: int = ROWS) -> np.ndarray:
     s = sketch(items)[: COORDINATES // rows * rows].reshape(-1, rows)
     out = np.arange(len(s), dtype=np.uint64)
@@ -182,11 +192,9 @@ def components(label: DataFrame, links: DataFrame, name: str = "components") ->
     return stage(label.join(moves, "component", "left").select("id", F.coalesce("to", "component").alias("component")), name)
 
 
-def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row.
-
-    ``rows``: coordinates a band; a lower threshold needs shorter bands.
-    """
+def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    rows = band_rows(numerator, denominator)
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = stage(texts.mapInArrow(_survey(n, rows), "doc_id long, n_shingles long, key binary, bands array<long>"), "sketches")
@@ -246,7 +254,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denom
     )
 
 
-def thin(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR, rows: int = ROWS) -> DataFrame:
+def thin(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """The rows of ``docs`` that represent their component, with all their columns."""
-    kept = classes(docs, n, numerator, denominator, rows).filter("kept").select("doc_id").distinct()
+    kept = classes(docs, n, numerator, denominator).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")

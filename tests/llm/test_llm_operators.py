@@ -182,6 +182,18 @@ def test_pipeline_drops_near_copies_with_an_added_paragraph(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near(spark, df, "").collect()) == [*range(0, 20, 2), 100, 101]
 
 
+def test_bands_follow_the_threshold(spark):
+    assert [near_dedup.band_rows(n, 100) for n in (50, 70, 80, 85, 100)] == [3, 5, 8, 9, 9]
+    with pytest.raises(ValueError):
+        near_dedup.band_rows(1, 100)
+    rows = []
+    for i in range(20):  # 298 / 594 of three-word shingles
+        base = " ".join(f"d{i}-{k}" for k in range(300))
+        rows += [(2 * i, base), (2 * i + 1, base + " " + " ".join(f"e{i}-{k}" for k in range(296)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near_dedup.thin(df, numerator=50).count() == 20
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for share in (0.5, 0.85):

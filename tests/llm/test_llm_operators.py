@@ -77,6 +77,13 @@ def test_quality_of_odd_texts(odd):
     assert got[1]["base_failed"] and not got[1]["kept"]
 
 
+def test_pipeline_keeps_long_clean_documents(spark):
+    long = " ".join(("the of and to " if i % 5000 == 0 else "") + f"w{i}" for i in range(200_001))
+    df = spark.createDataFrame([(1, long), (2, "too short")], "doc_id long, text string")
+    assert quality_rules.reject(df).count() == 0
+    assert [r["doc_id"] for r in corpus_pipeline.quality(spark, df, "").select("doc_id").collect()] == [1]
+
+
 def test_repeat_words_exact_path_agrees(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice("a b c d".split()) for _ in range(rng.randint(0, 40))) for _ in range(60)]

@@ -201,6 +201,53 @@ def test_bands_follow_the_threshold(spark):
     assert near_dedup.thin(df, numerator=50).count() == 20
 
 
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 20_000])
+def test_members_that_are_not_linked_are_compared_in_blocks(spark, monkeypatch, block):
+    """One wide family: few members are as near to each other as the threshold."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(11)
+    base = [f"f{i}" for i in range(150)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for p in rng.sample(range(150), rng.choice((0, 1, 2, 4, 6, 9, 12))):
+            w[p] = f"x{i}-{p}"
+        rows.append((i, " ".join(w)))
+    rows += [(300 + i, said(100, rng)) for i in range(10)]
+    sets = {d: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for d, t in rows}
+    low, links = {d: d for d in sets}, []
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                links.append((a, b))
+    for _ in rows:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == low
+    assert 20 < len(set(low.values())) < 240
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Recall: 150 pairs of a similarity of 0.85 to 0.86, and as many just below."""
+    rows = []
+    for i in range(150):
+        words = [f"p{i}-{k}" for k in range(302)]
+        rows.append((10 * i, " ".join(words)))
+        rows.append((10 * i + 1, " ".join(words + [f"n{i}-{k}" for k in range(51 + i % 2)])))  # 300 of 351 shingles, or of 352
+        rows.append((10 * i + 5, " ".join([f"m{i}-{k}" for k in range(302)])))
+        rows.append((10 * i + 6, " ".join([f"m{i}-{k}" for k in range(302)] + [f"o{i}-{k}" for k in range(53)])))  # 300 of 353
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(c == (d - 1 if d % 10 == 1 else d) for d, c in got.items())
+
+
+def test_thin_keeps_one_of_repeated_rows(spark):
+    t = said(60)
+    df = spark.createDataFrame([(4, t, 1), (4, t, 1), (5, t, 2), (6, None, 3), (None, said(60), 4)], "doc_id long, text string, x int")
+    assert sorted(tuple(r)[2] for r in near_dedup.thin(df).collect()) == [1, 3, 4]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for share in (0.5, 0.85):

@@ -17,7 +17,11 @@ as rows of their own; an empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,11 +37,49 @@ from kiteloom.llm.common import small_batches, stage
 CAPACITY = 1024
 END_ID = 2
 SALTS = 64
-MEMO = 400_000
-#: The byte-level pattern of the vocabulary, whose matches are merged separately.
-#: Beyond these characters the tokenizer splits whole texts itself, by its own Unicode tables.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SETTLED = regex.compile("[^\\x00-\\u052f\\u2000-\\u206f]")
+#: Words in each half of the memo.
+MEMO = 300_000
+#: Characters whose classes the byte-level split below knows. A text with others is split
+#: by the tokenizer itself, with its own Unicode tables.
+SETTLED = [chr(c) for c in (*range(0x530), *range(0x2000, 0x2070))]
+UNSETTLED = re.compile("[^\\x00-\\u052f\\u2000-\\u206f]")
+
+
+def _class(unicode_class: str) -> str:
+    fits = regex.compile(unicode_class).fullmatch
+    return "".join(re.escape(c) for c in SETTLED if fits(c))
+
+
+def byte_level_pattern() -> re.Pattern:
+    """The split of byte-level vocabularies into words, for ``SETTLED`` characters."""
+    letter, number, space = _class(r"\p{L}"), _class(r"\p{N}"), _class(r"\s")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from U+0100 on."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class Memo(dict):
+    """Ids of words as bytes. At ``MEMO`` words it becomes the old half, from which words in use come back."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters, self.old = model, byte_letters(), {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(word) <= 64:  # longer ones are rare, and of any length
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Ids:
@@ -48,28 +90,17 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces, self.memo = regex.compile(PATTERN).findall, {}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        told = json.loads(self.tokenizer.to_str())
+        split = told["pre_tokenizer"] or {}
+        #: whether words can be looked up one by one
+        self.by_word = told["normalizer"] is None and split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True) and sys.byteorder == "little"
+        self.words, self.memo = byte_level_pattern().findall, Memo(self.tokenizer.model)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special) or SETTLED.search(text):
-            return self._bytes(text)
-        words, memo = self.pieces(text), self.memo
-        missing = [w for w in dict.fromkeys(words) if w not in memo]
-        if missing:
-            if len(memo) + len(missing) > MEMO:
-                memo.clear()
-                missing = list(dict.fromkeys(words))
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(memo.__getitem__, words))
-        for w in missing:
-            if len(w) > 64:  # rare, and of any length
-                del memo[w]
-        return out
+        if not self.by_word or UNSETTLED.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.memo.__getitem__, self.words(text)))
 
 
 @lru_cache(maxsize=2)

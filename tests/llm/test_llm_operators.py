@@ -335,6 +335,34 @@ def test_plan_is_a_packing_and_close_to_the_bound(seed):
     assert len(used) <= 1.02 * bound + 1
 
 
+def test_packing_of_odd_texts(odd):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    got = {}
+    for r in packing.pack(odd, VOCABULARY, ids=True).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for r in odd.select("doc_id", "text").distinct().collect():
+        want = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, packing.END_ID]
+        own = sorted(got[r["doc_id"]], key=lambda p: (p["start"], p["sequence_id"], p["offset"]))
+        times = 2 if r["doc_id"] == 4 else 1
+        assert sum(p["length"] for p in own) == times * len(want)
+        assert [p["ids"] for p in own[::times]] == [np.array(want[p["start"] : p["start"] + p["length"]], "<u4").tobytes() for p in own[::times]]
+    assert [len(got[i]) for i in (1, 2, 4, 7)] == [1, 1, 2, 1] and len(got[6]) > 50
+    places = [(p["sequence_id"], p["offset"]) for own in got.values() for p in own]
+    assert len(set(places)) == len(places)
+
+
+def test_words_have_the_ids_of_the_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 50)
+    own, rng = packing.Ids(VOCABULARY), random.Random(5)
+    assert own.by_word
+    for _ in range(3000):
+        text = "".join(rng.choice(packing.SETTLED) if rng.random() < 0.5 else rng.choice(" 'st\n\tredm lv,.1a") for _ in range(rng.randint(0, 60)))
+        text += rng.choice(["", " 漢字", " <|endoftext|> x", "a" * 200])
+        assert own.encode(text) == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_cut_takes_the_rest_first():
     assert packing.cut(1, 1024) == [(0, 1)] and packing.cut(1024, 1024) == [(0, 1024)]
     assert packing.cut(2500, 1024) == [(0, 452), (452, 1024), (1476, 1024)]

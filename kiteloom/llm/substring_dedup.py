@@ -18,8 +18,8 @@ starts in a document with a smaller id; windows are judged on the input.
 Documents with one and the same word sequence are represented by the least id among
 them: all windows of the others start there, so they need no windows of their own.
 Counts combine on the map side, and the joins have one row a key on one side, so a
-hot passage is split by adaptive execution. What is collected for a document is in
-proportion to the document.
+hot passage, which every document sends once, is split by adaptive execution. What is
+collected for a document is in proportion to the document.
 
 Defined results: null and empty texts have no words and lose none; a text of fewer
 than ``span`` words loses none; rows with one id never remove from each other, be
@@ -103,6 +103,7 @@ def _locate(span: int, phrase: int):
             phrases.update((b" " + b" ".join(spelled[h : h + phrase]) + b" ").decode("utf-8", "surrogateescape") for h in hit.tolist())
             plain.append((" " + b" ".join(spelled).decode("utf-8", "surrogateescape") + " ", [len(x.decode("utf-8", "surrogateescape")) for x in spelled]))
         made = _automaton(phrases) if phrases else None
+        one, two = W.windows(w.hashes, span), W.windows(w.hashes, span, second=True)
         starts, owners = [], []
         for k, (line, lengths) in enumerate(plain):
             if made is None or len(lengths) < span:
@@ -119,11 +120,12 @@ def _locate(span: int, phrase: int):
             keep = high > low
             np.add.at(lead, low[keep], 1)
             np.add.at(lead, high[keep], -1)
-            at = np.flatnonzero(np.cumsum(lead[:-1]) > 0)
-            starts.append(at + w.first[k])
+            at = np.flatnonzero(np.cumsum(lead[:-1]) > 0) + w.first[k]
+            # a window goes once, however often a line repeats within the document
+            at = at[np.unique(one[at], return_index=True)[1]]
+            starts.append(at)
             owners.append(np.full(len(at), docs[k], np.int64))
         at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-        one, two = W.windows(w.hashes, span), W.windows(w.hashes, span, second=True)
         doc = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays(
             [pa.array(doc), pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64))], ["doc_id", "w1", "w2"]
@@ -155,6 +157,25 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
 
 
+def _kept(body: bytes, keys: pa.Scalar, cut: pa.Scalar, span: int) -> tuple[int, bytes]:
+    """Number of removed words of a text and its kept words joined by a blank."""
+    spelled = body.split()
+    if len(spelled) < span or not (keys.is_valid or cut.is_valid):
+        return 0, b" ".join(spelled)
+    w = W.words(pa.array([body], pa.binary()))
+    if keys.is_valid and W.sequence_keys(w)[0] in keys.as_py():
+        return len(spelled), b""
+    if not cut.is_valid:
+        return 0, b" ".join(spelled)
+    gone = np.asarray(cut.values, np.int64).view(np.uint64)
+    hit = np.isin(W.windows(w.hashes, span), gone)
+    edge = np.zeros(len(spelled) + 1, np.int64)
+    edge[:-span][hit] += 1
+    edge[span:][hit] -= 1
+    drop = np.cumsum(edge[:-1]) > 0
+    return int(drop.sum()), b" ".join(x for x, d in zip(spelled, drop.tolist(), strict=True) if not d)
+
+
 def _remove(span: int):
     """Per row: number of words, of removed words, digest of the kept words, the kept text."""
 
@@ -164,22 +185,8 @@ def _remove(span: int):
             out = []
             for doc, z, keys, cut in zip(*batch.columns, strict=True):
                 body = unpack.decompress(z.as_buffer())
-                spelled, n = body.split(), 0
-                if len(spelled) >= span and (keys.is_valid or cut.is_valid):
-                    w = W.words(pa.array([body], pa.binary()))
-                    if keys.is_valid and W.sequence_keys(w)[0] in keys.as_py():
-                        n, spelled = len(spelled), []
-                    elif cut.is_valid:
-                        gone = np.asarray(cut.values, np.int64).view(np.uint64)
-                        hit = np.isin(W.windows(w.hashes, span), gone)
-                        edge = np.zeros(len(spelled) + 1, np.int64)
-                        edge[:-span][hit] += 1
-                        edge[span:][hit] -= 1
-                        drop = np.cumsum(edge[:-1]) > 0
-                        n = int(drop.sum())
-                        spelled = [x for x, d in zip(spelled, drop.tolist(), strict=True) if not d]
-                kept = b" ".join(spelled)
-                out.append((doc.as_py(), n + len(spelled), n, hashlib.sha256(kept).hexdigest(), kept))
+                n, kept = _kept(body, keys, cut, span)
+                out.append((doc.as_py(), n + len(kept.split()), n, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
@@ -187,8 +194,30 @@ def _remove(span: int):
     return run
 
 
-def removals(docs: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words as UTF-8 bytes) of each row."""
+def _rewrite(span: int, columns: list[str]):
+    """The rows themselves, each with its own kept words as text where it loses some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = dict(zip(columns, batch.column(0).flatten(), strict=True))
+            texts, chars = own["text"].to_pylist(), own["n_chars"].to_pylist() if "n_chars" in own else None
+            for k, (text, keys, cut) in enumerate(zip(texts, batch.column(1), batch.column(2), strict=True)):
+                if text and (keys.is_valid or cut.is_valid):
+                    n, kept = _kept(text.encode(), keys, cut, span)
+                    if n:
+                        texts[k] = kept.decode()
+                        if chars:
+                            chars[k] = len(texts[k])
+            own["text"] = pa.array(texts, own["text"].type)
+            if chars is not None:
+                own["n_chars"] = pa.array(chars, own["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(own.values()), columns)
+
+    return run
+
+
+def _places(docs: DataFrame, span: int, phrase: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, z) of each row, (doc_id, keys) of sequences repeated as a whole, (doc_id, cut) of windows to remove."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = stage(texts.mapInArrow(_survey(span, phrase), "doc_id long, key binary, n_words long, anchors array<long>"), "anchors")
@@ -208,6 +237,12 @@ def removals(docs: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFra
     owner = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
     covered = found.join(owner, ["w1", "w2"]).filter("doc_id > least").groupBy("doc_id").agg(F.collect_set("w1").alias("cut"))
 
+    return packed, copies, covered
+
+
+def removals(docs: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words as UTF-8 bytes) of each row."""
+    packed, copies, covered = _places(docs, span, phrase)
     told = packed.join(copies, "doc_id", "left").join(covered, "doc_id", "left").select("doc_id", "z", "keys", "cut")
     return told.mapInArrow(_remove(span), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary")
 
@@ -215,14 +250,13 @@ def removals(docs: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFra
 def apply(docs: DataFrame, span: int = SPAN, phrase: int = PHRASE) -> DataFrame:
     """``docs`` with the kept words as text and, if it is a column, n_chars of that text.
 
-    Texts are joined back by doc_id, so rows that share one take each other's place:
-    give rows ids of their own first.
+    A row that loses no word keeps its text as it is. Rows travel whole, so rows that
+    share an id, and columns of any name, stay apart.
     """
-    kept = removals(docs, span, phrase).filter("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("kept").cast("string").alias("cut_text"))
-    joined = docs.join(kept.dropDuplicates(["cut_id"]), docs["doc_id"] == F.col("cut_id"), "left")
-    text = F.coalesce(F.col("cut_text"), docs["text"])
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return joined.select(*[new.get(c, docs[c]).alias(c) for c in docs.columns])
+    _, copies, covered = _places(docs, span, phrase)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"))
+    told = rows.join(copies, "doc_id", "left").join(covered, "doc_id", "left").select("row", "keys", "cut")
+    return told.mapInArrow(_rewrite(span, docs.columns), docs.schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -153,6 +153,18 @@ def test_substrings_are_those_of_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_applied_rows_keep_their_own_texts(spark):
+    """Rows that share an id, clashing column names, and a line repeated within a document."""
+    rng = random.Random(12)
+    shared, line = said(60, rng), "One short line. " * 40
+    rows = [(1, "a b " + shared, 1), (2, shared + " z", 2), (2, "short text  only", 3), (3, line, 4), (4, line + "end", 5), (5, None, 6), (None, shared, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({c: F.lit("x") for c in ("cut_id", "cut_text", "keys", "cut", "row", "z")})
+    got = {r["doc_id"] if r["doc_id"] != 2 else r["text"]: r for r in substring_dedup.apply(df.repartition(3)).collect()}
+    assert len(got) == 7 and got["z"]["n_chars"] == 1 and got["short text  only"]["n_chars"] == 3
+    assert got[1]["text"] == rows[0][1] and got[3]["text"] == line and got[4]["text"] == "end" and got[None]["text"] == shared
+    assert all(r["cut_id"] == "x" for r in got.values())
+
+
 def test_near_copies_join_by_chains_and_not_below_the_threshold(spark):
     rng = random.Random(7)
     rows, base = [], said(300, rng).split()

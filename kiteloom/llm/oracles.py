@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from kiteloom.llm.quality_rules import RULES, STOP_WORDS
-from kiteloom.llm.url_filters import TWO_LABEL_SUFFIXES
 from kiteloom.llm.url_filters import RULES as URL_RULES
+from kiteloom.llm.url_filters import TWO_LABEL_SUFFIXES, Z
 
 #: Runs of characters outside the six word separators, as a list.
 _WORDS = "regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -68,7 +68,7 @@ _NEAR = f"""
     """
 
 
-def _urls(z: float = 1.645, least: float = 2.0, most: float = 200.0, max_bad: float = 0.5) -> str:
+def _urls(z: float = Z, least: float = 2.0, most: float = 200.0) -> str:
     suffixes = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
     ordered = sorted(URL_RULES, key=lambda r: (-len(r.rule), r.rule))
     fits = [f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in ordered]
@@ -82,17 +82,19 @@ def _urls(z: float = 1.645, least: float = 2.0, most: float = 200.0, max_bad: fl
     return f"""
     WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-    o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+    o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NULL OR toxic IS NULL THEN NULL ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
     h0 AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-    h1 AS (SELECT *, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN ({suffixes}) THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix FROM h0),
-    h AS (SELECT *, CASE WHEN length(host) <= length(suffix) THEN host ELSE string_split(host[:length(host) - length(suffix) - 1], '.')[-1] || '.' || suffix END AS domain FROM h1),
+    h1 AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM h0),
+    h2 AS (SELECT *, CASE WHEN array_to_string(string_split(name, '.')[-2:], '.') IN ({suffixes}) THEN array_to_string(string_split(name, '.')[-2:], '.') ELSE string_split(name, '.')[-1] END AS suffix FROM h1),
+    h AS (SELECT *, CASE WHEN length(name) <= length(suffix) THEN name ELSE string_split(name[:length(name) - length(suffix) - 1], '.')[-1] || '.' || suffix END AS domain FROM h2),
     d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY 1, 2), s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY 1),
     a AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2)::DOUBLE AS mean FROM s),
     ks AS (SELECT {strength('s')} AS k), kd AS (SELECT {strength('d')} AS k), kh AS (SELECT {strength('h')} AS k),
     ps AS (SELECT suffix, (mean * k + bad) / (k + n) AS mean FROM s, a, ks), pd AS (SELECT domain, (ps.mean * k + bad) / (k + n) AS mean FROM d JOIN ps USING (suffix), kd),
     ph AS (SELECT host, (pd.mean * k + bad) / (k + n) AS post_mean, k + n AS total FROM h JOIN pd USING (domain), kh),
     v AS (SELECT p.*, {rule} AS rule, post_mean, greatest(post_mean - {z} * sqrt(post_mean * (1 - post_mean) / (total + 1)), 0.0) AS lower_bound FROM p JOIN ph USING (host))
-    SELECT page_id, host, path, rule, coalesce({told}, CASE WHEN lower_bound > {max_bad} THEN 'block' ELSE 'allow' END) AS verdict FROM v
+    SELECT page_id, host, path, rule, coalesce({told}, CASE WHEN lower_bound > a.mean THEN 'block' ELSE 'allow' END) AS verdict,
+        round(post_mean, 6) AS post_mean, round(lower_bound, 6) AS lower_bound FROM v, a
     """
 
 

@@ -51,7 +51,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     judged = url_filters.judge(table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("post_mean", 6).alias("post_mean"), F.round("lower_bound", 6).alias("lower_bound"))
 
 
 def op9_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

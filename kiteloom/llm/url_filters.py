@@ -4,15 +4,21 @@ Labelled pages are counted per host. A host's rate of bad pages is shrunk to its
 registered domain's, that to its suffix's, and that to the overall rate: each
 level's posterior mean is the prior mean of the level below, with a strength
 fitted by moments over the groups of that level. A page is blocked when the lower
-bound of its host's posterior is above ``max_bad``.
+bound of its host's posterior is above ``max_bad``, by default the overall rate: the
+host is worse than all pages together, with the certainty that ``z`` stands for.
 
-Aggregates combine on the map side; the joins back to pages are on keys with one
-row on the other side, so that a hot host is split by adaptive execution.
+Pages are read twice: to count labelled pages by host, which makes a stage table of a
+row a host, and for the verdicts. Aggregates combine on the map side; the join back to
+pages is on a key with one row on the other side, so that a hot host is split by
+adaptive execution. All levels above hosts come from the stage table.
 
 Defined results: a null url or one without "://" has an empty host and path, fits
 no rule, and gets the verdict of the prior of all hosts (as an empty host of its
 own). Pages without a label count as unlabelled; a host without labels gets its
-prior. Repeated rows each get their verdict. Empty tables give empty results.
+prior. A page of several outcomes counts as the worst; null outcomes are none. A port
+belongs to the host but not to its registered domain or suffix. Repeated rows each get
+their verdict, very long urls are read whole, extra columns are ignored. Empty tables
+give empty results.
 """
 
 from __future__ import annotations
@@ -23,8 +29,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiteloom.llm.common import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Suffixes of two labels that register names one level deeper.
+#: One-sided normal quantile of the posterior bound (84 %).
+Z = 1.0
+#: Suffixes of two labels that register names one level deeper: a short list, for more pass your own.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.in", "com.cn")
 
 
@@ -61,15 +71,20 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffix_of(host: Column) -> Column:
+def name_of(host: Column) -> Column:
+    """The host without a port."""
+    return F.regexp_replace(host, ":[0-9]*$", "")
+
+
+def suffix_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Column:
     parts = F.split(host, "\\.")
     two = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.element_at(parts, -1))
+    return F.when(two.isin(*two_label), two).otherwise(F.element_at(parts, -1))
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
     """The label before the suffix, with the suffix."""
-    front = F.expr("left(host, greatest(length(host) - length(suffix) - 1, 0))")
+    front = F.left(host, F.greatest(F.length(host) - F.length(suffix) - 1, F.lit(0)))
     last = F.element_at(F.split(front, "\\."), -1)
     return F.when(front == "", host).otherwise(F.concat(last, F.lit("."), suffix))
 
@@ -111,14 +126,15 @@ def _strength(counts: DataFrame, least: float, most: float) -> DataFrame:
     return sums.select(F.least(F.greatest(F.coalesce(fitted, F.lit(float(least))), F.lit(float(least))), F.lit(float(most))).alias("strength"))
 
 
-def reputations(labelled: DataFrame, least: float = 2.0, most: float = 200.0, z: float = 1.645) -> DataFrame:
-    """Per host: n, bad, the posterior mean of its bad rate and its lower bound.
+def reputations(labelled: DataFrame, least: float = 2.0, most: float = 200.0, z: float = Z, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
+    """Per host: n, bad, the posterior mean of its bad rate, its lower bound, and the overall rate.
 
     ``labelled`` has host and bad (1, 0 or null for no label), a row per page.
     """
-    hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumn("suffix", suffix_of(F.col("host")))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
+    counted = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    name = name_of(F.col("host"))
+    counted = counted.withColumn("suffix", suffix_of(name, two_label)).withColumn("domain", domain_of(name, F.col("suffix")))
+    hosts = stage(counted, "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
@@ -134,21 +150,23 @@ def reputations(labelled: DataFrame, least: float = 2.0, most: float = 200.0, z:
     by_domain = level(domains, by_suffix.select("suffix", F.col("post_mean").alias("mean")), ["suffix"])
     by_host = level(hosts, by_domain.select("domain", F.col("post_mean").alias("mean")), ["domain"])
     sd = F.sqrt(F.col("post_mean") * (1 - F.col("post_mean")) / (F.col("post_strength") + 1))
-    return by_host.select("host", "n", "bad", "post_mean", F.greatest(F.col("post_mean") - z * sd, F.lit(0.0)).alias("lower_bound"))
+    told = by_host.crossJoin(F.broadcast(overall.select(F.col("mean").alias("overall"))))  # one row
+    return told.select("host", "n", "bad", "post_mean", F.greatest(F.col("post_mean") - z * sd, F.lit(0.0)).alias("lower_bound"), "overall")
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule] = RULES, max_bad: float = 0.5) -> DataFrame:
-    """page_id, host, path, rule and verdict of each page.
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[UrlRule] = RULES, max_bad: float | None = None, z: float = Z) -> DataFrame:
+    """page_id, host, path, rule, verdict, post_mean and lower_bound of each page.
 
     ``outcomes`` has page_id and bad, at most one row a page counts (the worst).
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     outcome = outcomes.groupBy("page_id").agg(F.max("bad").alias("bad"))
-    known = reputations(parsed.select("page_id", "host").join(outcome, "page_id", "left"))
-    scored = parsed.join(known.select("host", "post_mean", "lower_bound"), "host", "left")
+    known = stage(reputations(parsed.select("page_id", "host").join(outcome, "page_id", "left"), z=z), "reputations")
+    scored = parsed.join(known.select("host", "post_mean", "lower_bound", "overall"), "host", "left")
+    bound = F.col("overall") if max_bad is None else F.lit(max_bad)
     hit = matching_rule(rules, F.col("host"), F.col("path"))
     return scored.withColumn("hit", hit).select(
         "page_id", "host", "path", F.col("hit.rule").alias("rule"),
-        F.coalesce(F.col("hit.verdict"), F.when(F.col("lower_bound") > max_bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.coalesce(F.col("hit.verdict"), F.when(F.col("lower_bound") > bound, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "post_mean", "lower_bound",
     )

@@ -1,24 +1,28 @@
 """Chat formatting from an event log.
 
-An event is (conv_id, turn, seq, kind, role, text). ``message`` states a turn's text,
-``delta`` adds streamed text to it, ``edit`` replaces it, ``regenerate`` empties it so
-that later deltas write it anew. A conversation's log lies in one partition, sorted by
-turn and sequence, so the events of a turn follow each other and a fold keeps one
-message, however long the conversation is. A second ``message`` in one turn is a
-message of its own, and later events of the turn go to the latest.
+An event is (conv_id, turn, seq, kind, role, text) and, where several messages may be
+written in one turn, the ``message`` it belongs to. ``message`` as a kind states a
+text, ``delta`` adds streamed text to it, ``edit`` replaces it, ``regenerate`` empties
+it so that later deltas write it anew. The log arrives in any order. It is partitioned
+by conversation and turn and sorted by sequence within a message, so that the events
+of a message follow each other and a fold keeps one message, however long the
+conversation is. A second event of kind ``message`` begins a message of its own, and
+later events go to the latest.
 
 Final messages are rendered as pieces of the formatted text, each with the span of
-its characters under the loss mask. A control string inside a text is escaped: a
-backslash becomes two, a control string becomes a backslash and its letter, so that a
-text never holds a control string and the escape is reversible.
+its characters under the loss mask: joined in order of turn, message and part they are
+a conversation's text. A control string inside a text is escaped: a backslash becomes
+two, a control string becomes a backslash and its letter, so that a text never holds a
+control string and the escape is reversible.
 
-``read_back`` parses the pieces again with nothing but the template. Digests are
-updated piece by piece.
+``read_back`` parses stored pieces again with nothing but the template, in whatever
+order they are read. Digests are updated piece by piece; only they need a conversation
+in one task, as a stream.
 
 Defined results: a null text is empty, a null role is ``user``; a delta, edit or
-regenerate in a turn without a message starts one; events with equal turn and seq are
-ordered by kind, role and text; repeated rows are events of their own. An empty log
-gives no rows; extra columns are ignored.
+regenerate without a message starts one; events with equal seq are ordered by kind,
+role and text; repeated rows are events of their own. A message is held whole, however
+long. An empty log gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kiteloom.llm.common import small_batches
@@ -67,21 +71,22 @@ def parse(piece: str) -> tuple[str, str]:
 
 
 class Fold:
-    """Folds events, in order of conversation, turn and sequence, into final messages."""
+    """Folds events, in order of conversation, turn, message and sequence, into final messages."""
 
     def __init__(self):
         self.at: tuple | None = None
-        self.role, self.parts = "user", []
+        self.part, self.role, self.parts = 0, "user", []
 
-    def _done(self) -> Iterator[tuple[int, str, str]]:
+    def _done(self) -> Iterator[tuple]:
         if self.at is not None:
-            yield self.at[0], self.role, "".join(self.parts)
+            yield (*self.at, self.part, *render(self.role, "".join(self.parts)))
 
-    def add(self, conv: int, turn: int, kind: str, role: str | None, text: str | None) -> Iterator[tuple[int, str, str]]:
-        """Take one event; yields the message before it once that is final."""
-        if self.at != (conv, turn) or kind == "message":
+    def add(self, at: tuple, kind: str, role: str | None, text: str | None) -> Iterator[tuple]:
+        """Take one event of (conv_id, turn, message); yields the piece before it once that is final."""
+        if self.at != at or kind == "message":
             yield from self._done()
-            self.at, self.role, self.parts = (conv, turn), role or "user", []
+            self.part = self.part + 1 if self.at == at else 0
+            self.at, self.role, self.parts = at, role or "user", []
         if kind in ("edit", "regenerate"):
             self.parts = []
         if kind != "regenerate":
@@ -89,50 +94,42 @@ class Fold:
         if kind != "message" and role:
             self.role = role
 
-    def close(self) -> Iterator[tuple[int, str, str]]:
+    def close(self) -> Iterator[tuple]:
         yield from self._done()
         self.at = None
 
 
-PIECES = "conv_id long, piece_no long, piece string, loss_from int, loss_to int"
+PIECES = "conv_id long, turn long, message string, part int, piece string, loss_from int, loss_to int"
+ORDER = ["conv_id", "turn", "message", "part"]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
 
 
-def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fold, conv, number = Fold(), None, 0
-
-    def pieces(messages: Iterator[tuple[int, str, str]]) -> Iterator[tuple]:
-        nonlocal conv, number
-        for c, role, text in messages:
-            conv, number = c, number + 1 if c == conv else 0
-            yield (c, number, *render(role, text))
+def _batch_of(rows: list[tuple], kinds: list[pa.DataType], schema: str) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
+def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fold = Fold()
     for batch in batches:
-        rows = []
-        for conv_id, turn, kind, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.extend(pieces(fold.add(conv_id, turn, kind, role, text)))
-        yield batch_of(rows)
-    yield batch_of(list(pieces(fold.close())))
+        rows: list[tuple] = []
+        for conv, turn, message, kind, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows.extend(fold.add((conv, turn, message), kind, role, text))
+        yield _batch_of(rows, _KINDS, PIECES)
+    yield _batch_of(list(fold.close()), _KINDS, PIECES)
 
 
 def format_events(events: DataFrame) -> DataFrame:
-    """PIECES of every conversation: joined in order of piece_no they are its formatted text.
-
-    One exchange by conversation. The pieces of a conversation follow each other in
-    one partition.
-    """
+    """PIECES of every conversation, by one exchange on conversation and turn."""
     small_batches(events.sparkSession)
     kind = F.array_position(F.array(*[F.lit(k) for k in ("message", "edit", "regenerate", "delta")]), F.col("kind"))
+    message = F.coalesce(F.col("message").cast("string"), F.lit("")) if "message" in events.columns else F.lit("")
     log = events.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"),
-        "kind", "role", "text", kind.alias("order"),
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), message.alias("message"),
+        F.col("seq").cast("long").alias("seq"), "kind", "role", "text", kind.alias("order"),
     )
-    laid = log.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "seq", "order", "role", "text")
-    return laid.select("conv_id", "turn", "kind", "role", "text").mapInArrow(_format, PIECES)
+    laid = log.repartition("conv_id", "turn").sortWithinPartitions("conv_id", "turn", "message", "seq", "order", "role", "text")
+    return laid.select("conv_id", "turn", "message", "kind", "role", "text").mapInArrow(_format, PIECES)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -145,20 +142,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, turns, chars, loss, size = state
         return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in DIGESTS.split(", ")])
-
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     for batch in batches:
         rows = []
-        for conv_id, number, piece, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for conv_id, piece, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if state is None or conv_id != conv:
                 if state is not None:
                     rows.append(row())
                 conv, state = conv_id, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            if number != state[0]:
-                raise ValueError("pieces are out of order")
             role, text = parse(piece)
             loss = unescape(piece[a:b])
             state[0] += 1
@@ -166,15 +157,38 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             state[2] += len(loss)
             state[3].update(loss.encode())
             state[4] += len(piece)
-        yield batch_of(rows)
-    yield batch_of([row()] if state is not None else [])
+        yield _batch_of(rows, kinds, DIGESTS)
+    yield _batch_of([row()] if state is not None else [], kinds, DIGESTS)
 
 
 def read_back(pieces: DataFrame) -> DataFrame:
-    """DIGESTS of each conversation, parsed from what ``format_events`` returned."""
-    return pieces.mapInArrow(_digest, DIGESTS)
+    """DIGESTS of each conversation, parsed from the pieces that ``format_events`` returned."""
+    small_batches(pieces.sparkSession)
+    laid = pieces.repartition("conv_id").sortWithinPartitions(*ORDER)
+    return laid.select("conv_id", "piece", "loss_from", "loss_to").mapInArrow(_digest, DIGESTS)
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A log with one ``message`` event a row of (conv_id, turn, role, text)."""
-    return conversations.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """The log of writing the messages of (conv_id, turn, role, text) rows.
+
+    An assistant's message is begun, streamed in part, regenerated and streamed in three
+    deltas; others are begun with their first characters and edited. The final texts are
+    the rows' texts. Rows of one turn are ordered by role and md5 of the text.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+
+    def event(seq: int, kind: str, role: Column, said: Column | None) -> Column:
+        return F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), (F.lit(None).cast("string") if said is None else said).alias("text"))
+
+    none, role = F.lit(None).cast("string"), F.col("role")
+    streamed = F.array(
+        event(0, "message", role, F.lit("")), event(1, "delta", none, F.left(text, F.lit(8))), event(2, "regenerate", none, None),
+        event(3, "delta", none, F.substr(text, F.lit(1), third)), event(4, "delta", none, F.substr(text, third + 1, third)), event(5, "delta", none, F.substr(text, 2 * third + 1, third)),
+    )
+    edited = F.array(event(0, "message", role, F.left(text, F.lit(8))), event(1, "edit", none, text))
+    # the row number only tells rows apart that are equal, so any numbers do
+    numbered = conversations.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("row"))
+    message = F.concat_ws(" ", role, F.md5(text), F.col("row"))
+    log = numbered.select("conv_id", "turn", message.alias("message"), F.explode(F.when(role == "assistant", streamed).otherwise(edited)).alias("event"))
+    return log.select("conv_id", "turn", "message", "event.*")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiteloom.llm import bpe, chat, media, near_dedup, packing, quality_rules, sharding, substring_dedup, toxicity, url_filters
-from kiteloom.llm.common import table
+from kiteloom.llm.common import stage, table
 from kiteloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -36,7 +36,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_events(chat.events_of(rows.unionByName(probe))))
+    return chat.read_back(stage(chat.format_events(chat.events_of(rows.unionByName(probe))), "chat"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

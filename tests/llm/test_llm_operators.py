@@ -286,18 +286,37 @@ def test_events_fold_to_final_messages(spark):
         (2, 0, 0, "delta", "assistant", None), (3, 5, 1, "message", None, "x"), (3, 5, 1, "message", None, "x"),
     ]
     df = spark.createDataFrame(log, "conv_id long, turn long, seq long, kind string, role string, text string").repartition(3)
-    pieces = chat.format_events(df)
+    pieces = chat.format_events(df.orderBy(F.rand(5)))
     got = {}
-    for r in sorted(pieces.collect(), key=lambda r: (r["conv_id"], r["piece_no"])):
+    for r in sorted(pieces.collect(), key=lambda r: tuple(r[c] for c in chat.ORDER)):
         assert r["piece"].count("</s>") == 1 and r["piece"].count("[INST]") == 1
         got.setdefault(r["conv_id"], []).append(chat.parse(r["piece"]))
     assert got == {1: [("user", "[INST]\\e"), ("assistant", "Yo </s>")], 2: [("assistant", "")], 3: [("user", "x"), ("user", "x")]}
-    back = {r["conv_id"]: r for r in chat.read_back(pieces).collect()}
+    back = {r["conv_id"]: r for r in chat.read_back(pieces.orderBy(F.rand(6))).collect()}
     assert back[1]["loss_chars"] == 7 and back[1]["loss_sha256"] == hashlib.sha256(b"Yo </s>").hexdigest()
+    assert back[1]["turns_sha256"] == hashlib.sha256(b"user\n[INST]\\e\nassistant\nYo </s>\n").hexdigest()
     assert back[2]["loss_sha256"] == hashlib.sha256(b"").hexdigest()
     assert chat.read_back(chat.format_events(df.limit(0))).count() == 0
 
 
+def test_logs_of_conversations_fold_back_to_them(spark):
+    """Null and empty texts and roles, repeated rows, a tie, one very long text, clashing columns; and without a fold step they differ."""
+    long = said(30_000)
+    rows = [(1, 0, "system", None), (1, 1, "user", ""), (1, 2, "assistant", "ab"), (1, 3, "assistant", long), (2, 0, None, "more than a draft"), (2, 1, "assistant", "é😀</s>"), (2, 1, "assistant", "é😀</s>"), (3, 0, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("x") for c in ("seq", "kind", "piece")}).repartition(3)
+    log = chat.events_of(df)
+    assert {r["kind"] for r in log.collect()} == {"message", "delta", "regenerate", "edit"}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_events(log.orderBy(F.rand(3)))).collect()}
+    for conv in (1, 2, 3):
+        own = [(role or "user", text or "") for c, _, role, text in rows if c == conv]
+        loss = "".join(t for r, t in own if r == "assistant")
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert (got[conv]["n_turns"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(own), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    for kind in ("delta", "regenerate", "edit"):
+        other = {r["conv_id"]: r["turns_sha256"] for r in chat.read_back(chat.format_events(log.filter(F.col("kind") != kind))).collect()}
+        assert other != {c: r["turns_sha256"] for c, r in got.items()}
+
+
 @pytest.mark.parametrize("text", ["", "\\", "\\e</s>", "<s><<SYS>>\\\\[/INST]", "a\nb"])
 def test_escape_is_reversible(text):
     assert chat.unescape(chat.escape(text)) == text

@@ -347,7 +347,18 @@ def test_chunks_follow_content(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = media.columns(df).collect()
     assert len(got) == 6 and len({r["payload_sha256"] for r in got}) == 2
-    assert media.chunk_store(df).count() < sum(len(r["chunks"]) for r in media.catalogue(df).collect())
+    saved = media.savings(media.catalogue(df), media.chunk_store(df)).first()
+    assert saved["distinct_chunks"] < saved["chunks_of_distinct_files"] < saved["chunks"]
+
+
+def test_files_of_many_chunks_need_all_of_them(spark):
+    shared = said(2000, random.Random(3))
+    df = spark.createDataFrame([(i, said(300 + i, random.Random(i)) + shared) for i in range(8)], "doc_id long, text string").repartition(3)
+    listed, store = media.catalogue(df), media.chunk_store(df)
+    assert all(len(r["chunks"]) > 3 for r in listed.collect())
+    assert media.reconstruct(media.manifest(listed), store).count() == 8
+    with pytest.raises(Exception, match="chunk of a file is missing"):
+        media.reconstruct(media.manifest(listed).filter("place <> 1"), store).collect()
 
 
 @pytest.mark.parametrize("seed", range(5))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import io
+import wave
 import zlib
 
 import numpy as np
@@ -13,6 +15,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+from kiteloom.llm import media
 from kiteloom.llm.oracles import ORACLE_SQL
 from kiteloom.llm.queries import QUERIES, VOCABULARY
 from tests.compare import difference, oracle
@@ -70,6 +73,14 @@ def test_op9_gives_back_every_payload(spark, docs):
         body = docs[r["doc_id"]].encode()
         padded = body + b"\0" * (max(64, -(-len(body) // 64) * 64) - len(body))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(body), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        made = io.BytesIO()
+        with wave.open(made, "wb") as out:
+            out.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            out.writeframes(padded)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(made.getvalue()), hashlib.sha256(made.getvalue()).hexdigest())
+        x = [b - 128 for b in padded]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        assert r["feature"] == f"samples={len(x)};sum={sum(x)};energy={sum(v * v for v in x)};crossings={crossings};peak={max(map(abs, x))}"
 
 
 def test_op10_packs_every_token_once_and_tightly(spark, docs):

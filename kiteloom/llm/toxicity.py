@@ -4,18 +4,27 @@ Fit. A bounded sample of labelled rows (``SAMPLE``; the least hashes of doc_id o
 class) is taken from the rows that may be learnt from. Features of a text are the
 distinct lower-cased words, their beginnings and their endings; document counts by
 label, summed in Spark, choose the ``TERMS`` that tell most. A logistic regression is
-then fitted on these with two penalties: the squared weights, and for each labelled
-text with identity terms the squared change of its score when these are swapped for
-others of their group. So a mention of a group can't move the score by itself, and
-neutral sentences about groups aren't taken for toxic ones.
+then fitted on these with two penalties: the squared weights, and the squared change of
+a sentence's score when a group term in it is swapped for another of its group. So a
+mention of a group can't move the score by itself, and neutral sentences about groups
+aren't taken for toxic ones. Every sentence of every sampled text is swapped, a term at
+a time; equal changes are counted in Spark, and the ``PAIRS`` commonest are penalised by
+their counts.
+
+Group terms are the fixed ``IDENTITY`` ones and, since texts mention groups that no list
+has, the ``WORDS`` commonest words that the model would weigh, by themselves or their
+beginning or ending, though most of the sampled texts with them aren't toxic. Those of
+like frequency form a group.
 
 Score. One pass over all texts without an exchange; a worker keeps a bounded memo of
 words and the features they have.
 
 Defined results: a null or empty text has the score of no features; repeated rows get
 equal scores; rows without a label are scored like others; labels of several rows for
-one doc_id count as toxic if any is. Without labelled rows of both classes every score
-is the prior. Extra columns are ignored by ``score`` and carried by ``reject``.
+one doc_id count as toxic if any is; labels other than 0 and 1, or null, are no labels. Very
+long texts are scored whole. Without labelled rows of both classes every score is the
+prior. An empty table gives no rows. Extra columns are ignored by ``score`` and carried
+by ``reject``.
 """
 
 from __future__ import annotations
@@ -24,7 +33,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,15 +41,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiteloom.llm.common import small_batches
+from kiteloom.llm.common import small_batches, stage
 
 #: Labelled rows to learn from: at most so many toxic ones, and other ones.
 SAMPLE = (3000, 9000)
+#: Features of the model.
 TERMS = 1200
+#: Distinct changes by swaps that are penalised.
+PAIRS = 4000
+#: Words of the sampled texts taken for group terms, and the size of a group.
+WORDS, GROUP = 400, 4
 LEAST_TEXTS = 4
 LEAST_G2 = 15.0
 MEMO = 400_000
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?\n]+")
 #: Identity terms, in groups whose members may stand for each other.
 IDENTITY = (
     ("women", "men", "girls", "boys"),
@@ -70,19 +85,23 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
-def swaps(words: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY) -> list[set[str]]:
-    """The words with every identity term swapped for the next of its group, once or twice on."""
-    held = [(g, i) for g in groups for i, t in enumerate(g) if t in words]
-    if not held:
-        return []
-    rest = words - {g[i] for g, i in held}
-    return [rest | {g[(i + step) % len(g)] for g, i in held} for step in (1, 2)]
+def swaps(words: set[str], groups: Iterable[tuple[str, ...]] = IDENTITY) -> Iterator[set[str]]:
+    """The words with one group term swapped for the next of its group, or the next but one."""
+    for g in groups:
+        for i, term in enumerate(g):
+            if term in words:
+                for step in (1, 2):
+                    other = g[(i + step) % len(g)]
+                    if other != term:
+                        yield (words - {term}) | {other}
 
 
 @dataclass(frozen=True)
 class Model:
     weights: dict[str, float]
     bias: float
+    #: distinct changes by swaps that the fit has penalised
+    pairs: int = 0
 
     def scorer(self):
         """A function of a text that keeps a memo of words."""
@@ -113,7 +132,7 @@ def held_out(doc_id) -> F.Column:
 
 def sample_ids(labels: DataFrame, most: tuple[int, int] = SAMPLE) -> DataFrame:
     """(doc_id, toxic) of the rows to learn from, at most sum(most) rows."""
-    rows = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    rows = labels.filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(~held_out(F.col("doc_id")))
     rows = rows.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     bad = rows.filter("toxic = 1").orderBy(order, "doc_id").limit(most[0])
@@ -139,9 +158,8 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def choose_terms(counted: DataFrame, n_bad: int, n_good: int, most: int = TERMS) -> list[str]:
-    """The ``most`` features whose presence tells most about the label, by likelihood ratio."""
-    rates = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") + F.col("good") >= LEAST_TEXTS)
+def choose_terms(rates: DataFrame, n_bad: int, n_good: int, most: int = TERMS) -> list[str]:
+    """The ``most`` features (term, bad, good) whose presence tells most about the label, by likelihood ratio."""
     share = F.lit(n_bad / (n_bad + n_good))
     seen = F.col("bad") + F.col("good")
 
@@ -157,30 +175,59 @@ def choose_terms(counted: DataFrame, n_bad: int, n_good: int, most: int = TERMS)
     return [r["term"] for r in told.orderBy(F.desc("z"), "term").limit(most).collect()]
 
 
+def mentioned_groups(rates: DataFrame, terms: list[str]) -> tuple[tuple[str, ...], ...]:
+    """Groups of words with a feature among ``terms`` whose texts mostly aren't toxic; alike in frequency."""
+    word = F.substring("term", 2, 2**31 - 1)
+    common = rates.filter(F.col("term").startswith("=") & (F.col("good") > F.col("bad"))).select(word.alias("word"), (F.col("bad") + F.col("good")).alias("seen"))
+    part = lambda n: F.when(F.length("word") > n, F.array(F.concat(F.lit("^"), F.left("word", F.lit(n))), F.concat(F.lit("$"), F.right("word", F.lit(n)))))
+    held = F.flatten(F.filter(F.array(F.array(F.concat(F.lit("="), F.col("word"))), part(4), part(5), part(6)), lambda a: a.isNotNull()))
+    chosen = rates.sparkSession.createDataFrame([(t,) for t in terms], "feature string")
+    weighed = common.withColumn("feature", F.explode(held)).join(F.broadcast(chosen), "feature").select("word", "seen").distinct()
+    found = [r["word"] for r in weighed.orderBy(F.desc("seen"), "word").limit(WORDS).collect()]
+    groups = (tuple(found[i : i + GROUP]) for i in range(0, len(found), GROUP))
+    return tuple(g for g in groups if len(g) > 1)
+
+
 def _index_terms(terms: list[str], groups: tuple):
+    """toxic, the indices of a text's terms, and the changes of its sentences by swaps.
+
+    A change lists the terms that come as index + 1 and those that go as its negative.
+    """
     index = {t: i for i, t in enumerate(terms)}
+    held = {w: [g for g in groups if w in g] for g in groups for w in g}
 
-    def of(words: set[str]) -> list[int]:
-        return sorted({index[f] for w in words for f in features(w) if f in index})
+    def of(words: set[str]) -> set[int]:
+        return {index[f] for w in words for f in features(w) if f in index}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = [], []
+            own, changes = [], []
             for text in batch.column(0):
-                words = words_of(text.as_py())
-                own.append(of(words))
-                other.append([of(s) for s in swaps(words, groups)])
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["toxic", "own", "swapped"])
+                said = text.as_py() or ""
+                own.append(sorted(of(words_of(said))))
+                found = []
+                for sentence in SENTENCE.split(said):
+                    words = words_of(sentence)
+                    near = {g for w in words & held.keys() for g in held[w]}
+                    if near:
+                        here = of(words)
+                        for other in swaps(words, sorted(near)):
+                            there = of(other)
+                            if there != here:
+                                found.append([*sorted(-i - 1 for i in here - there), *sorted(i + 1 for i in there - here)])
+                changes.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(changes, pa.list_(pa.list_(pa.int32())))], ["toxic", "own", "changes"])
 
     return run
 
 
-def solve(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, ridge: float = 3e-4, pairing: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic regression; ``pairs`` holds x less x swapped.
+def solve(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, times: np.ndarray, ridge: float = 3e-4, pairing: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic regression; ``pairs`` holds x swapped less x, each seen ``times``.
 
     Both classes count alike, so that 0.5 divides them where their evidence is equal.
     """
     n, k = x.shape
+    times = (times / max(times.sum(), 1)).astype(np.float32)
     share = np.where(y == 1, 0.5 * n / max(y.sum(), 1), 0.5 * n / max(n - y.sum(), 1)).astype(np.float32)
     w, b = np.zeros(k, np.float32), np.float32(0)
     moment, square, mb, sb = np.zeros(k, np.float32), np.zeros(k, np.float32), 0.0, 0.0
@@ -189,7 +236,7 @@ def solve(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, ridge: float = 3e-4,
         error = share * (p - y)
         g = x.T @ error / n + ridge * w
         if len(pairs):
-            g += pairing * 2 * pairs.T @ (pairs @ w) / len(pairs)
+            g += pairing * 2 * pairs.T @ (times * (pairs @ w))
         gb = float(error.mean())
         moment, square = 0.9 * moment + 0.1 * g, 0.999 * square + 0.001 * g * g
         mb, sb = 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb * gb
@@ -210,21 +257,24 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, grou
         return Model({}, math.log((n_bad + 0.5) / (n_good + 0.5)))
     taken = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taken, "doc_id").select("text", "toxic")
-    terms = choose_terms(texts.mapInArrow(_count_terms, "term string, bad long, good long"), n_bad, n_good)
-    # of each sampled text, only which of the chosen terms it has
-    rows = texts.mapInArrow(_index_terms(terms, groups), "toxic int, own array<int>, swapped array<array<int>>").collect()
-    x, y, pairs = np.zeros((len(rows), len(terms)), np.float32), np.zeros(len(rows), np.float32), []
-    for i, (toxic, own, swapped) in enumerate(rows):
+    counted = texts.mapInArrow(_count_terms, "term string, bad long, good long")
+    rates = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") + F.col("good") >= LEAST_TEXTS)
+    rates = stage(rates, "rates")
+    terms = choose_terms(rates, n_bad, n_good)
+    groups = (*groups, *mentioned_groups(rates, terms))
+    indexed = stage(texts.mapInArrow(_index_terms(terms, groups), "toxic int, own array<int>, changes array<array<int>>"), "indexed")
+    # of each sampled text, only which of the chosen terms it has; of all swaps, the commonest changes
+    rows = indexed.select("toxic", "own").collect()
+    changes = indexed.select(F.explode("changes").alias("change")).groupBy("change").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "change").limit(PAIRS).collect()
+    x, y, pairs = np.zeros((len(rows), len(terms)), np.float32), np.zeros(len(rows), np.float32), np.zeros((len(changes), len(terms)), np.float32)
+    for i, (toxic, own) in enumerate(rows):
         x[i, own], y[i] = 1, toxic
-        for other in swapped:
-            change = np.zeros(len(terms), np.float32)
-            change[own] += 1
-            change[other] -= 1
-            if change.any():
-                pairs.append(change)
+    for i, (change, _) in enumerate(changes):
+        for t in change:
+            pairs[i, abs(t) - 1] = 1 if t > 0 else -1
     order = np.lexsort((y, x @ np.arange(1, len(terms) + 1, dtype=np.float64)))  # the same sums in any order of rows
-    w, b = solve(x[order], y[order], np.array(pairs, np.float32).reshape(-1, len(terms)), pairing=pairing)
-    return Model(dict(zip(terms, map(float, w), strict=True)), b)
+    w, b = solve(x[order], y[order], pairs, np.array([n for _, n in changes], np.float32), pairing=pairing)
+    return Model(dict(zip(terms, map(float, w), strict=True)), b, len(changes))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,6 +6,8 @@ import base64
 import collections
 import hashlib
 import io
+import math
+import re
 import wave
 import zlib
 
@@ -13,9 +15,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kiteloom.llm import media
+from kiteloom.llm import media, toxicity
 from kiteloom.llm.oracles import ORACLE_SQL
 from kiteloom.llm.queries import QUERIES, VOCABULARY
 from tests.compare import difference, oracle
@@ -119,3 +122,25 @@ def test_op1_learns_on_rows_that_may_be_learnt_from(spark, con, docs):
     for d, t in docs.items():
         same[t].add(rows[d]["score"])
     assert all(len(s) == 1 for s in same.values())
+
+
+def test_op1_tells_held_out_rows_and_never_learns_from_them(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.pairs > 0
+    held = toxicity.held_out(F.col("doc_id"))
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert toxicity.fit(docs, turned) == model
+    rows = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").collect()
+    bad, good = ([r["predicted"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    assert len(bad) > 50 and np.mean(bad) >= 0.85 and np.mean(good) <= 0.02
+    plain = toxicity.fit(docs, labels, pairing=0.0)
+    assert plain.weights != model.weights
+
+
+def test_op1_is_the_plain_sum_of_its_features(spark, docs):
+    model = toxicity.fit(*(spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels")))
+    for r in QUERIES["op1_toxicity"](spark, SF).collect():
+        found = {f for w in re.findall(r"[^\W\d_]+", docs[r["doc_id"]].lower()) for f in toxicity.features(w)}
+        z = model.bias + sum(w for f, w in model.weights.items() if f in found)
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-9

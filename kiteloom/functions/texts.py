@@ -5,6 +5,8 @@ Whitespace is an explicit class, since the engines differ on what \\s holds.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,17 +27,47 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
+#: What marks a text as promotion, a dump of questions, a table of contents
+#: or a source of impossible years.
+PROMOTION = r"@gmail\.com|@yahoo|youtube\.com|https?://|www\.|copyright|all rights reserved|£|हमारे\s+YouTube|जुड़ें\s+हमारे\s+साथ|निशुल्क\s+कोर्स|ननशुल्क"
+QUESTION_NUMBER = r"Q\s*\d{1,3}\s*[.।]"
+QUESTION_OPTION = r"(?:^|\s)[A-D]\s*[.)]\s*\S"
+PAGE_RANGE = r"\d{1,3}\s*[-–]\s*\d{1,3}"
+CONTENTS_WORDS = r"content\s+page|तिर्षय\s*सूची|विषय\s*सूची|अनुक्रम"
+BAD_YEAR = r"\b[4-9][0-9]{3}\s*(?:में|तक|से|ई(?![.०]?\s*पू))"
+BAD_YEAR_RANGE = r"\(\s*[0-9]{3,4}\s*[-–]\s*[4-9][0-9]{3}\s*\)"
+
+
 def junk_class(text: Column) -> Column:
     """The first class of promo, mcq_dump, toc, bad_year that a text falls in; else null."""
-    low = F.lower(text)
+    holds = lambda pattern, flags="": text.rlike(f"(?U{flags}){pattern}")
+    times = lambda pattern: F.regexp_count(text, F.lit(f"(?U){pattern}"))
     return (
-        F.when(low.rlike("subscribe|telegram|whatsapp|click here|join our"), "promo")
-        .when(F.regexp_count(text, F.lit("(?m)^\\s*\\(?[a-dA-D][).]\\s")) >= 8, "mcq_dump")
-        .when(F.regexp_count(text, F.lit("\\.{4,}\\s*\\d+")) >= 3, "toc")
-        .when(F.regexp_count(text, F.lit("\\b(2[1-9]\\d\\d|1[0-4]\\d\\d)\\b")) >= 5, "bad_year")
+        F.when(holds(PROMOTION, "iu"), "promo")
+        .when(holds(QUESTION_NUMBER) & (times(QUESTION_OPTION) >= 3), "mcq_dump")
+        .when(holds(CONTENTS_WORDS, "iu") | (times(PAGE_RANGE) >= 4), "toc")
+        .when(holds(BAD_YEAR) | holds(BAD_YEAR_RANGE), "bad_year")
     )
 
 
+#: Question formats by their marker phrases, in order of priority.
+FORMATS = (
+    ("figure", r"प्रश्न\s*आकृति|उत्तर\s*आकृति|आकृति\s+में|निम्न\s*आकृति"),
+    ("match", r"सुमेलित|सूची\s*[-–—]?\s*I|कूट\s*[:：]"),
+    ("assertion", r"अभिकथन|कथन\s*\(\s*A\s*\)|कारण\s*\(\s*R\s*\)"),
+    ("statement", r"कथनों?\s+पर\s+विचार|निम्नलिखित\s+कथन|सही\s+कथन|असत्य\s+कथन|सत्य\s+कथन"),
+    ("order", r"(सही|काला?नुक्रम|आरोही|अवरोही)\s*क्रम|क्रम\s+में\s+व्यवस्थित|कालक्रम"),
+)
+
+
+def format_of(text: Column, rules: Sequence[tuple[str, str]] = FORMATS, default: str = "plain") -> Column:
+    """The name of the first rule whose pattern the text holds; else ``default``."""
+    chain = F
+    for name, pattern in rules:
+        chain = chain.when(text.rlike(f"(?U){pattern}"), name)
+    return chain.otherwise(default) if rules else F.lit(default)
+
+
 def needs_restructure(text: Column) -> Column:
     options = F.regexp_count(text, F.lit("\\([a-d]\\)"))
     formula = F.length(text) - F.length(F.translate(text, "=+√∑∫×÷", ""))
@@ -86,20 +118,43 @@ def script_ratio(text: Column, script: str = DEVANAGARI, letters: str = LETTER)
     return F.when(n == 0, F.lit(0.0)).otherwise(F.regexp_count(text, F.lit(script)) / n)
 
 
-def garble_density(text: Column) -> Column:
-    """Suspicious pairs (overlapping) and repeat-run lengths per 100 characters."""
-    pairs = F.regexp_count(text, F.lit("(?=[a-z][%$#&*]|[%$#&*][a-z])"))
-    runs = F.aggregate(F.regexp_extract_all(text, F.lit("((\\S)\\2{3,})"), F.lit(1)), F.lit(0), lambda a, r: a + F.length(r))
-    return F.when(F.length(text) == 0, F.lit(0.0)).otherwise((pairs + runs) * 100.0 / F.length(text))
+#: Sequences that no Devanagari text has, and a joined consonant four or more times running.
+IMPOSSIBLE = r"्[ा-ौॢॣ]|््|[॒॑]|<[ऀ-ॿ]|[ऀ-ॿ]>|(?:^|[\s(«»])[ा-ौ]"
+STUTTER = r"((.्)\2{3,})"
+
+
+def garble_density(text: Column, impossible: str = IMPOSSIBLE, stutter: str = STUTTER) -> Column:
+    """Places where an impossible sequence begins, and characters of stutters, per 100 characters.
+
+    Sequences may overlap: each place counts. ``stutter`` has a run in group 1.
+    """
+    places = F.regexp_count(text, F.lit(f"(?={impossible})"))
+    runs = F.aggregate(F.regexp_extract_all(text, F.lit(stutter), F.lit(1)), F.lit(0), lambda a, r: a + F.length(r))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0.0)).otherwise((places + runs) * 100.0 / F.length(text))
+
+
+#: Letter sequences that a legacy Devanagari font leaves in extracted text.
+LEGACY_MARKS = ("dk ", " dh ", " esa ", "Hkk", "izk", "iz'", "vè;", ".kk", "'kk", "Lo;", "Ùk", "{k", "T;k", "|k", "/kk")
+
+
+def legacy_font(text: Column, marks: Sequence[str] = LEGACY_MARKS, window: int = 15000, least: int = 2000) -> Column:
+    """Whether most samples have under 15 % of the script and over one mark in 120 characters.
+
+    The samples are ``window`` characters from 25, 50 and 75 % of the text on, or the
+    whole of a text of under ``least`` characters. A sample without letters is not legacy.
+    """
 
+    def vote(sample: Column) -> Column:
+        letters = F.regexp_count(sample, F.lit(LETTER))
+        hits = F.lit(0)
+        for m in marks:
+            hits = hits + (F.length(sample) - F.length(F.replace(sample, F.lit(m), F.lit("")))) / len(m)
+        few = (letters > 0) & (F.regexp_count(sample, F.lit(DEVANAGARI)) < 0.15 * letters)
+        return (few & (hits * 120 > F.length(sample))).cast("int")
 
-def legacy_font(text: Column, window: int = 400) -> Column:
-    """Majority of three windows with little of the script and many of the font's marks."""
-    votes = [
-        ((script_ratio(part) < 0.15) & (F.regexp_count(part, F.lit("[¼½¾ß;Z]")) > F.length(part) / 120.0)).cast("int")
-        for part in (F.substr(text, F.greatest((F.length(text) * q).cast("int"), F.lit(1)), F.lit(window)) for q in (0.25, 0.5, 0.75))
-    ]
-    return votes[0] + votes[1] + votes[2] >= 2
+    n = F.length(text)
+    votes = [vote(F.substr(text, F.floor(n * q).cast("int") + 1, F.lit(window))) for q in (0.25, 0.5, 0.75)]
+    return F.coalesce(F.when(n < least, vote(text) == 1).otherwise(votes[0] + votes[1] + votes[2] >= 2), F.lit(False))
 
 
 def option_texts(text: Column) -> Column:

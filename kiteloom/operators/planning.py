@@ -69,13 +69,51 @@ def same_calendar(year: Column) -> Column:
     return F.array_min(F.filter(later, lambda y: (weekday(y) == weekday(year)) & (leap(y) == leap(year))))
 
 
-def mirror_clock(minutes: Column) -> Column:
+def water_clock(minutes: Column) -> Column:
+    """Minutes that a clock reflected about its vertical axis shows."""
     return F.pmod(720 - minutes, F.lit(720))
 
 
-def water_clock(minutes: Column) -> Column:
-    """Minutes that a clock's image in water shows."""
-    return F.pmod(360 - minutes + 720, F.lit(720))
+def mirror_clock(minutes: Column) -> Column:
+    """Minutes that a clock reflected about its horizontal axis shows."""
+    return F.pmod(360 - minutes, F.lit(720))
+
+
+def triangles(segments: DataFrame, figure: str, key: str) -> DataFrame:
+    """Number of triangles of each figure's segments (x1, y1, x2, y2); figures without any are absent.
+
+    Three segments bound one if each two cross, within both, at three places that are
+    pairwise distinct and not on one line. Crossings are found once a pair.
+    """
+    eps, apart = 1e-9, 1e-6
+    one, two = (segments.select(figure, *[F.col(c).cast("double" if c != key else "long").alias(f"{c}_{n}") for c in (key, "x1", "y1", "x2", "y2")]) for n in "ab")
+    dxa, dya, dxb, dyb = (F.expr(e) for e in ("x1_a - x2_a", "y1_a - y2_a", "x1_b - x2_b", "y1_b - y2_b"))
+    across, gx, gy = dxa * dyb - dya * dxb, F.expr("x1_a - x1_b"), F.expr("y1_a - y1_b")
+    pairs = one.join(two, figure).filter(F.col(f"{key}_a") < F.col(f"{key}_b")).withColumn("across", across).filter(F.abs("across") >= eps)
+    pairs = pairs.withColumns({"t": F.try_divide(gx * dyb - gy * dxb, "across"), "u": F.try_divide(gx * dya - gy * dxa, "across")})
+    pairs = pairs.filter(F.col("t").between(-eps, 1 + eps) & F.col("u").between(-eps, 1 + eps))
+    cross = pairs.select(figure, F.col(f"{key}_a").alias("i"), F.col(f"{key}_b").alias("j"), (F.col("x1_a") - F.col("t") * dxa).alias("x"), (F.col("y1_a") - F.col("t") * dya).alias("y"))
+
+    def named(i: str, j: str, n: int) -> DataFrame:
+        return cross.select(figure, F.col("i").alias(i), F.col("j").alias(j), F.col("x").alias(f"px{n}"), F.col("y").alias(f"py{n}"))
+
+    three = named("a", "b", 0).join(named("b", "c", 1), [figure, "b"]).join(named("a", "c", 2), [figure, "a", "c"])
+    differ = [(F.abs(F.col(f"px{m}") - F.col(f"px{n}")) >= apart) | (F.abs(F.col(f"py{m}") - F.col(f"py{n}")) >= apart) for m, n in ((0, 1), (1, 2), (0, 2))]
+    area = F.abs(F.expr("(px1 - px0) * (py2 - py0) - (px2 - px0) * (py1 - py0)"))
+    return three.filter(differ[0] & differ[1] & differ[2] & (area >= eps)).groupBy(figure).agg(F.count(F.lit(1)).alias("triangles"))
+
+
+def batch_replies(replies: DataFrame, by: Sequence[str], raw: str, sections: Column, fields: Sequence[str]) -> DataFrame:
+    """The first question of each section number in 1..sections of a JSON reply, with its text fields.
+
+    Replies that are no JSON object give no rows; numbers that aren't whole are none.
+    """
+    question = "struct<section_number: bigint, " + ", ".join(f"{f}: string" for f in fields) + ">"
+    parsed = F.from_json(raw, f"struct<questions: array<{question}>>")
+    rows = replies.select(*by, sections.alias("sections"), F.posexplode(parsed["questions"]).alias("place", "q"))
+    fine = rows.filter(F.col("q.section_number").between(1, F.col("sections")))
+    first = fine.groupBy(*by, F.col("q.section_number").alias("section")).agg(F.min(F.struct("place", "q")).alias("first"))
+    return first.select(*by, "section", *[F.col(f"first.q.{f}").alias(f) for f in fields])
 
 
 def sole_value(conditions: list, low: int = 1, high: int = 99) -> Column:

@@ -94,7 +94,15 @@ def qg5(spark, d):
     return lists.select("n_regionkey", F.array_join("o.n_name", " / ").alias("options"), F.array_position("o.n_name", F.col("right")).alias("answer"))
 
 
-sql("qg6_first_reply", "SELECT user_id, min_by(event_id, event_id) AS kept FROM events WHERE user_id BETWEEN 1 AND 100 GROUP BY user_id")
+@add("qg6_first_reply", "SELECT conv_id, CAST(n AS BIGINT) AS section, min_by(md5(text), turn) AS stem FROM (SELECT conv_id, turn, text, (turn * 7 + conv_id) % 5 AS n, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE n BETWEEN 1 AND least(3, last) GROUP BY conv_id, n")
+def qg6(spark, d):
+    """Each conversation as one JSON reply, whose turns name sections 0 to 4 of up to three."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.struct(((F.col("turn") * 7 + F.col("conv_id")) % 5).alias("section_number"), F.md5("text").alias("stem")).alias("q"))
+    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "q"))).alias("l"), F.max("turn").alias("last"))
+    replies = listed.select("conv_id", "last", F.to_json(F.struct(F.col("l.q").alias("questions"))).alias("raw"))
+    return planning.batch_replies(replies, ["conv_id"], "raw", F.least(F.lit(3), F.col("last")), ["stem"])
+
+
 sql("qg7_marked_answers", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'a' END AS answer FROM labels")
 sql("qg8_verdict", "SELECT user_id, CASE WHEN count(*) >= 20 AND max(value) > 30 THEN 'confirmed' WHEN count(*) >= 5 THEN 'weak' ELSE 'failed' END AS verdict FROM events GROUP BY user_id")
 sql("qg9_drop_reasons", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN n_chars > 15000 THEN 'long' ELSE 'kept' END AS reason FROM documents) t GROUP BY reason")
@@ -154,7 +162,7 @@ def rg7(spark, d):
     return years.select(F.col("y").cast("long").alias("y"), planning.same_calendar(F.col("y")).cast("long").alias("again"))
 
 
-@add("rg8_clock_images", "SELECT p_partkey, CAST((720 - m) % 720 AS BIGINT) AS mirror, CAST((1080 - m) % 720 AS BIGINT) AS water FROM (SELECT p_partkey, p_partkey * 37 % 720 AS m FROM part)")
+@add("rg8_clock_images", "SELECT p_partkey, CAST((720 - m) % 720 AS BIGINT) AS water, CAST((1080 - m) % 720 AS BIGINT) AS mirror FROM (SELECT p_partkey, p_partkey * 37 % 720 AS m FROM part)")
 def rg8(spark, d):
     m = F.col("p_partkey") * 37 % 720
     return table(spark, d, "part").select("p_partkey", planning.mirror_clock(m).alias("mirror"), planning.water_clock(m).alias("water"))
@@ -188,12 +196,21 @@ def rg12(spark, d):
 sql("rg13_layout_lookup", "SELECT n_nationkey, coalesce(l.layout, 'apart') AS layout FROM nation LEFT JOIN (SELECT * FROM (VALUES (0, 'nested'), (1, 'crossed'), (2, 'apart')) AS v(k, layout)) l ON n_regionkey = l.k")
 
 
-@add("rg14_triangle_count", "SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT s_suppkey AS id, s_nationkey AS a, (s_nationkey * 7 + s_suppkey) % 25 AS b FROM supplier) x, (SELECT s_suppkey AS id, s_nationkey AS a, (s_nationkey * 7 + s_suppkey) % 25 AS b FROM supplier) y WHERE x.b = y.a AND y.b = x.a AND x.id < y.id")
+_SEGMENTS = "SELECT s_nationkey AS figure, s_suppkey AS id, CAST(s_suppkey * 7 % 11 AS DOUBLE) AS x1, CAST(s_suppkey * 5 % 13 AS DOUBLE) AS y1, CAST(s_suppkey * 3 % 17 AS DOUBLE) AS x2, CAST(s_suppkey * 11 % 19 AS DOUBLE) AS y2 FROM supplier"
+_TRIANGLES = f"""WITH s AS ({_SEGMENTS}), p AS (SELECT a.figure, a.id AS i, b.id AS j, a.x1 AS ax, a.y1 AS ay, a.x2 - a.x1 AS dx, a.y2 - a.y1 AS dy,
+    (a.x1 - a.x2) * (b.y1 - b.y2) - (a.y1 - a.y2) * (b.x1 - b.x2) AS den, (a.x1 - b.x1) * (b.y1 - b.y2) - (a.y1 - b.y1) * (b.x1 - b.x2) AS tn, (a.x1 - b.x1) * (a.y1 - a.y2) - (a.y1 - b.y1) * (a.x1 - a.x2) AS un
+    FROM s a JOIN s b ON a.figure = b.figure AND a.id < b.id),
+  c AS (SELECT figure, i, j, ax + tn / den * dx AS x, ay + tn / den * dy AS y FROM p WHERE abs(den) >= 1e-9 AND tn / den BETWEEN -1e-9 AND 1 + 1e-9 AND un / den BETWEEN -1e-9 AND 1 + 1e-9)
+  SELECT u.figure, count(*) AS triangles FROM c u JOIN c v ON u.figure = v.figure AND u.j = v.i JOIN c w ON w.figure = u.figure AND w.i = u.i AND w.j = v.j
+  WHERE (abs(u.x - v.x) >= 1e-6 OR abs(u.y - v.y) >= 1e-6) AND (abs(v.x - w.x) >= 1e-6 OR abs(v.y - w.y) >= 1e-6) AND (abs(u.x - w.x) >= 1e-6 OR abs(u.y - w.y) >= 1e-6)
+    AND abs((v.x - u.x) * (w.y - u.y) - (w.x - u.x) * (v.y - u.y)) >= 1e-9 GROUP BY u.figure"""
+
+
+@add("rg14_triangle_count", _TRIANGLES)
 def rg14(spark, d):
-    far = (F.col("s_nationkey") * 7 + F.col("s_suppkey")) % 25
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("a"), far.alias("b"))
-    o = s.select(F.col("id").alias("id2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-    return s.join(o, (F.col("b") == F.col("a2")) & (F.col("b2") == F.col("a")) & (F.col("id") < F.col("id2"))).agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("s_suppkey")
+    ends = {c: (k * m % n).alias(c) for c, m, n in (("x1", 7, 11), ("y1", 5, 13), ("x2", 3, 17), ("y2", 11, 19))}
+    return planning.triangles(table(spark, d, "supplier").select(F.col("s_nationkey").alias("figure"), k.alias("id"), *ends.values()), "figure", "id")
 
 
 @add("rg15_distractors")

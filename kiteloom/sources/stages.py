@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only in local mode, where none need be set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (found or tempfile.mkdtemp(prefix="kiteloom-")).rstrip("/")
 
 

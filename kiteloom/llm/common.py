@@ -2,8 +2,8 @@
 
 A stage table is a Parquet table in the folder that the session names in
 spark.checkpoint.dir. It cuts lineage, is read by every executor and survives
-the loss of any of them. Only where that setting is absent (tests, a notebook)
-is a folder under the system's temporary folder used.
+the loss of any of them. Only in local mode (tests, a notebook) may that setting be
+absent; a folder under the system's temporary folder is used then.
 """
 
 from __future__ import annotations
@@ -25,7 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` unless it is lower already."""
+    """Lower the session's Arrow batch size to ``rows`` unless it is lower already.
+
+    The setting stays lowered: results are lazy, and it counts when they run.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
@@ -37,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(shared_dir, "own", "") or tempfile.mkdtemp(prefix="kiteloom-")
         shared_dir.own = found
     return found.rstrip("/")

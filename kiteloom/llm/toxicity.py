@@ -189,9 +189,10 @@ def mentioned_groups(rates: DataFrame, terms: list[str]) -> tuple[tuple[str, ...
 
 
 def _index_terms(terms: list[str], groups: tuple):
-    """toxic, the indices of a text's terms, and the changes of its sentences by swaps.
+    """A row a text: toxic and the indices of its terms; and rows of changes by swaps: change and n.
 
     A change lists the terms that come as index + 1 and those that go as its negative.
+    Changes are counted within a task, as far as memory allows.
     """
     index = {t: i for i, t in enumerate(terms)}
     held = {w: [g for g in groups if w in g] for g in groups for w in g}
@@ -199,13 +200,21 @@ def _index_terms(terms: list[str], groups: tuple):
     def of(words: set[str]) -> set[int]:
         return {index[f] for w in words for f in features(w) if f in index}
 
+    def flush(counts: Counter) -> pa.RecordBatch:
+        changes, n = list(counts), list(counts.values())
+        counts.clear()
+        none = [None] * len(n)
+        return pa.RecordBatch.from_arrays([pa.array(none, pa.int32()), pa.array(none, pa.list_(pa.int32())), pa.array(changes, pa.list_(pa.int32())), pa.array(n, pa.int64())], names)
+
+    names = ["toxic", "own", "change", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
-            own, changes = [], []
+            own = []
             for text in batch.column(0):
                 said = text.as_py() or ""
                 own.append(sorted(of(words_of(said))))
-                found = []
                 for sentence in SENTENCE.split(said):
                     words = words_of(sentence)
                     near = {g for w in words & held.keys() for g in held[w]}
@@ -214,9 +223,12 @@ def _index_terms(terms: list[str], groups: tuple):
                         for other in swaps(words, sorted(near)):
                             there = of(other)
                             if there != here:
-                                found.append([*sorted(-i - 1 for i in here - there), *sorted(i + 1 for i in there - here)])
-                changes.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(changes, pa.list_(pa.list_(pa.int32())))], ["toxic", "own", "changes"])
+                                counts[(*sorted(-i - 1 for i in here - there), *sorted(i + 1 for i in there - here))] += 1
+            none = [None] * len(own)
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(none, pa.list_(pa.int32())), pa.array(none, pa.int64())], names)
+            if len(counts) > 200_000:
+                yield flush(counts)
+        yield flush(counts)
 
     return run
 
@@ -262,10 +274,10 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, grou
     rates = stage(rates, "rates")
     terms = choose_terms(rates, n_bad, n_good)
     groups = (*groups, *mentioned_groups(rates, terms))
-    indexed = stage(texts.mapInArrow(_index_terms(terms, groups), "toxic int, own array<int>, changes array<array<int>>"), "indexed")
+    indexed = stage(texts.mapInArrow(_index_terms(terms, groups), "toxic int, own array<int>, change array<int>, n long"), "indexed")
     # of each sampled text, only which of the chosen terms it has; of all swaps, the commonest changes
-    rows = indexed.select("toxic", "own").collect()
-    changes = indexed.select(F.explode("changes").alias("change")).groupBy("change").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "change").limit(PAIRS).collect()
+    rows = indexed.filter("change IS NULL").select("toxic", "own").collect()
+    changes = indexed.filter("change IS NOT NULL").groupBy("change").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "change").limit(PAIRS).collect()
     x, y, pairs = np.zeros((len(rows), len(terms)), np.float32), np.zeros(len(rows), np.float32), np.zeros((len(changes), len(terms)), np.float32)
     for i, (toxic, own) in enumerate(rows):
         x[i, own], y[i] = 1, toxic

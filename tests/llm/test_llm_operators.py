@@ -352,7 +352,7 @@ def test_chunks_follow_content(spark):
 
 
 def test_files_of_many_chunks_need_all_of_them(spark):
-    shared = said(2000, random.Random(3))
+    shared = said(9000, random.Random(3))
     df = spark.createDataFrame([(i, said(300 + i, random.Random(i)) + shared) for i in range(8)], "doc_id long, text string").repartition(3)
     listed, store = media.catalogue(df), media.chunk_store(df)
     assert all(len(r["chunks"]) > 3 for r in listed.collect())

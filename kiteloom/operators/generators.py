@@ -22,14 +22,19 @@ def series_question(rng: random.Random) -> tuple[str, list[int], int]:
 
 
 def series_blocks(seeds: DataFrame, size: int) -> DataFrame:
-    """seed, nth, rule, stem and answer of ``size`` questions a seed, without repeated stems."""
+    """seed, nth, rule, stem and answer of ``size`` questions a seed, without repeated stems.
+
+    After 100 draws a question the block ends with those that were found.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for seed in frame["seed"]:
                 rng, seen = random.Random(int(seed)), set()
-                while len(seen) < size:
+                for _ in range(100 * size):
+                    if len(seen) == size:
+                        break
                     rule, terms, answer = series_question(rng)
                     stem = ", ".join(map(str, terms)) + ", ?"
                     if stem not in seen:

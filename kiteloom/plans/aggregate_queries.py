@@ -123,7 +123,7 @@ sql("ag24_leaderboard", "SELECT user_id, round(sum(value), 2) AS total FROM even
 sql("ag25_members", "SELECT c_nationkey, count(*) FILTER (WHERE c_custkey % 2 = 0) AS even, count(*) FILTER (WHERE c_custkey % 2 = 1) AS odd FROM customer GROUP BY c_nationkey")
 
 sql("bonus_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-sql("bonus_grouping_sets", "SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_size < 6 GROUP BY GROUPING SETS ((p_brand), (p_size), ())")
+sql("bonus_grouping_sets", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())")
 sql("bonus_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 sql("bonus_rank_ntile", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS rnk, ntile(4) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS quart FROM events")
 sql("bonus_moving_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS mean4 FROM events")

@@ -78,12 +78,12 @@ def texts_cut(text, size):
     return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / float(size)) - 1, F.lit(0)).cast("int")), lambda i: F.substr(text, i * size + 1, F.lit(size)))
 
 
-_PARAGRAPHS = """WITH RECURSIVE t AS (SELECT doc_id, i, length(p) AS size FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE doc_id % 5 = 0)),
+_PARAGRAPHS = """WITH RECURSIVE t AS (SELECT doc_id, i, length(p) AS size FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
  f AS (SELECT doc_id, i, 0 AS g, size AS cur FROM t WHERE i = 1 UNION ALL SELECT t.doc_id, t.i, CASE WHEN f.cur > 0 AND f.cur + t.size > 1500 THEN f.g + 1 ELSE f.g END, CASE WHEN f.cur > 0 AND f.cur + t.size > 1500 THEN t.size ELSE f.cur + t.size END FROM f JOIN t ON t.doc_id = f.doc_id AND t.i = f.i + 1)
  SELECT doc_id, CAST(max(g) + 1 AS INTEGER) AS parts FROM f GROUP BY doc_id"""
 
 
-@add("tx7_paragraph_packing", _PARAGRAPHS.replace(" WHERE doc_id % 5 = 0", ""))
+@add("tx7_paragraph_packing", _PARAGRAPHS)
 def tx7(spark, d):
     sizes = F.transform(F.split("text", "\n"), lambda p: F.length(p).cast("long"))
     groups = sequences.pack_fold(sizes, 1500, 1 << 60)

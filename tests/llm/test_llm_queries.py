@@ -18,7 +18,9 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from kiteloom.llm import media, toxicity
+from kiteloom.llm.common import stage
 from kiteloom.llm.oracles import ORACLE_SQL
 from kiteloom.llm.queries import QUERIES, VOCABULARY
 from tests.compare import difference, oracle
@@ -144,3 +146,17 @@ def test_op1_is_the_plain_sum_of_its_features(spark, docs):
         found = {f for w in re.findall(r"[^\W\d_]+", docs[r["doc_id"]].lower()) for f in toxicity.features(w)}
         z = model.bias + sum(w for f, w in model.weights.items() if f in found)
         assert abs(r["score"] - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-9
+
+
+def test_pipeline_stages_take_effect(spark, docs):
+    seen = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, n = seen.columns, seen.count()
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        kept = stage(step(spark, seen, SF), f"test-{name}")
+        assert kept.columns == columns
+        assert kept.count() < seen.count() or name in ("toxicity", "substring_dedup")
+        assert kept.join(seen, "doc_id", "left_anti").count() == 0
+        seen = kept
+    assert 0.3 * n < seen.count() < n
+    rows = corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in seen.select("doc_id").collect()}

@@ -32,20 +32,22 @@ def jn2(spark, d):
 sql("jn3_exists", "SELECT n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000)")
 
 
-@add("jn4_new_rows", "SELECT count(*) AS n, count(DISTINCT k) AS distinct_keys FROM (SELECT lower(trim(c_mktsegment)) || (c_custkey % 50) AS k FROM customer WHERE c_custkey % 2 = 0) WHERE k NOT IN (SELECT lower(trim(c_mktsegment)) || (c_custkey % 50) FROM customer WHERE c_custkey % 6 = 1 OR c_custkey % 10 = 4)")
+_BAND = "{0}_nationkey || '|' || CAST(floor({0}_acctbal / 100) AS BIGINT)"  # nation and band of the balance
+
+
+def _band(p: str) -> F.Column:
+    return F.concat_ws("|", F.col(f"{p}_nationkey").cast("string"), F.floor(F.col(f"{p}_acctbal") / 100).cast("string"))
+
+
+@add("jn4_new_rows", f"SELECT count(*) AS n, count(DISTINCT k) AS distinct_keys FROM (SELECT {_BAND.format('c')} AS k FROM customer) WHERE k NOT IN (SELECT {_BAND.format('s')} FROM supplier)")
 def jn4(spark, d):
-    c = table(spark, d, "customer")
-    key = F.concat(F.lower(F.trim("c_mktsegment")), (F.col("c_custkey") % 50).cast("string"))
-    new = ops.new_rows(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 6 = 1 OR c_custkey % 10 = 4"), key, key)
-    return new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("distinct_keys"))
+    new = ops.new_rows(table(spark, d, "customer"), table(spark, d, "supplier"), _band("c"), _band("s"))
+    return new.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(_band("c")).alias("distinct_keys"))
 
 
-@add("jn5_new_first_rows", "SELECT min(c_custkey) AS c_custkey FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 50 NOT IN (4, 14, 24) GROUP BY c_mktsegment, c_custkey % 50")
+@add("jn5_new_first_rows", f"SELECT min(c_custkey) AS c_custkey FROM (SELECT c_custkey, {_BAND.format('c')} AS k FROM customer) WHERE k NOT IN (SELECT {_BAND.format('s')} FROM supplier) GROUP BY k")
 def jn5(spark, d):
-    c = table(spark, d, "customer")
-    key = F.concat_ws("|", "c_mktsegment", (F.col("c_custkey") % 50).cast("string"))
-    known = c.filter("c_custkey % 50 IN (4, 14, 24)")
-    return ops.new_first_rows(c.filter("c_custkey % 2 = 0"), known, key, key, ["c_custkey"]).select("c_custkey")
+    return ops.new_first_rows(table(spark, d, "customer"), table(spark, d, "supplier"), _band("c"), _band("s"), ["c_custkey"]).select("c_custkey")
 
 
 @add("jn6_new_urls", "WITH b AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE regexp_extract(url, '://([^/]*)', 1) END AS k FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY page_id) AS nth FROM b) SELECT page_id, k FROM r WHERE k = '' OR (nth = 1 AND k NOT LIKE 'www.%')")

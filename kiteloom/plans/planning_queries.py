@@ -149,11 +149,12 @@ def rg5(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", planning.compose(path, _KIN).alias("role"))
 
 
-@add("rg6_unique_layouts", "WITH p AS (SELECT a.n_nationkey AS x, b.n_nationkey AS y, c.n_nationkey AS z FROM nation a, nation b, nation c WHERE a.n_regionkey = 0 AND b.n_regionkey = 0 AND c.n_regionkey = 0 AND a.n_nationkey <> b.n_nationkey AND b.n_nationkey <> c.n_nationkey AND a.n_nationkey <> c.n_nationkey) SELECT x, y, z FROM p WHERE x < z AND y > x")
+@add("rg6_unique_layouts", "SELECT a.n_regionkey AS region, a.n_nationkey AS x, b.n_nationkey AS y, c.n_nationkey AS z FROM nation a JOIN nation b USING (n_regionkey) JOIN nation c USING (n_regionkey) WHERE b.n_nationkey > a.n_nationkey AND c.n_nationkey > a.n_nationkey AND c.n_nationkey <> b.n_nationkey")
 def rg6(spark, d):
-    seats = table(spark, d, "nation").filter("n_regionkey = 0").select("n_nationkey")  # a region's handful of rows
-    pick = lambda n: seats.select(F.col("n_nationkey").alias(n))
-    return pick("x").join(pick("y"), F.col("y") > F.col("x")).join(pick("z"), (F.col("z") > F.col("x")) & (F.col("z") != F.col("y"))).select("x", "y", "z")
+    seats = table(spark, d, "nation")  # each region's handful of rows
+    pick = lambda n: seats.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias(n))
+    both = pick("x").join(pick("y"), "region").filter("y > x")
+    return both.join(pick("z"), "region").filter("z > x AND z <> y").select("region", "x", "y", "z")
 
 
 @add("rg7_same_calendar", "SELECT y, min(z) AS again FROM (SELECT 1990 + i AS y FROM range(40) t(i)), (SELECT 1990 + j AS z FROM range(90) u(j)) WHERE z > y AND dayofweek(make_date(CAST(y AS INTEGER), 1, 1)) = dayofweek(make_date(CAST(z AS INTEGER), 1, 1)) AND ((y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0) = ((z % 4 = 0 AND z % 100 <> 0) OR z % 400 = 0) GROUP BY y")

@@ -22,9 +22,9 @@ def up1(spark, d):
     return ops.upsert(base, changes, ["k"], "seq")
 
 
-@add("up2_owned_columns", "SELECT coalesce(n_nationkey, k) AS n_nationkey, coalesce(new_name, n_name) AS n_name, n_regionkey FROM nation FULL JOIN (SELECT CAST(s_suppkey AS INTEGER) AS k, s_name AS new_name FROM supplier WHERE s_suppkey BETWEEN 10 AND 40) ON n_nationkey = k")
+@add("up2_owned_columns", "SELECT coalesce(n_nationkey, k) AS n_nationkey, coalesce(new_name, n_name) AS n_name, n_regionkey FROM nation FULL JOIN (SELECT CAST(s_suppkey AS INTEGER) AS k, s_name AS new_name FROM supplier) ON n_nationkey = k")
 def up2(spark, d):
-    changes = table(spark, d, "supplier").filter("s_suppkey BETWEEN 10 AND 40").select(F.col("s_suppkey").cast("int").alias("n_nationkey"), F.col("s_name").alias("n_name"))
+    changes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("n_nationkey"), F.col("s_name").alias("n_name"))
     return ops.upsert_owned(table(spark, d, "nation"), changes, "n_nationkey", ["n_name"])
 
 

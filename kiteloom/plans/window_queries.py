@@ -157,7 +157,7 @@ def st3(spark, d):
     return seen.select("p_brand", F.size(F.array_except(F.sequence(F.lit(1), F.lit(50)), "seen")).alias("missing"))
 
 
-sql("st4_stem_dedupe", "SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND trim(substring(text, 1, 40)) NOT IN (SELECT trim(substring(text, 1, 40)) FROM documents WHERE doc_id % 2 = 0)")
+sql("st4_stem_dedupe", "WITH known AS (SELECT trim(substring(text, 1, 40)) AS stem FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels)) SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND NOT EXISTS (SELECT 1 FROM known WHERE stem = trim(substring(text, 1, 40)))")
 sql("st5_lead_key", "SELECT min(c_custkey) AS c_custkey, coalesce(nullif(lower(CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_name END), ''), lower(concat(c_mktsegment, '|', c_nationkey))) AS key FROM customer GROUP BY 2")
 
 

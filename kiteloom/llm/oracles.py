@@ -98,10 +98,67 @@ def _urls(z: float = Z, least: float = 2.0, most: float = 200.0) -> str:
     """
 
 
+#: crc32 of a number in decimal, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: ascii(x)::UBIGINT)),
+        lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)::UBIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::UBIGINT) ELSE a // 2 END)), 4294967295::UBIGINT)"""
+_TRIE = f"""
+    WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, CAST({_CRC.format('conv_id')} % 4 AS BIGINT) AS h, conv_id - conv_id % 20 AS base, n FROM (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id)),
+    r0 AS (SELECT c.conv_id, 0 AS part, o.i, o.role, o.text FROM c JOIN o ON o.conv_id = c.base WHERE o.i < c.h
+        UNION ALL SELECT c.conv_id, 1, o.i, o.role, o.text FROM c JOIN o USING (conv_id) WHERE o.i >= c.h),
+    r1 AS (SELECT conv_id, row_number() OVER w AS d, string_agg(md5(length(role) || ' ' || role || text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS path, len({_WORDS.format('text')}) AS words
+        FROM r0 WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)),
+    r AS (SELECT conv_id, d, md5(path) AS k, words FROM r1 UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+    n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM r GROUP BY d, k),
+    l AS (SELECT conv_id, max(d) AS len FROM r GROUP BY conv_id),
+    e AS (SELECT r.d, r.k, sha256(string_agg(CAST(r.conv_id AS VARCHAR), ',' ORDER BY r.conv_id)) AS ends FROM r JOIN l ON l.conv_id = r.conv_id AND l.len = r.d GROUP BY r.d, r.k),
+    up AS (SELECT n.*, p.k AS up_k FROM n LEFT JOIN r p ON p.conv_id = n.conv_id AND p.d = n.d - 1),
+    kids AS (SELECT d - 1 AS d, up_k AS k, count(*) AS n_children FROM up WHERE d > 0 GROUP BY 1, 2),
+    own AS (SELECT up.*, coalesce(kids.n_children, 0) AS n_children FROM up LEFT JOIN kids USING (d, k)),
+    below AS (SELECT a.d, a.k, sum(CASE WHEN own.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((own.n_convs - 1) * own.words) AS saved FROM own JOIN r a ON a.conv_id = own.conv_id AND a.d <= own.d GROUP BY a.d, a.k)
+    SELECT own.conv_id, CAST(own.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(below.n_leaves AS BIGINT) AS n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens,
+        coalesce(e.ends, sha256('')) AS ends_sha256
+    FROM own JOIN below USING (d, k) LEFT JOIN n p ON p.d = own.d - 1 AND p.k = own.up_k LEFT JOIN e ON e.d = own.d AND e.k = own.k
+    """
+
+
+def _merkle() -> str:
+    """Both trees level by level, the lang trees and the tree of their subroots, to a height of 40."""
+
+    def item(c: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+
+    leaf = " || ".join(item(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    changed = " || ".join(item(c) for c in ("doc_id", "source", "lang", "n_chars + 1", "text"))
+    # nodes of a tree: its key, level, place and digest; a tree with one node has ended
+    up = """SELECT tree, level + 1 AS level, pos // 2 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, (any_value(n) + 1) // 2 AS n FROM {t} WHERE n > 1 GROUP BY tree, level, pos // 2"""
+    # a proof goes up from level to level: what it holds, and the digest folded so far
+    climb = """SELECT p.{key}, p.tree, p.level + 1, p.pos // 2 AS pos, p.proof || coalesce(s.h, ''),
+            sha256(CASE WHEN p.pos % 2 = 1 THEN coalesce(s.h, '') || p.h ELSE p.h || coalesce(s.h, '') END), (p.n + 1) // 2
+            FROM {p} p LEFT JOIN {t} s ON s.tree = p.tree AND s.level = p.level AND s.pos = (CASE WHEN p.pos % 2 = 0 THEN p.pos + 1 ELSE p.pos - 1 END) WHERE p.n > 1"""
+    return f"""
+    WITH RECURSIVE d AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM
+        (SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({leaf}) AS leaf, sha256({changed}) AS changed FROM documents)),
+    crc AS (SELECT doc_id, {_CRC.format('doc_id')} AS crc FROM (SELECT DISTINCT doc_id FROM documents)),
+    t AS (SELECT tree, 0 AS level, pos, leaf AS h, n FROM d UNION ALL {up.format(t="t")}),
+    s AS (SELECT tree AS lang_tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+    u AS (SELECT '' AS tree, 0 AS level, pos, h, n FROM s UNION ALL {up.format(t="u")}),
+    root AS (SELECT h AS root FROM u WHERE n = 1),
+    p AS (SELECT doc_id, tree, 0 AS level, pos, '' AS proof, CASE WHEN crc % 7 = 0 AND changed IS NOT NULL THEN changed ELSE leaf END AS h, n FROM d JOIN crc USING (doc_id)
+        UNION ALL {climb.format(key="doc_id", p="p", t="t")}),
+    q AS (SELECT p.doc_id, '' AS tree, 0 AS level, s.pos, p.proof, p.h, s.n FROM p JOIN s ON s.lang_tree = p.tree WHERE p.n = 1
+        UNION ALL {climb.format(key="doc_id", p="q", t="u")})
+    SELECT d.doc_id, d.leaf, s.h AS subroot, root, sha256(q.proof) AS proof_sha256, q.h AS folded_root, q.h = root AS verified
+    FROM d JOIN q USING (doc_id) JOIN s ON s.lang_tree = d.tree, root WHERE q.n = 1
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": _quality(),
     "op4_substring_dedup": _SUBSTRINGS,
     "op5_chat_formatting": _CHAT,
     "op6_minhash_near_dedup": _NEAR,
     "op8_url_filters": _urls(),
+    "op12_merkle_manifest": _merkle(),
+    "op13_prefix_trie": _TRIE,
 }

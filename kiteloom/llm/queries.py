@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiteloom.llm import bpe, chat, manifest, media, near_dedup, packing, prefix_trie, quality_rules, sharding, substring_dedup, toxicity, url_filters
+from kiteloom.llm import bpe, chat, manifest, media, near_dedup, packing, prefix_trie, quality_rules, sharding, substring_dedup, toxicity, url_filters, vector_search
 from kiteloom.llm.common import stage, table
 from kiteloom.llm.oracles import ORACLE_SQL  # noqa: F401
 
@@ -62,6 +62,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,6 @@ QUERIES = {
     for f in (
         op1_toxicity, op2_quality_rules, op3_byte_bpe, op4_substring_dedup, op5_chat_formatting,
         op6_minhash_near_dedup, op7_histogram_sharding, op8_url_filters, op9_media_chunks, op10_best_fit_packing,
-        op12_merkle_manifest, op13_prefix_trie,
+        op11_adaptive_dimension_scan, op12_merkle_manifest, op13_prefix_trie,
     )
 }

@@ -108,7 +108,8 @@ def push(bands: list[DataFrame], inherited: DataFrame) -> DataFrame:
 
 def manifest(docs: DataFrame) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root and verified of every row."""
-    ordered = rank_within(leaves(docs), "tree", ["doc_id", "h"], "pos", "manifest-leaves")
+    # texts are read once: dealing by range looks at its input twice
+    ordered = rank_within(stage(leaves(docs), "manifest-hashed"), "tree", ["doc_id", "h"], "pos", "manifest-leaves")
     bands, subroots = build(ordered, "manifest")
     named = subroots.withColumn("forest", F.lit("")).withColumnRenamed("tree", "name")
     placed = rank_within(named, "forest", ["name"], "pos", "manifest-subroots").select(F.col("forest").alias("tree"), "pos", "h", "name")

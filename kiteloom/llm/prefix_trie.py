@@ -61,7 +61,8 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 def rebuilt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All conversations (conv_id, len) and their turns (conv_id, len, depth from 1, role, body, words)."""
-    placed = rank_within(rows, "conv_id", ["turn", "role", "body"], "place", "trie-places")
+    # texts are read once: dealing by range looks at its input twice
+    placed = rank_within(stage(rows, "trie-turns"), "conv_id", ["turn", "role", "body"], "place", "trie-places")
     own = stage(placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("own")), "trie-own")
     shared = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(SHARED))
     named = own.withColumns({"base": F.col("conv_id") - F.col("conv_id") % GROUP, "shared": shared})

@@ -5,8 +5,10 @@ Whitespace is an explicit class, since the engines differ on what \\s holds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,17 @@ def normalise(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, SPACE + "+", " ")))
 
 
+def composed(text: Column) -> Column:
+    """The text in composed form (NFC), which no built-in makes: in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return run(text)
+
+
 def sentences(text: Column) -> Column:
     """Split after a danda or . ! ? before whitespace, or at a blank line; no empty ones."""
     parts = F.split(text, "(?<=[\\u0964.!?])\\s+|\\n{2,}")

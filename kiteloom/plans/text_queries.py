@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kiteloom.functions import legacy, texts
 from kiteloom.operators import sequences
-from kiteloom.operators.joins import asof_backward
 from kiteloom.plans.registry import Family
 from kiteloom.sources.tables import table
 
@@ -28,18 +23,9 @@ def tx1(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(texts.normalise(F.col("text"))).alias("norm"))
 
 
-def nfc(col):
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-    return run(col)
-
-
 @add("tx2_nfc", "SELECT doc_id, length(nfc_normalize(text)) AS n FROM documents")
 def tx2(spark, d):
-    return _docs(spark, d).select("doc_id", F.length(nfc(F.col("text"))).cast("long").alias("n"))
+    return _docs(spark, d).select("doc_id", F.length(texts.composed(F.col("text"))).cast("long").alias("n"))
 
 
 @add("tx3_sentences")
@@ -152,20 +138,6 @@ def tx18(spark, d):
     return _docs(spark, d).select("doc_id", texts.format_of(F.col("text"), _FORMATS).alias("format"))
 
 
-@add("tx19_segments", "WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, pos, coalesce(sum(CASE WHEN ends_with(line, '.') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS segment FROM l) SELECT doc_id, CAST(segment AS BIGINT) AS segment, count(*) AS n_lines FROM s GROUP BY doc_id, segment")
-def tx19(spark, d):
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    segment = F.coalesce(F.sum(F.col("line").endswith(".").cast("int")).over(before), F.lit(0))
-    return lines.withColumn("segment", segment).groupBy("doc_id", "segment").agg(F.count(F.lit(1)).alias("n_lines"))
-
-
-@add("tx20_options", "SELECT p_partkey, len(regexp_extract_all('Q? (a) ' || p_name || ' (b) ' || p_brand || ' (d) ' || p_type, '\\([a-d]\\)\\s*([^()]*)', 1)) AS n FROM part")
-def tx20(spark, d):
-    text = F.concat(F.lit("Q? (a) "), "p_name", F.lit(" (b) "), "p_brand", F.lit(" (d) "), "p_type")
-    return table(spark, d, "part").select("p_partkey", F.size(texts.option_texts(text)).cast("long").alias("n"))
-
-
 _VALUES = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST(1900 + p_size AS VARCHAR) WHEN 1 THEN CAST(p_size AS VARCHAR) WHEN 2 THEN p_size || ' km' WHEN 3 THEN 'शब्द' ELSE p_type END AS v FROM part"
 _CLASS = "CASE WHEN regexp_full_match(trim(v), '(1[0-9]|20)[0-9]{2}') THEN 'year' WHEN regexp_full_match(trim(v), '[0-9][0-9,]*([.][0-9]+)?') THEN 'number' WHEN regexp_full_match(trim(v), '[0-9][0-9,.]* *[a-zA-Z%]+') THEN 'measure' WHEN regexp_matches(v, '[ऀ-ॿ]') THEN 'script' ELSE 'text' END"
 
@@ -293,31 +265,3 @@ def tx41(spark, d):
 
 
 sql("tx42_placeholder", "SELECT p_partkey, lower(trim(p_name)) IN ('a', 'b', 'c', 'd', 'none', 'n/a', '') OR length(trim(p_name)) < 2 AS placeholder FROM part")
-_HEADS = "WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents), o AS (SELECT doc_id, pos, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM l)"
-
-
-def _headings(spark, d):
-    lines = _docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
-    return lines.withColumn("at", at).filter("length(line) BETWEEN 5 AND 60")
-
-
-@add("tx43_headings", f"{_HEADS} SELECT doc_id, CAST(place AS BIGINT) AS place, line AS title FROM o WHERE length(line) BETWEEN 5 AND 60")
-def tx43(spark, d):
-    return _headings(spark, d).select("doc_id", F.col("at").alias("place"), F.col("line").alias("title"))
-
-
-@add("tx44_passage_offset", "SELECT doc_id, position(substr(text, 301, 150) IN text) - 1 AS at FROM documents WHERE length(text) > 450")
-def tx44(spark, d):
-    """Where a prefix of 150 characters of a passage is found in its source, -1 where it isn't."""
-    found = F.expr("locate(substring(text, 301, 150), text)")
-    return _docs(spark, d).filter("length(text) > 450").select("doc_id", (found - 1).cast("long").alias("at"))
-
-
-@add("tx44_section_of_passage")
-def section_of_passage(spark, d):
-    """Each passage with the last heading at or before it: an as-of join on the offset."""
-    heads = _headings(spark, d).select("doc_id", "at", F.col("line").alias("title"))
-    passages = _docs(spark, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text").cast("long"), F.lit(1200).cast("long"))).alias("offset"))
-    return asof_backward(passages, heads, ["doc_id"], "offset", "at", ["title"], "title")

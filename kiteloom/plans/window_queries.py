@@ -141,7 +141,6 @@ sql("or10_domain_priority", f"SELECT page_id, {_PRIORITY} AS priority FROM pages
 sql("or11_prefer_hits", f"WITH b AS (SELECT page_id, {_PRIORITY} AS p FROM pages), h AS (SELECT max(CASE WHEN p = 2 THEN 1 ELSE 0 END) AS any_hit FROM b) SELECT page_id FROM b CROSS JOIN h WHERE any_hit = 0 OR p = 2 ORDER BY page_id LIMIT 3")
 sql("or12_latest_name", "SELECT max(concat('Scrape ', cast(cast(o_orderdate AS DATE) AS STRING))) AS tab FROM orders")
 sql("or13_newest_jobs", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
-sql("or14_rerank", "SELECT doc_id, row_number() OVER (ORDER BY bad, n_chars DESC, doc_id) AS place FROM (SELECT doc_id, n_chars, (length(text) - length(replace(text, '!', ''))) * 100.0 / greatest(length(text), 1) > 1.0 AS bad FROM (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 14) p) t ORDER BY place LIMIT 10")
 
 sql("st1_union_all", "SELECT s_nationkey AS k FROM supplier UNION ALL SELECT c_nationkey FROM customer")
 

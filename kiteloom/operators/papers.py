@@ -107,7 +107,8 @@ def questions(papers: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return whole.withColumn("format", texts.format_of(F.col("text")))
 
 
-#: Option markers as scanned pages garble them, with what they stand for; a marker; the gap between columns.
+#: Option markers of a legacy font and as scanned pages garble them, with what they stand for; a marker; the gap between columns.
+LEGACY_MARKERS = tuple((p, f"({x}) ") for x in "abcd" for p in (rf"(?<![A-Za-z0-9]){x.upper()}½", rf"¼\s*[{x}{x.upper()}]\s*½"))
 GARBLED_MARKERS = ((r";\s*इ\s*\)", "(b) "), (r";\s*ब\s*\)", "(c) "), (r";\s*क\s*\)", "(d) "), (r";\s*घ\s*\)", "(d) "))
 MARKER = r"\(\s*([a-dA-D])\s*\)\s*"
 COLUMN_GAP = r"\t+| {4,}"
@@ -122,7 +123,7 @@ def options_of(text: Column) -> Column:
     of the markers a to d, the first of each that isn't blank, in that order. Markers of
     either case; garbled ones are repaired, gaps between columns closed."""
     flat = text
-    for pattern, marker in GARBLED_MARKERS:
+    for pattern, marker in LEGACY_MARKERS + GARBLED_MARKERS:
         flat = F.regexp_replace(flat, f"(?U){pattern}", marker)
     whole = flat
     flat = F.regexp_replace(flat, COLUMN_GAP, "  ")

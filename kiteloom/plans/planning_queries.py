@@ -73,9 +73,19 @@ def qg1(spark, d):
     return table(spark, d, "documents").select("doc_id", first_failing([(n, F.expr(c)) for n, c in _GATE]).alias("reason"))
 
 
-@add("qg2_paper_guard")
+_GUARD = """WITH RECURSIVE t AS (SELECT p_brand AS paper, p_partkey AS id, p_type AS stem, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS answer, p_partkey % 4 <> 0 AS numeric, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+ f AS (SELECT paper, id, i, CAST(NULL AS VARCHAR) AS reason, [stem] AS stems, [answer] AS answers, CASE WHEN numeric THEN 1 ELSE 0 END AS n FROM t WHERE i = 1 UNION ALL
+   SELECT paper, id, i, reason, CASE WHEN reason IS NULL THEN list_append(stems, stem) ELSE stems END, CASE WHEN reason IS NULL THEN list_append(answers, answer) ELSE answers END, n + CASE WHEN reason IS NULL AND numeric THEN 1 ELSE 0 END
+   FROM (SELECT t.*, f.stems, f.answers, f.n, CASE WHEN list_contains(f.stems, t.stem) THEN 'duplicate_stem' WHEN list_contains(f.answers, t.answer) THEN 'repeated_answer' WHEN t.numeric AND f.n >= 4 THEN 'numeric_cap' END AS reason FROM f JOIN t ON t.paper = f.paper AND t.i = f.i + 1))
+ SELECT paper, id, reason FROM f"""
+
+
+@add("qg2_paper_guard", _GUARD)
 def qg2(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_brand").alias("paper"), F.col("p_partkey").alias("id"), F.col("p_type").alias("stem"), F.col("p_size").cast("string").alias("answer"), F.lit(20).alias("planned"))
+    """A paper a brand, of 20 planned questions; three of four answers are numbers."""
+    named = F.col("p_partkey") % 4 == 0
+    answer = F.when(named, F.col("p_name")).otherwise(F.col("p_size").cast("string"))
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("paper"), F.col("p_partkey").alias("id"), F.col("p_type").alias("stem"), answer.alias("answer"), (~named).alias("numeric"), F.lit(20).alias("planned"))
     return folds.paper_guard(rows)
 
 

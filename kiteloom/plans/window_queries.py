@@ -191,7 +191,11 @@ def st11(spark, d):
     return table(spark, d, "pages").select("page_id", ((numbers(F.col("url")) == numbers(bare)) & (F.length(bare) >= 0.6 * F.length("url"))).alias("same"))
 
 
-@add("st12_two_key_dedupe")
+@add("st12_two_key_dedupe", """WITH RECURSIVE t AS (SELECT p_brand AS grp, p_partkey AS id, p_type AS a, p_size AS b, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+ f AS (SELECT grp, id, i, TRUE AS kept, [a] AS la, [b] AS lb FROM t WHERE i = 1 UNION ALL
+   SELECT grp, id, i, kept, CASE WHEN kept THEN list_append(la, a) ELSE la END, CASE WHEN kept THEN list_append(lb, b) ELSE lb END
+   FROM (SELECT t.*, f.la, f.lb, NOT list_contains(f.la, t.a) AND NOT list_contains(f.lb, t.b) AS kept FROM f JOIN t ON t.grp = f.grp AND t.i = f.i + 1))
+ SELECT grp, id FROM f WHERE kept""")
 def st12(spark, d):
     rows = table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), F.col("p_type").alias("key_a"), F.col("p_size").cast("string").alias("key_b"))
     return two_key_dedupe(rows)

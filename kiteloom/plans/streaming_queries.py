@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kiteloom.plans.registry import Family
 from kiteloom.sources.stages import shared_folder
 from kiteloom.streaming import events as ops
+from kiteloom.streaming import timers
 
 FAMILY = Family("streaming")
 add = FAMILY.add
@@ -26,17 +27,26 @@ def ss2(spark, d):
     return ops.drain(ops.accepted(_events(spark, d)).select("event_id", "positive"), shared_folder(spark))
 
 
-@add("ss3_daily_snapshot", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+@add("ss3_daily_snapshot", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
 def ss3(spark, d):
-    rows = ops.drain(ops.daily_counts(_events(spark, d)), shared_folder(spark), "complete")
-    return rows.select(F.to_date("w.start").alias("day"), "event_type", "n")
+    """Counts and sums by day and type, overwritten by each trigger that changes them."""
+    daily = ops.daily_counts(_events(spark, d)).select(F.to_date("w.start").alias("day"), "event_type", "n", F.round("value", 4).alias("value"))
+    return ops.upserted(daily, shared_folder(spark), ["day", "event_type"])
 
 
-@add("ss4_follow_up_beat", "SELECT user_id, max(ts) AS last_at FROM events WHERE event_type = 'signup' GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 00:00:00' AND count(*) < 40")
+def _replayed(rows: str) -> str:
+    """SQL: rows up to the last watermark, an hour behind the latest row; times in milliseconds."""
+    return f"e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE {rows}), w AS (SELECT max(ms) - 3600000 AS w FROM e), r AS (SELECT e.*, w.w FROM e, w WHERE ms <= w.w)"
+
+
+@add("ss4_follow_up_beat", f"""WITH {_replayed("event_type IN ('purchase', 'signup')")}, n AS (SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS next FROM r),
+  s AS (SELECT *, unnest([1, 2, 3]) AS nth FROM n)
+  SELECT user_id, make_timestamp(ms * 1000) AS replied_at, nth, make_timestamp((ms + nth * 86400000) * 1000) AS sent_at FROM s WHERE ms + nth * 86400000 <= least(w, coalesce(next, w))""")
 def ss4(spark, d):
-    signups = _events(spark, d).filter("event_type = 'signup'").groupBy("user_id").agg(F.max("ts").alias("last_at"), F.count(F.lit(1)).alias("n"))
-    rows = ops.drain(signups, shared_folder(spark), "complete")
-    return rows.filter((F.col("last_at") < F.lit("2024-01-30").cast("timestamp")) & (F.col("n") < 40)).select("user_id", F.col("last_at").cast("timestamp_ntz").alias("last_at"))
+    """A follow-up a day after each positive reply and each follow-up, three at most, until the next reply."""
+    replies = ops.accepted(_events(spark, d)).filter("positive")
+    rows = ops.drain(timers.follow_up_beat(replies, ops.LATENESS), shared_folder(spark), timers=True)
+    return rows.select("user_id", F.col("replied_at").cast("timestamp_ntz").alias("replied_at"), "nth", F.col("sent_at").cast("timestamp_ntz").alias("sent_at"))
 
 
 @add("ss5_once", "SELECT event_id FROM events")
@@ -51,6 +61,15 @@ def ss6(spark, d):
     return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+@add("ss6_stuck_jobs", f"""WITH {_replayed("TRUE")}, b AS (SELECT *, CASE WHEN lag(ms) OVER u IS NULL OR ms - lag(ms) OVER u >= 1800000 THEN 1 ELSE 0 END AS brk FROM r WINDOW u AS (PARTITION BY user_id ORDER BY ms, event_id)),
+  s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS s FROM b)
+  SELECT user_id, make_timestamp(min(ms) * 1000) AS started_at, make_timestamp(max(ms) * 1000) AS last_at, count(*) AS "rows" FROM s GROUP BY user_id, s HAVING max(ms) + 1800000 <= any_value(w)""")
+def ss6_stuck(spark, d):
+    """Runs of a user's rows that are declared dead half an hour after the last of them."""
+    rows = ops.drain(timers.reap_stuck(_events(spark, d), ops.LATENESS, 30 * 60_000), shared_folder(spark), timers=True)
+    return rows.select("user_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"), "rows")
+
+
 _DELTA = "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN -3 ELSE -1 END"
 
 

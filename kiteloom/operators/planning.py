@@ -23,11 +23,16 @@ def largest_remainder(shares: DataFrame, by: Sequence[str], key: str, share: str
 
 
 def parse_mix(text: Column) -> Column:
-    """"k:v,k:v" as a map of shares that sum to 1; null where a value is no number or none is positive."""
-    parts = F.transform(F.split(text, ","), lambda p: F.struct(F.trim(F.split_part(p, F.lit(":"), F.lit(1))).alias("key"), F.trim(F.split_part(p, F.lit(":"), F.lit(2))).try_cast("double").alias("value")))
-    total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p["value"])
-    fine = F.forall(parts, lambda p: p["value"].isNotNull() & (p["value"] >= 0) & (p["key"] != "")) & (total > 0)
-    return F.when(fine, F.map_from_entries(F.transform(parts, lambda p: F.struct(p["key"], (p["value"] / total)))))
+    """"k:v,k:v" as a map of shares that sum to 1; of a repeated key the last counts.
+
+    Null where a part isn't a key and a number, or the numbers sum to nothing above 0.
+    """
+    pieces = F.transform(F.split(text, ","), lambda p: F.split(p, ":"))
+    pairs = F.transform(pieces, lambda p: F.struct(F.trim(F.get(p, F.lit(0))).alias("key"), F.trim(F.get(p, F.lit(1))).try_cast("double").alias("value")))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
+    total = F.aggregate(last, F.lit(0.0), lambda s, p: s + p["value"])
+    fine = F.forall(pieces, lambda p: F.size(p) == 2) & F.forall(pairs, lambda p: p["value"].isNotNull()) & (total > 0)
+    return F.when(fine, F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"] / total))))
 
 
 def expanded(counts: DataFrame, n: str) -> DataFrame:
@@ -35,6 +40,32 @@ def expanded(counts: DataFrame, n: str) -> DataFrame:
     return counts.filter(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
 
 
+def two_axes(plans: DataFrame, by: str, first: DataFrame, second: DataFrame, count: str, pad: str, seed: int) -> DataFrame:
+    """by, place, and a key of either axis for each of the places 1..count of a plan.
+
+    ``first`` and ``second``: by, key and n, counts of the keys of one axis each, allocated
+    apart. Both lists are shuffled by themselves and zipped, so neither axis tells the
+    other and both keep their counts; what ``first`` lacks is ``pad``, what it has over
+    the count goes (before the shuffle, by key), and ``second`` is null where it ends.
+    A plan has a bounded number of places.
+    """
+
+    def placed(axis: DataFrame, name: str, cut: bool) -> DataFrame:
+        each = expanded(axis.select(by, F.col("key").alias(name), "n"), "n").select(by, name, "copy")
+        if cut:
+            kept = F.row_number().over(Window.partitionBy(by).orderBy(name, "copy"))
+            each = each.withColumn("kept", kept).join(plans.select(by, count), by).filter(F.col("kept") <= F.col(count)).drop("kept", count)
+        order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col(by).cast("string"), F.col(name), F.col("copy").cast("string")))
+        return each.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(order))).drop("copy")
+
+    # places of the padding are shuffled with the rest: they take part as keys of their own
+    have = first.filter("n > 0").groupBy(by).agg(F.sum("n").alias("have"))
+    missing = plans.join(have, by, "left").select(by, F.lit(pad).alias("key"), F.greatest(F.col(count) - F.coalesce("have", F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    padded = first.select(by, "key", F.col("n").cast("long").alias("n")).unionByName(missing).groupBy(by, "key").agg(F.sum("n").alias("n"))
+    places = plans.filter(F.col(count) > 0).select(by, F.explode(F.sequence(F.lit(1), F.col(count).cast("int"))).alias("place"))
+    return places.join(placed(padded, "first", True), [by, "place"], "left").join(placed(second, "second", False), [by, "place"], "left")
+
+
 def displacement(legs: DataFrame, by: Sequence[str], direction: str, distance: str) -> DataFrame:
     """End point and straight distance of a walk along compass directions."""
     d = F.col(direction)
@@ -55,12 +86,6 @@ def series_term(rule: Column, first: Column, k: Column, n: Column) -> Column:
     return F.when(n <= 1, first.cast("double")).otherwise(many)
 
 
-def shift_cipher(word: Column, shift: Column) -> Column:
-    """Letters a-z moved on by ``shift``, cyclically; others stay."""
-    moved = F.transform(F.split(F.lower(word), ""), lambda c: F.when(c.between("a", "z"), F.char(F.pmod(F.ascii(c) - 97 + shift, F.lit(26)) + 97)).otherwise(c))
-    return F.array_join(moved, "")
-
-
 def same_calendar(year: Column) -> Column:
     """The next year that begins on the same weekday and is as long."""
     leap = lambda y: ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
@@ -133,12 +158,12 @@ def has_exactly(members: DataFrame, person: str, prop: str, wanted: dict[str, bo
     return members.groupBy(person).agg(cond.alias("fits")).filter("fits").select(person)
 
 
-def opposite_faces(views: DataFrame, faces: int = 6) -> DataFrame:
-    """face, opposite: where all other faces but one have been seen next to a face."""
-    pairs = views.select(F.explode(F.array(*[F.struct(F.col(a).alias("face"), F.col(b).alias("next")) for a in ("top", "left", "right") for b in ("top", "left", "right") if a != b])).alias("p"))
-    seen = pairs.groupBy("p.face").agg(F.collect_set("p.next").alias("near"))
+def opposite_faces(views: DataFrame, by: str, faces: int = 6) -> DataFrame:
+    """by, face, opposite: where all other faces of a die but one have been seen next to a face."""
+    pairs = views.select(by, F.explode(F.array(*[F.struct(F.col(a).alias("face"), F.col(b).alias("next")) for a in ("top", "left", "right") for b in ("top", "left", "right") if a != b])).alias("p"))
+    seen = pairs.groupBy(by, "p.face").agg(F.collect_set("p.next").alias("near"))
     rest = F.array_except(F.sequence(F.lit(1), F.lit(faces)), F.concat("near", F.array("face")))
-    return seen.filter(F.size(rest) == 1).select("face", F.element_at(rest, 1).alias("opposite"))
+    return seen.filter(F.size(rest) == 1).select(by, "face", F.element_at(rest, 1).alias("opposite"))
 
 
 def compose(path: Column, table: dict[tuple[str, str], str]) -> Column:

@@ -8,19 +8,12 @@ from pyspark.sql import functions as F
 from kiteloom.functions import texts
 from kiteloom.operators import papers
 from kiteloom.plans.registry import Family
+from kiteloom.plans.script import in_script
 from kiteloom.sources.tables import table
 
 FAMILY = Family("papers")
 add = FAMILY.add
 
-_LATIN, _SCRIPT = "abcdefghijklmnopqrstuvwxyz", "कखगघचछजझटठडढणतथदधनपफबभमयरल"
-
-
-def in_script(text: str) -> str:
-    """SQL: a Latin text with a consonant for each letter."""
-    return f"translate(lower({text}), '{_LATIN}', '{_SCRIPT}')"
-
-
 _NUMBER = "cast(p_partkey % 12 + 1 AS STRING)"
 #: A question of a paper: some with an English twin before, a numbered item within, marker
 #: phrases or page furniture; two papers of three have answer lines.

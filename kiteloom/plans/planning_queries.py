@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kiteloom.operators import folds, planning, sequences
-from kiteloom.operators.filters import first_failing
+from kiteloom.operators import folds, planning, puzzles, sequences
 from kiteloom.plans.registry import Family
 from kiteloom.sources.tables import table
 
@@ -28,17 +27,38 @@ def pl1(spark, d):
     return _allocated(spark, d)
 
 
-@add("pl2_parse_mix", "SELECT * FROM (VALUES ('plain', 0.5::DOUBLE), ('match', 0.3::DOUBLE), ('order', 0.2::DOUBLE)) t(key, share)")
+#: A mix a part, of up to three keys; one of five has no number for a key.
+_MIX = "concat('plain:', CAST(p_size AS STRING), ', match :', CAST(p_partkey % 7 AS STRING), CASE p_partkey % 5 WHEN 0 THEN ',order:x' WHEN 1 THEN ',order:-1' WHEN 2 THEN ', order:0.5' WHEN 3 THEN '' ELSE ',order:2' END)"
+
+
+@add("pl2_parse_mix", """WITH m AS (SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 7)::DOUBLE AS b, CASE p_partkey % 5 WHEN 1 THEN -1 WHEN 2 THEN 0.5 WHEN 4 THEN 2 END::DOUBLE AS c FROM part WHERE p_partkey % 5 <> 0)
+  SELECT p_partkey, key, value / (a + b + coalesce(c, 0)) AS share FROM (SELECT *, 'plain' AS key, a AS value FROM m UNION ALL SELECT *, 'match', b FROM m UNION ALL SELECT *, 'order', c FROM m WHERE c IS NOT NULL) WHERE a + b + coalesce(c, 0) > 0""")
 def pl2(spark, d):
-    rows = spark.createDataFrame([("plain:5, match:3,order:2",), ("plain:x",)], "mix string")
-    return rows.select(F.explode(planning.parse_mix(F.col("mix"))).alias("key", "share"))
+    mixes = table(spark, d, "part").select("p_partkey", F.expr(_MIX).alias("mix"))
+    return mixes.select("p_partkey", F.explode(planning.parse_mix(F.col("mix"))).alias("key", "share"))
+
 
+#: Shares of difficulties, and 40 places a brand; formats are allocated by type, too few for some brands and too many for others.
+_LEVELS = {"easy": 0.5, "moderate": 0.3, "hard": 0.2}
+_AXES = f"""WITH f AS (SELECT p_brand, p_type AS key, CASE WHEN contains(p_brand, '1') THEN n // 2 ELSE n + 1 END AS n FROM ({_ALLOCATE})), h AS (SELECT p_brand, sum(n) AS have FROM f GROUP BY 1),
+  p AS (SELECT p_brand, key, n FROM f UNION ALL SELECT p_brand, 'plain', greatest(40 - have, 0) FROM h), e AS (SELECT p_brand, key, unnest(range(1, CAST(n AS BIGINT) + 1)) AS copy FROM p),
+  a AS (SELECT p_brand, key, row_number() OVER (PARTITION BY p_brand ORDER BY md5('9|first|' || p_brand || '|' || key || '|' || copy)) AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY key, copy) AS kept FROM e) WHERE kept <= 40),
+  s AS (SELECT p_brand, key, unnest(range(1, n + 1)) AS copy FROM (SELECT DISTINCT p_brand FROM part), (VALUES ('easy', 20), ('moderate', 12), ('hard', 8)) v(key, n)),
+  b AS (SELECT p_brand, key, row_number() OVER (PARTITION BY p_brand ORDER BY md5('9|second|' || p_brand || '|' || key || '|' || copy)) AS place FROM s)
+  SELECT a.p_brand, a.place, a.key AS format, b.key AS difficulty FROM a JOIN b USING (p_brand, place)"""
 
-@add("pl3_expand_plan", f"SELECT p_brand, p_type, copy, row_number() OVER (PARTITION BY p_brand ORDER BY md5('9|' || p_brand || '|' || p_type || '|' || copy)) AS place FROM (SELECT p_brand, p_type, unnest(range(1, n + 1)) AS copy FROM ({_ALLOCATE}) WHERE n > 0)")
+
+@add("pl3_expand_plan", _AXES)
 def pl3(spark, d):
-    rows = planning.expanded(_allocated(spark, d), "n")
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(sequences.hash_order(9, "p_brand", "p_type", "copy")))
-    return rows.select("p_brand", "p_type", "copy", place.alias("place"))
+    """Formats and difficulties of 40 places a brand, each with its own counts."""
+    allocated = _allocated(spark, d)
+    lean = F.col("p_brand").contains("1")
+    formats = allocated.select("p_brand", F.col("p_type").alias("key"), F.when(lean, F.floor(F.col("n") / 2)).otherwise(F.col("n") + 1).alias("n"))
+    plans = allocated.select("p_brand").distinct().withColumn("count", F.lit(40))
+    shares = plans.select("p_brand", "count", F.explode(F.create_map(*[F.lit(x) for kv in _LEVELS.items() for x in kv])).alias("key", "share"))
+    levels = planning.largest_remainder(shares, ["p_brand"], "key", "share", F.col("count")).select("p_brand", "key", "n")
+    planned = planning.two_axes(plans, "p_brand", formats, levels, "count", "plain", 9)
+    return planned.select("p_brand", "place", F.col("first").alias("format"), F.col("second").alias("difficulty"))
 
 
 sql("pl4_grouped_plan", "SELECT p_type, count(*) AS n, count(DISTINCT p_brand) AS brands FROM part GROUP BY p_type")
@@ -65,14 +85,6 @@ def pl6(spark, d):
     return spare.join(gap, "lang").filter("i <= gap").select("lang", "doc_id")
 
 
-_GATE = [("too_short", "length(text) < 100"), ("too_long", "length(text) > 15000"), ("table", "text LIKE '% | %'"), ("shouting", "text LIKE '%!!%'"), ("symbols", "text LIKE '%***%'")]
-
-
-@add("qg1_first_failing", "SELECT doc_id, CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in _GATE) + " END AS reason FROM documents")
-def qg1(spark, d):
-    return table(spark, d, "documents").select("doc_id", first_failing([(n, F.expr(c)) for n, c in _GATE]).alias("reason"))
-
-
 _GUARD = """WITH RECURSIVE t AS (SELECT p_brand AS paper, p_partkey AS id, p_type AS stem, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS answer, p_partkey % 4 <> 0 AS numeric, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
  f AS (SELECT paper, id, i, CAST(NULL AS VARCHAR) AS reason, [stem] AS stems, [answer] AS answers, CASE WHEN numeric THEN 1 ELSE 0 END AS n FROM t WHERE i = 1 UNION ALL
    SELECT paper, id, i, reason, CASE WHEN reason IS NULL THEN list_append(stems, stem) ELSE stems END, CASE WHEN reason IS NULL THEN list_append(answers, answer) ELSE answers END, n + CASE WHEN reason IS NULL AND numeric THEN 1 ELSE 0 END
@@ -89,21 +101,9 @@ def qg2(spark, d):
     return folds.paper_guard(rows)
 
 
-@add("qg3_extraction_gate", "SELECT p_partkey, CASE WHEN length(p_name) < 3 THEN 'no_stem' WHEN p_size > 45 THEN 'bad_answer' WHEN p_retailprice < 905 THEN 'too_cheap' END AS reason FROM part")
-def qg3(spark, d):
-    rules = [("no_stem", F.length("p_name") < 3), ("bad_answer", F.col("p_size") > 45), ("too_cheap", F.col("p_retailprice") < 905)]
-    return table(spark, d, "part").select("p_partkey", first_failing(rules).alias("reason"))
-
-
 sql("qg4_structural_gate", "SELECT count(*) AS kept, count(*) = 0 AS failed FROM part WHERE length(trim(p_name)) >= 3 AND p_type IS NOT NULL AND p_size BETWEEN 1 AND 50")
 
 
-@add("qg5_format_builder", "SELECT n_regionkey, string_agg(n_name, ' / ' ORDER BY md5('4|' || n_name)) AS options, CAST(list_position(list(n_name ORDER BY md5('4|' || n_name)), min(n_name)) AS BIGINT) AS answer FROM nation GROUP BY n_regionkey")
-def qg5(spark, d):
-    lists = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(sequences.hash_order(4, "n_name").alias("h"), "n_name"))).alias("o"), F.min("n_name").alias("right"))
-    return lists.select("n_regionkey", F.array_join("o.n_name", " / ").alias("options"), F.array_position("o.n_name", F.col("right")).alias("answer"))
-
-
 @add("qg6_first_reply", "SELECT conv_id, CAST(n AS BIGINT) AS section, min_by(md5(text), turn) AS stem FROM (SELECT conv_id, turn, text, (turn * 7 + conv_id) % 5 AS n, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE n BETWEEN 1 AND least(3, last) GROUP BY conv_id, n")
 def qg6(spark, d):
     """Each conversation as one JSON reply, whose turns name sections 0 to 4 of up to three."""
@@ -113,8 +113,6 @@ def qg6(spark, d):
     return planning.batch_replies(replies, ["conv_id"], "raw", F.least(F.lit(3), F.col("last")), ["stem"])
 
 
-sql("qg7_marked_answers", "SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'a' END AS answer FROM labels")
-sql("qg8_verdict", "SELECT user_id, CASE WHEN count(*) >= 20 AND max(value) > 30 THEN 'confirmed' WHEN count(*) >= 5 THEN 'weak' ELSE 'failed' END AS verdict FROM events GROUP BY user_id")
 sql("qg9_drop_reasons", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN n_chars < 100 THEN 'short' WHEN n_chars > 15000 THEN 'long' ELSE 'kept' END AS reason FROM documents) t GROUP BY reason")
 sql("qg10_difficulty_lookup", "SELECT p_partkey, coalesce(a.text, b.text, 'normal') AS difficulty FROM part LEFT JOIN (SELECT * FROM (VALUES ('Brand#11', 'hard'), ('Brand#12', 'easy')) AS x(k, text)) a ON p_brand = a.k LEFT JOIN (SELECT * FROM (VALUES (1, 'tiny'), (50, 'huge')) AS y(k, text)) b ON p_size = b.k")
 
@@ -134,9 +132,17 @@ def rg2(spark, d):
     return table(spark, d, "part").select("p_partkey", planning.series_term(F.expr(_SERIES), F.col("p_size"), F.lit(3.0), F.lit(6)).alias("term"))
 
 
-@add("rg3_cipher", "SELECT n_nationkey, array_to_string(list_transform(string_split(lower(n_name), ''), lambda c: CASE WHEN c BETWEEN 'a' AND 'z' THEN chr(CAST((ascii(c) - 97 + 3) % 26 + 97 AS INTEGER)) ELSE c END), '') AS code FROM nation")
+_RULES = ["shift", "reverse", "double", "reverse_shift"]
+
+
+@add("rg3_cipher", """WITH c AS (SELECT p_partkey, rule, list_transform(list_filter(string_split(upper(p_name), ''), lambda x: x BETWEEN 'A' AND 'Z'), lambda x: CASE rule WHEN 'shift' THEN ascii(x) - 64 + k WHEN 'reverse' THEN 91 - ascii(x) WHEN 'double' THEN 2 * (ascii(x) - 64) ELSE 91 - ascii(x) + k END) AS v
+    FROM (SELECT p_partkey, p_name, p_size % 5 + 1 AS k FROM part), (VALUES ('shift'), ('reverse'), ('double'), ('reverse_shift')) r(rule))
+  SELECT p_partkey, rule, array_to_string(v, '-') AS sequence, CAST(list_sum(v) AS VARCHAR) AS total FROM c""")
 def rg3(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", planning.shift_cipher(F.col("n_name"), F.lit(3)).alias("code"))
+    """Every part's name in all four ciphers, as a sequence and as a sum."""
+    words = table(spark, d, "part").select("p_partkey", "p_name", (F.col("p_size") % 5 + 1).alias("k"), F.explode(F.array(*map(F.lit, _RULES))).alias("rule"))
+    coded = words.select("p_partkey", "rule", puzzles.cipher_values(F.col("p_name"), F.col("rule"), F.col("k")).alias("v"))
+    return coded.select("p_partkey", "rule", puzzles.cipher_code(F.col("v"), F.lit("sequence")).alias("sequence"), puzzles.cipher_code(F.col("v"), F.lit("sum")).alias("total"))
 
 
 _KIN = {("father", "father"): "grandfather", ("father", "mother"): "grandmother", ("mother", "father"): "grandfather", ("father", "brother"): "uncle", ("mother", "brother"): "uncle"}
@@ -159,17 +165,39 @@ def rg5(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", planning.compose(path, _KIN).alias("role"))
 
 
-@add("rg6_unique_layouts", "SELECT a.n_regionkey AS region, a.n_nationkey AS x, b.n_nationkey AS y, c.n_nationkey AS z FROM nation a JOIN nation b USING (n_regionkey) JOIN nation c USING (n_regionkey) WHERE b.n_nationkey > a.n_nationkey AND c.n_nationkey > a.n_nationkey AND c.n_nationkey <> b.n_nationkey")
+#: Four points of each part at distances from its columns; the clues of some leave the answer open.
+_GAPS = "p_size % 3 + 1 AS g1, CAST(p_partkey % 2 + 1 AS INT) AS g2, CAST(floor(p_partkey / 7) % 3 + 1 AS INT) AS g3"
+_LAYOUTS = f"""WITH p AS (SELECT p_partkey, p_partkey % 4 AS kind, {_GAPS.replace('AS INT)', 'AS INTEGER)')} FROM part), s AS (SELECT *, g1 + g2 + g3 AS span FROM p),
+  l AS (SELECT s.*, a, b, c, e FROM s, range(0, 10) x(a), range(0, 10) y(b), range(0, 10) z(c), range(0, 10) v(e)
+    WHERE a <= span AND b <= span AND c <= span AND e <= span AND a <> b AND a <> c AND a <> e AND b <> c AND b <> e AND c <> e AND least(a, b, c, e) = 0 AND greatest(a, b, c, e) = span
+    AND CASE kind WHEN 0 THEN abs(a - c) = g1 + g2 AND abs(b - e) = g2 + g3 AND b > least(a, c) AND b < greatest(a, c) WHEN 1 THEN abs(a - b) = g1 AND abs(c - e) = g3
+      WHEN 2 THEN abs(a - b) = abs(c - e) + (g1 - g3) AND abs(a - c) = g1 + g2 AND b > least(a, c) AND b < greatest(a, c) ELSE abs(a - e) = span AND b > least(a, c) AND b < greatest(a, c) AND abs(a - b) = g1 END)
+  SELECT p_partkey, count(*) AS layouts, CASE WHEN min(abs(b - c)) = max(abs(b - c)) THEN min(abs(b - c)) END::INTEGER AS answer FROM l GROUP BY p_partkey"""
+
+
+@add("rg6_unique_layouts", _LAYOUTS)
 def rg6(spark, d):
-    seats = table(spark, d, "nation")  # each region's handful of rows
-    pick = lambda n: seats.select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias(n))
-    both = pick("x").join(pick("y"), "region").filter("y > x")
-    return both.join(pick("z"), "region").filter("z > x AND z <> y").select("region", "x", "y", "z")
+    """Layouts of four points that meet each part's clues, and the distance of the middle two where it is certain."""
+    rows = table(spark, d, "part").select("p_partkey", *[F.expr(g) for g in _GAPS.split(", ")])
+
+    def clue(kind, a, b, c=None, e=None, far=None):
+        return F.struct(F.lit(kind).alias("kind"), *[F.lit(x).cast("int").alias(n) for n, x in zip("abce", (a, b, c, e), strict=True)], (F.lit(None) if far is None else F.expr(far)).cast("int").alias("d"))
+
+    kinds = [
+        [clue("dist", 0, 2, far="g1 + g2"), clue("dist", 1, 3, far="g2 + g3"), clue("between", 1, 0, 2)], [clue("dist", 0, 1, far="g1"), clue("dist", 2, 3, far="g3")],
+        [clue("more", 0, 1, 2, 3, "g1 - g3"), clue("dist", 0, 2, far="g1 + g2"), clue("between", 1, 0, 2)], [clue("dist", 0, 3, far="g1 + g2 + g3"), clue("between", 1, 0, 2), clue("dist", 0, 1, far="g1")],
+    ]
+    chosen = F
+    for k, clues in enumerate(kinds):
+        chosen = chosen.when(F.col("p_partkey") % 4 == k, F.array(*clues).cast(f"array<{puzzles.CLUE}>"))
+    asked = rows.select("p_partkey", F.lit(4).alias("points"), F.expr("g1 + g2 + g3").alias("span"), chosen.alias("clues"), F.array(F.lit(1), F.lit(2)).alias("asked"))
+    return puzzles.arrangement_answers(asked, "p_partkey", most=4)
 
 
-@add("rg7_same_calendar", "SELECT y, min(z) AS again FROM (SELECT 1990 + i AS y FROM range(40) t(i)), (SELECT 1990 + j AS z FROM range(90) u(j)) WHERE z > y AND dayofweek(make_date(CAST(y AS INTEGER), 1, 1)) = dayofweek(make_date(CAST(z AS INTEGER), 1, 1)) AND ((y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0) = ((z % 4 = 0 AND z % 100 <> 0) OR z % 400 = 0) GROUP BY y")
+@add("rg7_same_calendar", "SELECT y, min(z) AS again FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders), (SELECT 1900 + j AS z FROM range(300) u(j)) WHERE z > y AND dayofweek(make_date(CAST(y AS INTEGER), 1, 1)) = dayofweek(make_date(CAST(z AS INTEGER), 1, 1)) AND ((y % 4 = 0 AND y % 100 <> 0) OR y % 400 = 0) = ((z % 4 = 0 AND z % 100 <> 0) OR z % 400 = 0) GROUP BY y")
 def rg7(spark, d):
-    years = spark.range(40).select((F.col("id") + 1990).cast("int").alias("y"))
+    """The next year with the same calendar, of every year with orders."""
+    years = table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct()
     return years.select(F.col("y").cast("long").alias("y"), planning.same_calendar(F.col("y")).cast("long").alias("again"))
 
 
@@ -179,9 +207,11 @@ def rg8(spark, d):
     return table(spark, d, "part").select("p_partkey", planning.mirror_clock(m).alias("mirror"), planning.water_clock(m).alias("water"))
 
 
-@add("rg9_set_properties", "SELECT user_id FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) FILTER (WHERE event_type = 'error') = 0")
+@add("rg9_set_properties", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) FILTER (WHERE o_orderpriority LIKE '1%') > 0 AND count(*) FILTER (WHERE o_orderpriority LIKE '5%') = 0")
 def rg9(spark, d):
-    return planning.has_exactly(table(spark, d, "events"), "user_id", "event_type", {"purchase": True, "error": False})
+    """Customers with an order of the first priority and none of the fifth."""
+    orders = table(spark, d, "orders").select("o_custkey", F.substring("o_orderpriority", 1, 1).alias("level"))
+    return planning.has_exactly(orders, "o_custkey", "level", {"1": True, "5": False})
 
 
 @add("rg10_sufficiency", "SELECT p_partkey, CASE WHEN count(*) = 1 THEN CAST(min(v) AS INTEGER) END AS value FROM (SELECT p_partkey, p_size, v FROM part, range(1, 100) t(v) WHERE v % 7 = p_size % 7 AND v > p_size * 2 - 10 AND v < p_size * 2 + 2) GROUP BY p_partkey")
@@ -192,10 +222,17 @@ def rg10(spark, d):
     return table(spark, d, "part").filter(some).select("p_partkey", value.alias("value"))
 
 
-@add("rg11_dice", "SELECT * FROM (VALUES (1, 6)) t(face, opposite)")
+#: A die an order, of which each line shows three faces that meet at a corner.
+_CORNER = "l_partkey % 8"
+_FACES = {"top": f"CASE WHEN {_CORNER} % 2 = 0 THEN 1 ELSE 6 END", "left": f"CASE WHEN floor({_CORNER} / 2) % 2 = 0 THEN 2 ELSE 5 END", "right": f"CASE WHEN floor({_CORNER} / 4) % 2 = 0 THEN 3 ELSE 4 END"}
+
+
+@add("rg11_dice", f"""WITH v AS (SELECT l_orderkey, {', '.join(f'{e} AS {n}_face' for n, e in _FACES.items())} FROM lineitem), p AS (SELECT l_orderkey, unnest([top_face, top_face, left_face, left_face, right_face, right_face]) AS face, unnest([left_face, right_face, top_face, right_face, top_face, left_face]) AS next FROM v)
+  SELECT l_orderkey, CAST(face AS INTEGER) AS face, CAST(21 - face - sum(DISTINCT next) AS INTEGER) AS opposite FROM p GROUP BY l_orderkey, face HAVING count(DISTINCT next) = 4""")
 def rg11(spark, d):
-    views = spark.createDataFrame([(1, 2, 3), (1, 4, 5), (2, 3, 6)], "top int, left int, right int")
-    return planning.opposite_faces(views)
+    """The opposite faces that the views of each order's die tell."""
+    views = table(spark, d, "lineitem").select("l_orderkey", *[F.expr(f"CAST({e} AS INT)").alias(n) for n, e in _FACES.items()])
+    return planning.opposite_faces(views, "l_orderkey")
 
 
 @add("rg12_rotation", "SELECT s_suppkey, (CAST(s_suppkey AS INTEGER) % 4 + 3) % 4 AS place FROM supplier")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from kiteloom.functions import legacy, texts
 from kiteloom.operators import sequences
 from kiteloom.plans.registry import Family
+from kiteloom.plans.script import in_script
 from kiteloom.sources.tables import table
 
 FAMILY = Family("texts")
@@ -128,7 +129,6 @@ def tx16(spark, d):
     return _docs(spark, d).select("doc_id", F.round(texts.garble_density(signs), 6).alias("density"))
 
 
-sql("tx17_first_signature", "SELECT doc_id, CASE WHEN contains(text, '%%%') THEN 'percent' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shout' END AS signature FROM documents")
 #: Formats of the test texts, by marks that these have.
 _FORMATS = (("figure", r"\[[0-9]+\]"), ("match", r" \| "), ("assertion", r"[*#]{3}"), ("statement", r"(?m)^\s*[-•*]"), ("order", r"(?m)^\s*[0-9]+[.)]"))
 
@@ -152,10 +152,17 @@ def tx21(spark, d):
     return _valued(spark, d).select("p_partkey", "kind")
 
 
-@add("tx22_odd_one_out", f"WITH v AS (SELECT p_partkey, p_partkey // 4 AS grp, {_CLASS} AS kind FROM ({_VALUES})), c AS (SELECT grp, kind, count(*) AS n, min(p_partkey) AS p_partkey FROM v GROUP BY 1, 2) SELECT grp, min(p_partkey) AS odd FROM c WHERE n = 1 GROUP BY grp HAVING count(*) = 1")
+#: Four values a group, of which the last is of another class in most groups.
+_FOURS = "SELECT CAST(floor(p_partkey / 4) AS BIGINT) AS grp, p_partkey, CASE WHEN p_partkey % 4 = 3 AND floor(p_partkey / 4) % 3 > 0 THEN 'शब्द' WHEN floor(p_partkey / 4) % 2 = 0 THEN CAST(1900 + p_size AS VARCHAR) ELSE p_type END AS v FROM part"
+
+
+@add("tx22_odd_one_out", f"WITH v AS (SELECT grp, p_partkey, {_CLASS} AS kind FROM ({_FOURS})), c AS (SELECT grp, kind, count(*) AS n, min(p_partkey) AS odd, sum(count(*)) OVER (PARTITION BY grp) AS total FROM v GROUP BY 1, 2) SELECT grp, min(odd) AS odd FROM c WHERE n = 1 AND total = 4 GROUP BY grp HAVING count(*) = 1")
 def tx22(spark, d):
-    kinds = _valued(spark, d).withColumn("grp", F.expr("p_partkey div 4")).groupBy("grp", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("odd"))
-    return kinds.filter("n = 1").groupBy("grp").agg(F.min("odd").alias("odd"), F.count(F.lit(1)).alias("k")).filter("k = 1").select("grp", "odd")
+    table(spark, d, "part").createOrReplaceTempView("part")
+    rows = spark.sql(_FOURS.replace("VARCHAR", "STRING")).withColumn("kind", texts.value_class(F.col("v")))
+    kinds = rows.groupBy("grp", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("odd"))
+    each = kinds.groupBy("grp").agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("single"), F.min(F.when(F.col("n") == 1, F.col("odd"))).alias("odd"))
+    return each.filter("total = 4 AND single = 1").select("grp", "odd")
 
 
 @add("tx23_profile_name")
@@ -176,19 +183,26 @@ sql("tx26_week_bounds", "SELECT o_orderkey, cast(date_trunc('week', o_orderdate)
     "SELECT o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS sunday FROM orders")
 
 
-@add("tx27_weekly_plan", """WITH have AS (SELECT event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-01 04:00:00' GROUP BY 1), t AS (SELECT * FROM (VALUES ('view', 12), ('click', 8), ('signup', 3), ('purchase', 2)) v(kind, want)),
-  need AS (SELECT kind, unnest(range(1, CAST(greatest(want - coalesce(n, 0), 0) AS BIGINT) + 1)) AS i FROM t LEFT JOIN have ON event_type = kind), q AS (SELECT kind, row_number() OVER (ORDER BY kind, i) AS rn FROM need),
-  days AS (SELECT day, row_number() OVER (ORDER BY day) AS rn FROM (SELECT DATE '2024-02-05' + CAST(i AS INTEGER) AS day FROM range(7) r(i) WHERE i NOT IN (1, 4)))
-  SELECT q.kind, q.rn, days.day FROM q LEFT JOIN days ON q.rn = days.rn""")
+#: What a week should have of each type: the mean of all weeks and a fifth more.
+@add("tx27_weekly_plan", """WITH w AS (SELECT CAST(date_trunc('week', ts) AS DATE) AS week, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT kind, CAST(ceil(sum(n) * 1.2 / (SELECT count(DISTINCT week) FROM w)) AS BIGINT) AS want FROM w GROUP BY kind),
+  g AS (SELECT week, t.kind, least(greatest(want - coalesce(n, 0), 0), 9) AS gap FROM (SELECT DISTINCT week FROM w) CROSS JOIN t LEFT JOIN w USING (week, kind)),
+  q AS (SELECT week, kind, row_number() OVER (PARTITION BY week ORDER BY i, kind) AS rn FROM (SELECT week, kind, unnest(range(1, gap + 1)) AS i FROM g)),
+  d AS (SELECT week, week + CAST(i AS INTEGER) AS day, row_number() OVER (PARTITION BY week ORDER BY i) AS rn FROM (SELECT DISTINCT week FROM w), range(7) r(i) WHERE i NOT IN (1, 4))
+  SELECT q.week, q.kind, q.rn, d.day FROM q LEFT JOIN d USING (week, rn)""")
 def tx27(spark, d):
-    have = table(spark, d, "events").filter(F.col("ts") < F.lit("2024-01-01 04:00:00").cast("timestamp_ntz")).groupBy(F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    targets = spark.createDataFrame([("view", 12), ("click", 8), ("signup", 3), ("purchase", 2)], "kind string, want int")
-    gap = F.greatest(F.col("want") - F.coalesce("n", F.lit(0)), F.lit(0)).cast("int")
-    need = targets.join(have, "kind", "left").withColumn("gap", gap).filter("gap > 0").select("kind", F.explode(F.sequence(F.lit(1), F.col("gap"))).alias("i"))
-    queue = need.select("kind", F.row_number().over(Window.orderBy("kind", "i")).alias("rn"))  # a week's queue: a few rows
-    days = spark.range(7).filter(~F.col("id").isin(1, 4)).select(F.date_add(F.lit("2024-02-05").cast("date"), F.col("id").cast("int")).alias("day"))
-    days = days.select("day", F.row_number().over(Window.orderBy("day")).alias("rn"))
-    return queue.join(days, "rn", "left").select("kind", "rn", "day")
+    """Types that a week lacks, at most nine of each, in turn on its free days; what is over has no day."""
+    counts = table(spark, d, "events").groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week"), F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    weeks = counts.select("week").distinct()
+    number = weeks.agg(F.count(F.lit(1)).alias("weeks"))  # one row
+    targets = counts.groupBy("kind").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(number)).select("kind", F.ceil(F.col("n") * 1.2 / F.col("weeks")).alias("want"))
+    kinds = targets.agg(F.collect_list(F.struct("kind", "want")).alias("kinds"))  # a row of a few event types
+    asked = weeks.crossJoin(F.broadcast(kinds)).select("week", F.explode("kinds").alias("k")).select("week", "k.kind", "k.want")
+    gap = F.least(F.greatest(F.col("want") - F.coalesce("n", F.lit(0)), F.lit(0)), F.lit(9)).cast("int")
+    need = asked.join(counts, ["week", "kind"], "left").withColumn("gap", gap).filter("gap > 0").select("week", "kind", F.explode(F.sequence(F.lit(1), F.col("gap"))).alias("i"))
+    queue = need.select("week", "kind", F.row_number().over(Window.partitionBy("week").orderBy("i", "kind")).alias("rn"))
+    free = F.array(*[F.date_add("week", i) for i in range(7) if i not in (1, 4)])
+    days = weeks.select("week", F.posexplode(free).alias("at", "day")).select("week", (F.col("at") + 1).alias("rn"), "day")
+    return queue.join(days, ["week", "rn"], "left").select("week", "kind", "rn", "day")
 
 
 sql("tx28_progress", "SELECT source, least(100, cast(floor(count(*) * 100.0 / 60) AS INTEGER)) AS percent FROM documents GROUP BY source".replace("INTEGER", "INT"), "SELECT source, least(100, CAST(floor(count(*) * 100.0 / 60) AS INTEGER)) AS percent FROM documents GROUP BY source")
@@ -211,9 +225,11 @@ def tx31(spark, d):
     return table(spark, d, "customer").select("c_custkey", body.alias("body"), (F.size(F.split(body, "\\s+")) < 6).alias("fits"))
 
 
-@add("tx32_row_ranges", "SELECT * FROM (VALUES (2), (3), (5), (6), (7), (8), (9)) t(n)")
+@add("tx32_row_ranges", "SELECT p_partkey, unnest(list_concat([p_size, p_size + 2], range(p_size + 4, p_size + 4 + p_partkey % 5 + 1))) AS n FROM part")
 def tx32(spark, d):
-    return spark.range(1).select(F.explode(texts.row_numbers(F.lit("2, 3,5-9"))).alias("n"))
+    """The numbers of a specification a part, such as 7, 9,11-13."""
+    spec = F.expr("concat(CAST(p_size AS STRING), ', ', CAST(p_size + 2 AS STRING), ' ,', CAST(p_size + 4 AS STRING), '-', CAST(p_size + 4 + p_partkey % 5 AS STRING))")
+    return table(spark, d, "part").select("p_partkey", F.explode(texts.row_numbers(spec).cast("array<bigint>")).alias("n"))
 
 
 sql("tx33_style_prefix", "SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'standard' WHEN p_type LIKE 'SMALL%' THEN 'small' WHEN p_type LIKE 'PROMO%' THEN 'promo' ELSE 'other' END AS style FROM part")
@@ -226,10 +242,24 @@ def tx34(spark, d):
     return table(spark, d, "customer").select("c_custkey", texts.us_phone(raw).alias("phone"))
 
 
-@add("tx35_legacy_conversion")
+#: A table of one's own: a joined consonant with a code of two characters, others with one.
+_CODES = [("क्ष", "x&"), *[(c, k) for c, k in zip("कखगघचछजझटठडढणतथदधनपफबभमयल", "BCDEGHIJKLMNOPQRSTUVWXYbcd", strict=False)]]
+_SIGNED = "concat({0}, ' क्षि', {1}, 'ि र्', {2}, 'ी', substr({1}, 1, 1), '्', {2}, 'ि')"
+
+
+def _signed(script) -> str:
+    return _SIGNED.format(script("p_type"), script("p_brand"), script("p_name"))
+
+
+_CODED = "regexp_replace(regexp_replace({}, '((?:.्)*.)ि', 'f\\1', 'g'), 'र्(.[ािीुूृेैोौं:ँॅ]*)', '\\1Z', 'g')"
+
+
+@add("tx35_legacy_conversion", f"SELECT p_partkey, md5(translate(replace({_CODED.format(_signed(in_script))}, 'क्ष', 'x&'), 'कखगघचछजझटठडढणतथदधनपफबभमयल', 'BCDEGHIJKLMNOPQRSTUVWXYbcd')) AS coded, TRUE AS same FROM part")
 def tx35(spark, d):
-    coded = legacy.encode(F.col("text"))
-    return _docs(spark, d).select("doc_id", coded.alias("coded"), (legacy.decode(coded) == F.col("text")).alias("same"))
+    """Texts in the script coded by a table and decoded again."""
+    rows = table(spark, d, "part").select("p_partkey", F.expr(_signed(in_script)).alias("t"))
+    coded = rows.withColumn("coded", legacy.encode(F.col("t"), _CODES, "f", "Z"))
+    return coded.select("p_partkey", F.md5("coded").alias("coded"), (legacy.decode(F.col("coded"), _CODES, "f", "Z") == F.col("t")).alias("same"))
 
 
 @add("tx36_video_id", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN lpad(CAST(page_id AS VARCHAR), 11, 'a') END AS video FROM pages")

@@ -9,7 +9,7 @@ import unicodedata
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Blanks that count as whitespace in texts.
@@ -219,9 +219,13 @@ def domain(url: Column) -> Column:
 
 
 def profile_name(url: Column) -> Column:
-    """Title-cased name of a profile URL's slug, without a trailing hex id of six or more."""
-    slug = F.regexp_extract(url, "/([^/?#]+)/?(?:[?#].*)?$", 1)
-    return F.initcap(F.replace(F.regexp_replace(slug, "-[0-9a-f]{6,}$", ""), F.lit("-"), F.lit(" ")))
+    """Title-cased name of the slug after /in/, without a last hex token of six or more if it
+    isn't all there is; underscores are blanks. Blank where there is no slug."""
+    slug = F.regexp_extract(F.coalesce(url, F.lit("")), "/in/([^/?#]+)", 1)
+    parts = F.filter(F.split(slug, "-"), lambda x: x != "")
+    coded = (F.size(parts) > 1) & F.coalesce(F.try_element_at(parts, F.lit(-1)).rlike("^[0-9a-f]{6,}$"), F.lit(False))
+    named = F.when(coded, F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return F.initcap(F.replace(F.array_join(named, " "), F.lit("_"), F.lit(" ")))
 
 
 def mail_first_name(mail: Column) -> Column:
@@ -244,6 +248,20 @@ def us_phone(raw: Column) -> Column:
     return F.when(ten.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$"), F.concat(F.lit("+1"), ten))
 
 
+#: The calling block of a time zone.
+CALLING_BLOCKS = {"America/Los_Angeles": "morning", "America/Denver": "morning", "America/Phoenix": "morning", "America/Chicago": "night", "America/New_York": "night"}
+
+
+def callable_phones(rows: DataFrame, raw: str, zones: DataFrame) -> DataFrame:
+    """Rows with a valid number of a known zone: phone, area_code, time_zone and calling_block (blank for other zones).
+
+    ``zones`` (area_code, time_zone): one row a code, some hundreds at most.
+    """
+    blocks = F.create_map(*[F.lit(x) for kv in CALLING_BLOCKS.items() for x in kv])
+    parsed = rows.withColumn("phone", us_phone(F.col(raw))).withColumn("area_code", F.substring("phone", 3, 3))
+    return parsed.join(F.broadcast(zones), "area_code").withColumn("calling_block", F.coalesce(F.try_element_at(blocks, F.col("time_zone")), F.lit("")))
+
+
 def circular(reason: Column, answer: Column, markers: list[str]) -> Column:
     """A reason that holds a marker, or says under 12 characters besides the answer."""
     low = F.lower(F.coalesce(reason, F.lit("")))
@@ -251,3 +269,43 @@ def circular(reason: Column, answer: Column, markers: list[str]) -> Column:
     for m in markers:
         marked = marked | low.contains(m)
     return marked | (F.length(F.trim(F.replace(low, F.lower(answer), F.lit("")))) < 12)
+
+
+#: Punctuation that scans are inconsistent about.
+WOBBLY = "[।'\"‘’“”()\\[\\]{}.,:;?!\\-–—/\\\\]"
+
+
+def stem_key(text: Column) -> Column:
+    """What identifies a stem: blanks collapsed, wobbly punctuation dropped, lower case; blank if under six characters."""
+    flat = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " ")), WOBBLY, "")
+    key = F.trim(F.lower(flat))
+    return F.when(F.length(key) >= 6, key).otherwise("")
+
+
+def question_key(stem: Column, options: Column) -> Column:
+    """The keys of the stem and of the first option that has one, joined; null for a stem without a key, which nothing repeats."""
+    first = F.coalesce(F.get(F.filter(F.transform(options, stem_key), lambda k: k != ""), F.lit(0)), F.lit(""))
+    return F.when(stem_key(stem) != "", F.concat(stem_key(stem), F.lit("||"), first))
+
+
+def safe_correction(text: Column, corrected: Column) -> Column:
+    """Whether a correction keeps all numbers and Latin words, in any order, and most of the length."""
+    bag = lambda c, pattern: F.array_sort(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lower))
+    same = lambda pattern: bag(text, pattern) == bag(corrected, pattern)
+    low, high = F.least(F.length(text), F.length(corrected)), F.greatest(F.length(text), F.length(corrected))
+    there = F.coalesce(F.regexp_replace(corrected, SPACE, "") != "", F.lit(False))
+    return there & same(r"(?U)\d+") & same("[A-Za-z]+") & ((high == 0) | (low >= 0.6 * high))
+
+
+#: Days from the date of a stage to its next action; stages whose cadence a reply ends.
+STAGE_DAYS = {"commented": 2, "accepted": 0, "first_msg": 3, "loom_sent": 7, "engaged": 30}
+SILENT_STAGES = ("first_msg", "loom_sent", "engaged")
+
+
+def next_action(stage: Column, entered: Column, replied: Column) -> Column:
+    """The day of the next action of a stage that was entered on a day; null for other stages and where a reply ended the cadence."""
+    days = F
+    for name, n in STAGE_DAYS.items():
+        days = days.when(stage == name, F.lit(n))
+    quiet = stage.isin(*SILENT_STAGES) & F.coalesce(replied, F.lit(False))
+    return F.when(~quiet, F.date_add(entered, days.otherwise(F.lit(None))))

@@ -69,3 +69,15 @@ def share_against_target(df: DataFrame, by: str, targets: DataFrame, slack: floa
 def safe_ratio(n: Column, d: Column) -> Column:
     """n / d, and 0 where d is 0 or null."""
     return F.when(F.coalesce(d, F.lit(0)) == 0, F.lit(0.0)).otherwise(n / d)
+
+
+def review_summary(rows: DataFrame, paper: str, question: str) -> DataFrame:
+    """paper, total, flagged and the flagged questions, a row each; a null one for a paper without.
+
+    A question is flagged by its own ``flag``, or with neither sources nor a solution
+    (``no_sources``, ``no_solution``); papers with an ``official`` key have none.
+    """
+    flagged = ~F.col("official") & (F.col("flag") | (F.col("no_sources") & F.col("no_solution")))
+    told = rows.select(paper, question, F.coalesce(flagged, F.lit(False)).alias("flagged"))
+    totals = told.groupBy(paper).agg(F.count(F.lit(1)).alias("total"), F.count_if("flagged").alias("flagged"))
+    return totals.join(told.filter("flagged").select(paper, question), paper, "left").select(paper, "total", "flagged", question)

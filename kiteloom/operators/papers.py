@@ -107,6 +107,32 @@ def questions(papers: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return whole.withColumn("format", texts.format_of(F.col("text")))
 
 
+#: A numbered line; the highest number; least numbered lines, highest first number
+#: and share of ascending ones that make a numbering reliable; questions of a chunk.
+NUMBERED, HIGHEST, SOME, LOW, ASCENDING, CHUNK = r"^[\s>|*#\-\x{200B}\x{200C}\x{200D}\x{FEFF}\xA0]{0,6}(\d{1,3})[.)\-]\s", 300, 12, 3, 0.8, 20
+
+
+def numbered_chunks(papers: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """keys, chunk (from 0) and body of papers that are cut at the first line of every 20th number.
+
+    A paper is cut if it has enough numbered lines, begins low, mostly ascends and has more
+    numbers than a chunk; others give no rows. A chunk begins one question early, so that
+    neighbours overlap, and the first with the paper itself.
+    """
+    lines = papers.select(*keys, F.split(F.coalesce(text, F.lit("")), LINE_END).alias("lines"))
+    number = lambda x: F.translate(F.regexp_extract(x, f"(?U){NUMBERED}", 1), *DIGITS).try_cast("int")
+    marked = lines.withColumn("starts", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), number(x).alias("n"))), lambda s: s["n"].between(1, HIGHEST)))
+    rising = F.size(F.filter(F.transform("starts", lambda s, i: (i > 0) & (s["n"] > F.get("starts", i - 1)["n"])), lambda x: x))
+    first = F.filter("starts", lambda s, i: ~F.exists(F.slice("starts", 1, i), lambda b: b["n"] == s["n"]))
+    fine = (F.size("starts") >= SOME) & (F.get("starts", F.lit(0))["n"] <= LOW) & (rising >= ASCENDING * (F.size("starts") - 1))
+    kept = marked.filter(fine).select(*keys, "lines", F.transform(first, lambda s: s["at"]).alias("anchors")).filter(F.size("anchors") > CHUNK)
+    chunks = F.floor((F.size("anchors") - 1) / CHUNK).cast("int")
+    opened = kept.select(*keys, "lines", "anchors", F.explode(F.sequence(F.lit(0), chunks)).alias("chunk"))
+    since = F.when(F.col("chunk") == 0, 0).otherwise(F.get("anchors", F.col("chunk") * CHUNK - 1))
+    until = F.coalesce(F.get("anchors", (F.col("chunk") + 1) * CHUNK), F.size("lines"))
+    return opened.select(*keys, "chunk", _stripped(F.array_join(F.slice("lines", since + 1, until - since), "\n")).alias("body"))
+
+
 #: Option markers of a legacy font and as scanned pages garble them, with what they stand for; a marker; the gap between columns.
 LEGACY_MARKERS = tuple((p, f"({x}) ") for x in "abcd" for p in (rf"(?<![A-Za-z0-9]){x.upper()}½", rf"¼\s*[{x}{x.upper()}]\s*½"))
 GARBLED_MARKERS = ((r";\s*इ\s*\)", "(b) "), (r";\s*ब\s*\)", "(c) "), (r";\s*क\s*\)", "(d) "), (r";\s*घ\s*\)", "(d) "))

@@ -69,3 +69,22 @@ def pack_fold(sizes: Column, full: int, flush: int) -> Column:
 def hash_order(seed: int, *columns: str) -> Column:
     """A shuffle that any engine repeats: md5 of "seed|value|value"."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
+def rounds(groups: DataFrame, by: str, types: str, count: int, seed: int) -> DataFrame:
+    """by, place (from 1) and type: all types of a group in turn until ``count`` places are taken.
+
+    Each round is shuffled by itself; where it would begin with the type that the round
+    before ended with, its first two change places. A group's types are a short array.
+    """
+    order = lambda r: F.transform(F.array_sort(F.transform(types, lambda t: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string"), r.cast("string"), t)).alias("h"), t.alias("t")))), lambda x: x["t"])
+
+    def add(out: Column, r: Column) -> Column:
+        fresh = order(r)
+        seam = (F.size(fresh) > 1) & F.coalesce(F.get(fresh, F.lit(0)) == F.try_element_at(out, F.lit(-1)), F.lit(False))
+        turned = F.concat(F.slice(fresh, 2, 1), F.slice(fresh, 1, 1), F.slice(fresh, 3, F.size(fresh)))
+        return F.concat(out, F.when(seam, turned).otherwise(fresh))
+
+    needed = F.sequence(F.lit(1), F.ceil(F.lit(count) / F.size(types)).cast("int"))
+    filled = groups.filter(F.size(types) > 0).select(by, F.aggregate(needed, F.array().cast("array<string>"), add).alias("out"))
+    return filled.select(by, F.posexplode(F.slice("out", 1, count)).alias("place", "type")).withColumn("place", F.col("place") + 1)

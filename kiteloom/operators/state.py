@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -53,8 +53,43 @@ def advance(rows: DataFrame, span: int = 5) -> DataFrame:
     return rows.withColumn("used_ago", F.when(F.col("used_ago") + 1 <= span, F.col("used_ago") + 1))
 
 
-def status_times(status: Column, at: Column, seen: Column, applied: Column) -> tuple[Column, Column]:
-    """Seen and applied times after a status change: "applied" sets both, "new" clears both."""
-    new_seen = F.when(status == "new", F.lit(None)).when(status.isin("seen", "applied"), F.coalesce(seen, at)).otherwise(seen)
-    new_applied = F.when(status == "new", F.lit(None)).when(status == "applied", at).otherwise(applied)
-    return new_seen, new_applied
+def status_times(status: Column, at: Column, seen: Column, applied: Column, link: Column, new_link: Column) -> tuple[Column, Column, Column]:
+    """Seen and applied times and the link after a change of status at ``at``.
+
+    "applied" sets both times, and the link if there is a new one; "skipped" sets the seen
+    time; "new" clears all three; other statuses change nothing.
+    """
+    clear = status == "new"
+    new_seen = F.when(clear, F.lit(None)).when(status.isin("applied", "skipped"), at).otherwise(seen)
+    new_applied = F.when(clear, F.lit(None)).when(status == "applied", at).otherwise(applied)
+    links = F.when(clear, F.lit(None)).when((status == "applied") & (F.coalesce(new_link, F.lit("")) != ""), new_link).otherwise(link)
+    return new_seen, new_applied, links
+
+
+#: The progress that a stage stands for, and statuses after which a job does nothing more.
+STAGE_PROGRESS = {"extract": 10, "generate": 20, "review": 55, "generate_explanations": 70, "answer_key": 75, "solutions": 75, "build": 85}
+TERMINAL = ("DONE", "FAILED", "TIMEOUT", "CANCELLED", "EXPIRED")
+
+
+def job_lifecycle(changes: DataFrame, job: str, order: Sequence[str], at: str) -> DataFrame:
+    """Add ``progress`` and ``finished_at`` after each change of a job (columns status, stage, progress).
+
+    Progress never falls: it is the largest so far of 100 for DONE, else the change's own
+    progress within 0..100, else its stage's. The first terminal status finishes a job.
+    """
+    stages = F.create_map(*[F.lit(x) for kv in STAGE_PROGRESS.items() for x in kv])
+    own = F.when(F.col("progress").isNotNull(), F.least(F.greatest(F.col("progress"), F.lit(0)), F.lit(100)))
+    step = F.when(F.upper("status") == "DONE", F.lit(100)).otherwise(F.coalesce(own, F.try_element_at(stages, F.lower("stage")), F.lit(0)))
+    upto = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ended = F.when(F.upper("status").isin(*TERMINAL), F.col(at))
+    return changes.withColumns({"progress": F.max(step).over(upto).cast("int"), "finished_at": F.first(ended, ignorenulls=True).over(upto)})
+
+
+def expired(jobs: DataFrame, now: Column, kept: Column) -> DataFrame:
+    """Jobs past their ``expires_at``, or ``kept`` after ``created_at`` without one: status, no outputs, and why."""
+    gone = (F.col("status") == "EXPIRED") | (now > F.coalesce("expires_at", F.col("created_at") + kept))
+    gone = F.coalesce(gone, F.lit(False))
+    return jobs.withColumns({
+        "status": F.when(gone, "EXPIRED").otherwise(F.col("status")), "outputs": F.when(gone, F.array().cast("array<string>")).otherwise(F.col("outputs")),
+        "error": F.when(gone, "Generated files expired.").otherwise(F.col("error")),
+    })

@@ -110,11 +110,15 @@ def ag20(spark, d):
     return table(spark, d, "nation").select("n_name", F.aggregate(F.split(F.lower("n_name"), ""), F.lit(0), lambda s, c: s + value(c)).alias("total"))
 
 
-@FAMILY.add("ag21_review_summary", "SELECT source, count(*) AS total, count(*) FILTER (WHERE quality = 0) AS flagged, coalesce(string_agg(CASE WHEN quality = 0 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY doc_id), '') AS ids FROM documents JOIN labels USING (doc_id) GROUP BY source")
+_REVIEWED = "SELECT d.source, d.doc_id, l.quality = 0 AS flag, l.toxic = 1 AS no_sources, d.lang = 'fr' AS no_solution, d.source LIKE '%0' AS official FROM documents d JOIN labels l USING (doc_id)"
+
+
+@FAMILY.add("ag21_review_summary", f"WITH r AS (SELECT source, doc_id, NOT official AND (flag OR (no_sources AND no_solution)) AS flagged FROM ({_REVIEWED})), t AS (SELECT source, count(*) AS total, count(*) FILTER (WHERE flagged) AS flagged FROM r GROUP BY source) SELECT t.source, total, t.flagged, r.doc_id FROM t LEFT JOIN r ON r.source = t.source AND r.flagged")
 def ag21(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").groupBy("source")
-    ids = F.sort_array(F.collect_list(F.when(F.col("quality") == 0, F.col("doc_id"))))
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 0).alias("flagged"), F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+    """Each source's counts with a row for each of its flagged documents, one without any where there are none."""
+    for name in ("documents", "labels"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    return ops.review_summary(spark.sql(_REVIEWED), "source", "doc_id")
 
 
 sql("ag22_shortfall", "SELECT built, extracted, built < 0.9 * extracted AS short FROM (SELECT (SELECT count(*) FROM labels) AS built, (SELECT count(*) FROM documents) AS extracted) t")

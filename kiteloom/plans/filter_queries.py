@@ -123,10 +123,13 @@ def flt15(spark, d):
     return seen.withColumn("days", age).filter("n >= 5 AND days >= 15").select("user_id", "n", "days")
 
 
-@add("flt16_waiting_on_them", "SELECT conv_id FROM conversations GROUP BY conv_id HAVING arg_max(role, turn) = 'assistant' AND max(turn) >= 3")
+@add("flt16_waiting_on_them", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING arg_max(o_orderstatus, (o_orderdate, o_orderkey)) = 'O' AND max(o_orderdate) < (SELECT max(o_orderdate) FROM orders) - INTERVAL '24' HOUR")
 def flt16(spark, d):
-    last = table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max("turn").alias("turn"))
-    return last.filter("role = 'assistant' AND turn >= 3").select("conv_id")
+    """Customers as threads whose latest order is open (ours) and over a day older than the latest of all."""
+    orders = table(spark, d, "orders")
+    now = orders.agg(F.max("o_orderdate").alias("now"))  # one row
+    last = orders.groupBy("o_custkey").agg(F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status"), F.max("o_orderdate").alias("at"))
+    return last.crossJoin(F.broadcast(now)).filter((F.col("status") == "O") & (F.col("at") < F.col("now") - F.expr("INTERVAL '24' HOUR"))).select("o_custkey")
 
 
 @add("flt17_bucket_overlap", "SELECT b.name, count(*) AS n FROM (VALUES ('tiny', 1, 10), ('small', 11, 20), ('mid', 21, 35), ('big', 36, 60)) b(name, lo, hi), part WHERE b.hi >= p_size AND b.lo <= p_size + 5 GROUP BY b.name")

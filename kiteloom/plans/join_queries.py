@@ -58,7 +58,7 @@ def jn6(spark, d):
     return ops.new_first_rows(pages, known, F.col("k"), F.col("k"), ["page_id"], blank_passes=True).select("page_id", "k")
 
 
-sql("jn7_not_cooling", "SELECT p_partkey FROM part LEFT ANTI JOIN (SELECT p_partkey AS k FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 4 <> 0) s ON p_partkey = k", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 4 <> 0)")
+sql("jn7_not_cooling", "SELECT p_partkey FROM part LEFT ANTI JOIN (SELECT l_partkey AS k FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01') s ON p_partkey = k", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-01')")
 sql("jn8_lru_candidates", "SELECT p_partkey, used_ago FROM (SELECT p_partkey, p_type, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 6 END AS used_ago FROM part) WHERE p_type LIKE '%BRASS%' OR p_partkey % 11 = 0 ORDER BY used_ago DESC NULLS FIRST, p_partkey LIMIT 25")
 
 
@@ -76,15 +76,6 @@ def jn10(spark, d):
     return ops.asof_backward(left, marks, ["user_id"], "ts", "ts", ["mark_id", "mark_value"], "mark_id").select("event_id", "mark_id", "mark_value")
 
 
-_LINES = "SELECT conv_id, turn, lower(split_part(text, ' ', 1)) AS line FROM conversations"
-
-
-@add("jn11_containment", f"WITH l AS ({_LINES}) SELECT conv_id, turn FROM l c WHERE NOT EXISTS (SELECT 1 FROM l e WHERE e.conv_id = c.conv_id AND e.turn < c.turn AND contains(e.line, c.line))")
-def jn11(spark, d):
-    lines = table(spark, d, "conversations").select("conv_id", "turn", F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("line"))
-    return ops.not_contained(lines, ["conv_id"], "turn", "line").select("conv_id", "turn")
-
-
 _TEXTS = "SELECT conv_id, turn, lower(trim(regexp_replace(text, '[\\x09-\\x0D\\x20\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))) AS line FROM conversations"
 
 

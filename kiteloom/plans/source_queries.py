@@ -82,10 +82,11 @@ def snk1(spark, d):
     return sinks.replaced(docs, fresh, "source")
 
 
-@add("snk2_skip_loaded", "SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id % 20 = 3)")
+@add("snk2_skip_loaded", "SELECT doc_id FROM documents WHERE source NOT IN (SELECT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY source HAVING count(*) > 1)")
 def snk2(spark, d):
     docs = table(spark, d, "documents")
-    return sinks.not_loaded(docs, docs.filter("doc_id % 20 = 3"), "source").select("doc_id")
+    toxic = docs.join(table(spark, d, "labels").filter("toxic = 1"), "doc_id").groupBy("source").count()
+    return sinks.not_loaded(docs, toxic.filter("count > 1"), "source").select("doc_id")
 
 
 sql("snk3_incremental", "SELECT doc_id FROM documents LEFT ANTI JOIN (SELECT doc_id AS done FROM labels) l ON doc_id = done", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -46,15 +46,22 @@ def _state(spark, d):
     return spark.sql(_STATE.replace("INTEGER", "INT"))
 
 
-@add("up5_mark_used", f"SELECT p_partkey, CASE WHEN p_partkey % 10 = 1 THEN 0 ELSE used_ago END AS used_ago, use_count + CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END AS use_count FROM ({_STATE})")
+_SOLD = "p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)"
+
+
+@add("up5_mark_used", f"SELECT p_partkey, CASE WHEN {_SOLD} THEN 0 ELSE used_ago END AS used_ago, use_count + CASE WHEN {_SOLD} THEN 1 ELSE 0 END AS use_count FROM ({_STATE})")
 def up5(spark, d):
-    return ops.mark_used(_state(spark, d), table(spark, d, "part").filter("p_partkey % 10 = 1"), "p_partkey")
+    """Parts sold in the largest quantity are used."""
+    sold = table(spark, d, "lineitem").filter("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
+    return ops.mark_used(_state(spark, d), sold, "p_partkey")
 
 
-@add("up6_mark_or_insert", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN 0 ELSE a.used_ago END AS used_ago, coalesce(a.use_count, 0) + CASE WHEN b.k IS NOT NULL THEN 1 ELSE 0 END AS use_count FROM (SELECT DISTINCT s_nationkey AS k, 2 AS used_ago, 1 AS use_count FROM supplier WHERE s_nationkey < 15) a FULL JOIN (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey > 10) b ON a.k = b.k")
+@add("up6_mark_or_insert", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN 0 ELSE a.used_ago END AS used_ago, coalesce(a.use_count, 0) + CASE WHEN b.k IS NOT NULL THEN 1 ELSE 0 END AS use_count FROM (SELECT l_partkey AS k, 2 AS used_ago, count(*) AS use_count FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) a FULL JOIN (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_linestatus = 'O') b ON a.k = b.k")
 def up6(spark, d):
-    rows = table(spark, d, "supplier").filter("s_nationkey < 15").select(F.col("s_nationkey").alias("k")).distinct().select("k", F.lit(2).alias("used_ago"), F.lit(1).alias("use_count"))
-    return ops.mark_used_or_insert(rows, table(spark, d, "customer").filter("c_nationkey > 10").select(F.col("c_nationkey").alias("k")), ["k"])
+    """Parts that came back have a state; parts on open lines are used, with or without one."""
+    lines = table(spark, d, "lineitem").withColumnRenamed("l_partkey", "k")
+    rows = lines.filter("l_returnflag = 'R'").groupBy("k").agg(F.count(F.lit(1)).alias("use_count")).select("k", F.lit(2).alias("used_ago"), "use_count")
+    return ops.mark_used_or_insert(rows, lines.filter("l_linestatus = 'O'").select("k"), ["k"])
 
 
 @add("up7_advance", f"SELECT p_partkey, CASE WHEN used_ago + 1 <= 5 THEN used_ago + 1 END AS used_ago, use_count FROM ({_STATE})")
@@ -62,29 +69,44 @@ def up7(spark, d):
     return ops.advance(_state(spark, d))
 
 
-_STATUS = "CASE o_orderstatus WHEN 'O' THEN 'applied' WHEN 'F' THEN 'new' ELSE 'seen' END"
+_STATUS = "CASE o_orderstatus WHEN 'O' THEN 'applied' WHEN 'F' THEN 'new' WHEN 'P' THEN 'skipped' END"
+_BEFORE = {"seen": "CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate - INTERVAL '1' DAY END", "applied": "CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate - INTERVAL '1' DAY END", "link": "CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority END", "new_link": "CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('doc ', o_orderpriority) END"}
 
 
-@add("up8_status_times", f"SELECT o_orderkey, s AS status, CASE s WHEN 'new' THEN NULL ELSE coalesce(seen, moment) END AS seen, CASE s WHEN 'new' THEN NULL WHEN 'applied' THEN moment ELSE applied END AS applied FROM (SELECT o_orderkey, {_STATUS} AS s, o_orderdate AS moment, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END AS seen, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate END AS applied FROM orders)")
+@add("up8_status_times", f"""SELECT o_orderkey, s AS status, CASE s WHEN 'new' THEN NULL WHEN 'applied' THEN o_orderdate WHEN 'skipped' THEN o_orderdate ELSE seen END AS seen, CASE s WHEN 'new' THEN NULL WHEN 'applied' THEN o_orderdate ELSE applied END AS applied,
+    CASE WHEN s = 'new' THEN NULL WHEN s = 'applied' AND coalesce(new_link, '') <> '' THEN new_link ELSE link END AS link FROM (SELECT o_orderkey, o_orderdate, {_STATUS} AS s, {', '.join(f'{e} AS {n}' for n, e in _BEFORE.items())} FROM orders)""")
 def up8(spark, d):
-    rows = table(spark, d, "orders").withColumn("status", F.expr(_STATUS))
-    at = F.col("o_orderdate")
-    seen, applied = ops.status_times(F.col("status"), at, F.when(F.col("o_orderkey") % 2 == 0, at), F.when(F.col("o_orderkey") % 3 == 0, at))
-    return rows.select("o_orderkey", "status", seen.alias("seen"), applied.alias("applied"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderdate", F.expr(_STATUS).alias("status"), *[F.expr(e).alias(n) for n, e in _BEFORE.items()])
+    changed = ops.status_times(*map(F.col, ("status", "o_orderdate", "seen", "applied", "link", "new_link")))
+    return rows.select("o_orderkey", "status", *[c.alias(n) for c, n in zip(changed, ("seen", "applied", "link"), strict=True)])
 
 
 sql("up9_append_and_status", "SELECT c_custkey, coalesce(s.status, 'none') AS status, coalesce(s.n, 0) AS logs FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS status, count(*) AS n FROM orders GROUP BY o_custkey) s ON c_custkey = s.o_custkey")
 sql("up10_follow_up_sent", "SELECT user_id, count(*) + 1 AS follow_ups, max(ts) AS last_at FROM events WHERE event_type = 'signup' GROUP BY user_id")
 
 
-@add("up11_job_progress", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 100.0 ELSE max(least(value, 99)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS progress FROM events")
+#: Events as changes of a user's job.
+_CHANGE = {"status": "CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'FAILED' ELSE 'RUNNING' END", "stage": "CASE event_type WHEN 'view' THEN 'extract' WHEN 'click' THEN 'Generate' WHEN 'signup' THEN 'review' ELSE 'other' END", "progress": "CASE WHEN event_id % 3 = 0 THEN CAST(floor(value) - 20 AS INT) END"}
+
+
+@add("up11_job_progress", f"""WITH c AS (SELECT event_id, user_id, ts, {', '.join(f"{e.replace('AS INT)', 'AS INTEGER)')} AS {n}" for n, e in _CHANGE.items())} FROM events),
+  s AS (SELECT *, CASE WHEN status = 'done' THEN 100 WHEN progress IS NOT NULL THEN least(greatest(progress, 0), 100) ELSE CASE stage WHEN 'extract' THEN 10 WHEN 'Generate' THEN 20 WHEN 'review' THEN 55 ELSE 0 END END AS step FROM c)
+  SELECT event_id, max(step) OVER u AS progress, min(CASE WHEN status IN ('done', 'FAILED') THEN ts END) OVER u AS finished_at FROM s WINDOW u AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def up11(spark, d):
-    upto = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max(F.least("value", F.lit(99.0))).over(upto)
-    return table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "purchase", F.lit(100.0)).otherwise(best).alias("progress"))
+    changes = table(spark, d, "events").select("event_id", "user_id", "ts", *[F.expr(e).alias(n) for n, e in _CHANGE.items()])
+    return ops.job_lifecycle(changes, "user_id", ["ts", "event_id"], "ts").select("event_id", "progress", "finished_at")
+
+
+@add("up12_expire", "SELECT o_orderkey, CASE WHEN gone THEN 'EXPIRED' ELSE o_orderstatus END AS status, CASE WHEN gone THEN 0 ELSE 2 END AS outputs, CASE WHEN gone THEN 'Generated files expired.' END AS error FROM (SELECT *, (SELECT max(o_orderdate) FROM orders) > coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END, o_orderdate + INTERVAL '400' DAY) AS gone FROM orders)")
+def up12(spark, d):
+    """Orders as jobs at the time of the latest; one of four has an end of its own, the others are kept for 400 days."""
+    orders = table(spark, d, "orders")
+    latest = orders.agg(F.max("o_orderdate").alias("now"))  # one row
+    jobs = orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderkey") % 4 == 0, F.col("o_orderdate")).alias("expires_at"), F.array("o_orderpriority", "o_orderstatus").alias("outputs"), F.lit(None).cast("string").alias("error"))
+    done = ops.expired(jobs.crossJoin(F.broadcast(latest)), F.col("now"), F.expr("INTERVAL '400' DAY"))
+    return done.select("o_orderkey", "status", F.size("outputs").alias("outputs"), "error")
 
 
-sql("up12_expire", "SELECT o_orderkey, CASE WHEN TIMESTAMP '1998-01-01' > coalesce(CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END, o_orderdate + INTERVAL '400' DAY) THEN 'EXPIRED' ELSE o_orderstatus END AS status FROM orders")
 sql("up13_reap", "SELECT user_id, CASE WHEN max(ts) < TIMESTAMP '2024-01-28' THEN 'FAILED' ELSE 'RUNNING' END AS status FROM events GROUP BY user_id")
 
 

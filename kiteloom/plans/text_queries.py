@@ -165,10 +165,12 @@ def tx22(spark, d):
     return each.filter("total = 4 AND single = 1").select("grp", "odd")
 
 
-@add("tx23_profile_name")
+_URL = "CASE p_partkey % 5 WHEN 0 THEN concat('https://x.example/in/', replace(lower(p_name), ' ', '-'), '-ab12cd34ef/?a=1') WHEN 1 THEN concat('https://x.example/in/', replace(lower(p_name), ' ', '_'), '-0a1') WHEN 2 THEN 'x.example/in/0a1b2c3d' WHEN 3 THEN concat('https://x.example/company/', p_name) ELSE concat('/in/-', replace(lower(p_name), ' ', '--'), '#top') END"
+
+
+@add("tx23_profile_name", """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN n WHEN 1 THEN n || ' 0a1' WHEN 2 THEN '0a1b2c3d' WHEN 3 THEN '' ELSE n END AS name FROM (SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS n FROM part)""")
 def tx23(spark, d):
-    url = F.concat(F.lit("https://x.example/in/"), F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))), F.lit("-ab12cd34ef/"))
-    return table(spark, d, "customer").select("c_custkey", texts.profile_name(url).alias("name"))
+    return table(spark, d, "part").select("p_partkey", texts.profile_name(F.expr(_URL)).alias("name"))
 
 
 @add("tx24_mail_first_name", "SELECT c_custkey, upper(substr(w, 1, 1)) || lower(substr(w, 2)) AS name FROM (SELECT c_custkey, lower(c_mktsegment) AS w FROM customer)")
@@ -177,8 +179,20 @@ def tx24(spark, d):
     return table(spark, d, "customer").select("c_custkey", texts.mail_first_name(mail).alias("name"))
 
 
-sql("tx25_due_date", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN NULL ELSE date_add(cast(ts AS DATE), CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 0 WHEN 'signup' THEN 3 ELSE 7 END) END AS due FROM events",
-    "SELECT event_id, CASE WHEN event_type = 'purchase' THEN NULL ELSE CAST(ts AS DATE) + CASE event_type WHEN 'view' THEN 2 WHEN 'click' THEN 0 WHEN 'signup' THEN 3 ELSE 7 END END AS due FROM events")
+_STAGE = "CASE event_type WHEN 'view' THEN 'commented' WHEN 'click' THEN 'accepted' WHEN 'signup' THEN 'first_msg' WHEN 'purchase' THEN 'engaged' ELSE 'won' END"
+
+
+@add("tx25_due_date", f"""WITH s AS (SELECT user_id, {_STAGE} AS stage, ts, event_id, value FROM events), l AS (SELECT user_id, arg_max(stage, (ts, event_id)) AS stage, count(*) FILTER (WHERE value > 95) % 2 = 1 AS replied FROM s GROUP BY user_id),
+  h AS (SELECT user_id, stage, CAST(max(ts) AS DATE) AS entered FROM s GROUP BY user_id, stage)
+  SELECT user_id, l.stage, replied, CASE l.stage WHEN 'commented' THEN entered + 2 WHEN 'accepted' THEN entered WHEN 'first_msg' THEN CASE WHEN NOT replied THEN entered + 3 END WHEN 'engaged' THEN CASE WHEN NOT replied THEN entered + 30 END END AS due FROM l JOIN h USING (user_id, stage)""")
+def tx25(spark, d):
+    """The next action of every user's last stage, counted from the last day it was entered."""
+    steps = table(spark, d, "events").withColumn("stage", F.expr(_STAGE))
+    last = steps.groupBy("user_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), (F.count_if(F.col("value") > 95) % 2 == 1).alias("replied"))
+    entered = steps.groupBy("user_id", "stage").agg(F.to_date(F.max("ts")).alias("entered"))
+    return last.join(entered, ["user_id", "stage"]).select("user_id", "stage", "replied", texts.next_action(F.col("stage"), F.col("entered"), F.col("replied")).alias("due"))
+
+
 sql("tx26_week_bounds", "SELECT o_orderkey, cast(date_trunc('week', o_orderdate) AS DATE) AS monday, date_add(cast(date_trunc('week', o_orderdate) AS DATE), 6) AS sunday FROM orders",
     "SELECT o_orderkey, CAST(date_trunc('week', o_orderdate) AS DATE) AS monday, CAST(date_trunc('week', o_orderdate) AS DATE) + 6 AS sunday FROM orders")
 
@@ -235,11 +249,19 @@ def tx32(spark, d):
 sql("tx33_style_prefix", "SELECT p_partkey, CASE WHEN p_type LIKE 'STANDARD%' THEN 'standard' WHEN p_type LIKE 'SMALL%' THEN 'small' WHEN p_type LIKE 'PROMO%' THEN 'promo' ELSE 'other' END AS style FROM part")
 
 
-@add("tx34_phone", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '+1212' || lpad(CAST(2000000 + c_custkey AS VARCHAR), 7, '0') END AS phone FROM customer")
+#: Some area codes with their zones; a whole table is the caller's.
+_AREAS = {"212": "America/New_York", "617": "America/New_York", "312": "America/Chicago", "713": "America/Chicago", "303": "America/Denver", "602": "America/Phoenix", "213": "America/Los_Angeles", "808": "Pacific/Honolulu"}
+_AREA = "substr('212617312713303602213808999', CAST(1 + 3 * (c_custkey % 9) AS INT), 3)"
+_SEVEN = "CAST(2000000 + c_custkey AS STRING)"
+_RAW = f"CASE c_custkey % 4 WHEN 0 THEN concat('1 (', {_AREA}, ') ', {_SEVEN}) WHEN 1 THEN concat({_AREA}, '-', {_SEVEN}) WHEN 2 THEN concat('+1.', {_AREA}, '.', {_SEVEN}) ELSE concat('12', {_SEVEN}) END"
+
+
+@add("tx34_phone", f"""SELECT c_custkey, '+1' || area || seven AS phone, area AS area_code, zone AS time_zone, CASE WHEN zone IN ('America/Los_Angeles', 'America/Denver', 'America/Phoenix') THEN 'morning' WHEN zone IN ('America/Chicago', 'America/New_York') THEN 'night' ELSE '' END AS calling_block
+  FROM (SELECT c_custkey, {_AREA.replace('AS INT)', 'AS INTEGER)')} AS area, {_SEVEN.replace('STRING', 'VARCHAR')} AS seven FROM customer WHERE c_custkey % 4 <> 3) JOIN (VALUES {', '.join(f"('{a}', '{z}')" for a, z in _AREAS.items())}) v(code, zone) ON area = code""")
 def tx34(spark, d):
-    seven = (F.col("c_custkey") + 2000000).cast("string")
-    raw = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("1 (212) "), seven)).otherwise(F.concat(F.lit("12"), seven))
-    return table(spark, d, "customer").select("c_custkey", texts.us_phone(raw).alias("phone"))
+    """The numbers that can be called, with zone and block; others give no row."""
+    zones = spark.createDataFrame(list(_AREAS.items()), "area_code string, time_zone string")
+    return texts.callable_phones(table(spark, d, "customer").select("c_custkey", F.expr(_RAW).alias("raw")), "raw", zones).drop("raw")
 
 
 #: A table of one's own: a joined consonant with a code of two characters, others with one.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kiteloom.functions import texts
+from kiteloom.operators import papers
 from kiteloom.operators import sequences as ops
 from kiteloom.operators.folds import interleave, two_key_dedupe
 from kiteloom.operators.ranking import global_rank
@@ -59,13 +61,23 @@ def wn7(spark, d):
 sql("wn8_last_stage_entry", "SELECT user_id, max(CASE WHEN event_type = 'purchase' THEN ts END) AS entered FROM events GROUP BY user_id")
 
 
-@add("wn9_anchor_chunks", "WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) SELECT conv_id, turn, i // 3 AS chunk FROM a UNION ALL SELECT conv_id, turn, i // 3 - 1 FROM a WHERE i > 0 AND i % 3 = 0")
+#: Papers of up to sixty numbered lines; some don't begin low, some don't ascend, some repeat numbers within.
+_NUMBERED = """concat(CASE CAST(floor(p_partkey / 60) AS BIGINT) % 5 WHEN 1 THEN CAST(p_partkey % 60 + 11 AS STRING) WHEN 2 THEN CAST(60 - p_partkey % 60 AS STRING) ELSE CAST(p_partkey % 60 + 1 AS STRING) END, '. ', p_name, chr(10), CASE WHEN p_partkey % 7 = 0 THEN concat(' 2) ', p_type, chr(10)) ELSE '' END)"""
+_CUT = f"""WITH p AS (SELECT CAST(floor(p_partkey / 60) AS BIGINT) AS paper, string_agg({_NUMBERED.replace('AS STRING', 'AS VARCHAR')}, '' ORDER BY p_partkey) AS body FROM part GROUP BY 1),
+  l AS (SELECT paper, unnest(range(0, len(string_split(body, chr(10))))) AS pos, unnest(string_split(body, chr(10))) AS line FROM p), n AS (SELECT *, try_cast(regexp_extract(line, '^[\\s>|*#-]{{0,6}}([0-9]{{1,3}})[.)-]\\s', 1) AS INTEGER) AS n FROM l),
+  s AS (SELECT paper, pos, n, row_number() OVER (PARTITION BY paper ORDER BY pos) AS i, lag(n) OVER (PARTITION BY paper ORDER BY pos) AS before FROM n WHERE n BETWEEN 1 AND 300),
+  g AS (SELECT paper FROM s GROUP BY paper HAVING count(*) >= 12 AND min_by(n, i) <= 3 AND count(*) FILTER (WHERE n > before) >= 0.8 * (count(*) - 1) AND count(DISTINCT n) > 20),
+  a AS (SELECT paper, pos, row_number() OVER (PARTITION BY paper ORDER BY pos) - 1 AS k FROM (SELECT paper, n, min(pos) AS pos FROM s WHERE paper IN (SELECT paper FROM g) GROUP BY paper, n)),
+  c AS (SELECT paper, k // 20 AS chunk, CASE WHEN min(k) = 0 THEN 0 ELSE (SELECT pos FROM a b WHERE b.paper = a.paper AND b.k = min(a.k) - 1) END AS since, coalesce((SELECT pos FROM a b WHERE b.paper = a.paper AND b.k = max(a.k) + 1), 1000000) AS until FROM a GROUP BY paper, k // 20)
+  SELECT c.paper, CAST(chunk AS BIGINT) AS chunk, md5(trim(string_agg(line, chr(10) ORDER BY pos), ' ' || chr(10))) AS body FROM c JOIN l ON l.paper = c.paper AND pos >= since AND pos < until GROUP BY c.paper, chunk"""
+
+
+@add("wn9_anchor_chunks", _CUT)
 def wn9(spark, d):
-    i = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    rows = table(spark, d, "conversations").select("conv_id", "turn", i.alias("i"))
-    home = F.floor(F.col("i") / 3)
-    both = F.when((F.col("i") > 0) & (F.col("i") % 3 == 0), F.array(home, home - 1)).otherwise(F.array(home))
-    return rows.select("conv_id", "turn", F.explode(both).alias("chunk"))
+    """Papers cut at every twentieth number, where their numbering can be relied on."""
+    lines = table(spark, d, "part").select(F.expr("CAST(floor(p_partkey / 60) AS BIGINT)").alias("paper"), F.struct("p_partkey", F.expr(_NUMBERED).alias("line")).alias("l"))
+    listed = lines.groupBy("paper").agg(F.array_join(F.sort_array(F.collect_list("l"))["line"], "").alias("body"))
+    return papers.numbered_chunks(listed, ["paper"], "body").select("paper", F.col("chunk").cast("long").alias("chunk"), F.md5("body").alias("body"))
 
 
 @add("wn10_post_ids", "SELECT o_orderkey, lower(o_orderstatus) || '-' || strftime(o_orderdate, '%Y%m%d') || '-' || row_number() OVER (PARTITION BY o_orderstatus, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS post_id FROM orders")
@@ -105,12 +117,14 @@ def wn12(spark, d):
     return interleave(table(spark, d, "part").select(F.col("p_brand").alias("grp"), F.col("p_type").alias("kind"), F.col("p_partkey").alias("id")))
 
 
-@add("wn13_rounds", "WITH r AS (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS round FROM part) SELECT p_partkey, round, row_number() OVER (PARTITION BY round ORDER BY md5('3|' || p_brand || '|' || round), p_partkey) AS place FROM r")
+@add("wn13_rounds", """WITH RECURSIVE t AS (SELECT p_brand, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand), k AS (SELECT DISTINCT p_brand, p_type FROM part),
+  r AS (SELECT p_brand, round, list(p_type ORDER BY md5('3|' || p_brand || '|' || round || '|' || p_type)) AS types FROM k, range(1, 41) x(round) GROUP BY p_brand, round),
+  f AS (SELECT p_brand, round, types AS kept FROM r WHERE round = 1 UNION ALL SELECT r.p_brand, r.round, CASE WHEN len(r.types) > 1 AND r.types[1] = f.kept[len(f.kept)] THEN list_concat([r.types[2], r.types[1]], r.types[3:]) ELSE r.types END FROM f JOIN r ON r.p_brand = f.p_brand AND r.round = f.round + 1)
+  SELECT * FROM (SELECT p_brand, (round - 1) * n + i AS place, kept[i] AS p_type FROM (SELECT f.p_brand, round, kept, n, unnest(range(1, n + 1)) AS i FROM f JOIN t USING (p_brand))) WHERE place <= 40""")
 def wn13(spark, d):
-    nth = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1
-    rows = table(spark, d, "part").select("p_partkey", "p_brand", nth.alias("round"))
-    place = F.row_number().over(Window.partitionBy("round").orderBy(ops.hash_order(3, "p_brand", "round"), "p_partkey"))
-    return rows.select("p_partkey", "round", place.alias("place"))
+    """Forty places a brand: its types in turn, each round shuffled, no type beside itself at a seam."""
+    kinds = table(spark, d, "part").groupBy("p_brand").agg(F.collect_set("p_type").alias("types"))
+    return ops.rounds(kinds, "p_brand", "types", 40, 3).withColumnRenamed("type", "p_type")
 
 
 sql("or1_nulls_last", "SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id) ORDER BY quality ASC NULLS LAST, doc_id DESC LIMIT 100")
@@ -173,22 +187,36 @@ def st7(spark, d):
     return top.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"))
 
 
-@add("st8_question_key", "SELECT count(DISTINCT CASE WHEN k = '' THEN '#' || doc_id ELSE k END) AS keys FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents)")
+#: Questions of which some share stem and first option but for punctuation, blanks and case, and some have none.
+_KEYED = {"stem": "CASE WHEN p_partkey % 10 = 0 THEN ' ?! ' WHEN p_partkey % 10 = 1 THEN 'abc' ELSE concat(CASE WHEN p_partkey % 2 = 0 THEN '«' ELSE '' END, p_type, '  of — ', p_brand, '?') END", "o1": "CASE WHEN p_size % 2 = 0 THEN ' - ' ELSE concat('(', upper(p_name), ')') END", "o2": "p_name"}
+_WOBBLY = "[।''\"‘’“”()\\[\\]{}.,:;?!\\-–—/\\\\]"
+
+
+def _stem_key(t: str) -> str:
+    core = f"trim(lower(regexp_replace(trim(regexp_replace({t}, '\\s+', ' ', 'g')), '{_WOBBLY}', '', 'g')))"
+    return f"CASE WHEN length({core}) >= 6 THEN {core} ELSE '' END"
+
+
+@add("st8_question_key", f"""WITH q AS (SELECT p_partkey, {', '.join(f'{e} AS {n}' for n, e in _KEYED.items())} FROM part), k AS (SELECT p_partkey, {_stem_key('stem')} AS s, coalesce(nullif({_stem_key('o1')}, ''), {_stem_key('o2')}) AS o FROM q)
+  SELECT p_partkey, CASE WHEN s = '' THEN p_partkey ELSE min(p_partkey) OVER (PARTITION BY s, o) END AS first FROM k""")
 def st8(spark, d):
-    k = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
-    key = F.when(k == "", F.concat(F.lit("#"), F.col("doc_id").cast("string"))).otherwise(k)
-    return table(spark, d, "documents").agg(F.countDistinct(key).alias("keys"))
+    """Each question with the first that has its key; those without a key stand for themselves."""
+    keyed = table(spark, d, "part").select("p_partkey", texts.question_key(F.expr(_KEYED["stem"]), F.array(F.expr(_KEYED["o1"]), F.expr(_KEYED["o2"]))).alias("key"))
+    firsts = keyed.filter("key IS NOT NULL").groupBy("key").agg(F.min("p_partkey").alias("least"))
+    return keyed.join(firsts, "key", "left").select("p_partkey", F.coalesce("least", "p_partkey").alias("first"))
 
 
 sql("st9_repeated_text", "SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY lang, md5(lower(text))) AS n FROM documents) t WHERE n <= 2")
 sql("st10_distinct_pairs", "SELECT DISTINCT source, lang FROM documents")
 
 
-@add("st11_number_multisets", "SELECT page_id, list_sort(regexp_extract_all(url, '[0-9]+')) = list_sort(regexp_extract_all(split_part(url, '#', 1), '[0-9]+')) AND length(split_part(url, '#', 1)) >= 0.6 * length(url) AS same FROM pages")
+_FIXED = {"text": "concat(p_name, ' अनुच्छेद ', CAST(p_size AS STRING), ' and ', p_type)", "fixed": "CASE p_partkey % 6 WHEN 0 THEN concat(upper(p_type), ' AND अनुच्छेद ', CAST(p_size AS STRING), ' ', p_name) WHEN 1 THEN concat(p_name, ' अनुच्छेद ', CAST(p_size + 1 AS STRING), ' and ', p_type) WHEN 2 THEN concat(p_name, ' अनुछेद ', CAST(p_size AS STRING), ' or ', p_type) WHEN 3 THEN ' ' WHEN 4 THEN concat(p_name, repeat(' अनुच्छेद', 12), ' ', CAST(p_size AS STRING), ' and ', p_type) ELSE concat(p_name, ' अनुछेद ', CAST(p_size AS STRING), ' and ', p_type) END"}
+_BAG = "list_sort(list_transform(regexp_extract_all({0}, '{1}'), lambda x: lower(x)))"
+
+
+@add("st11_number_multisets", f"SELECT p_partkey, trim(fixed) <> '' AND {_BAG.format('text', '[0-9]+')} = {_BAG.format('fixed', '[0-9]+')} AND {_BAG.format('text', '[A-Za-z]+')} = {_BAG.format('fixed', '[A-Za-z]+')} AND least(length(text), length(fixed)) >= 0.6 * greatest(length(text), length(fixed)) AS safe FROM (SELECT p_partkey, {', '.join(f'{e} AS {n}' for n, e in _FIXED.items()).replace('AS STRING', 'AS VARCHAR')} FROM part)")
 def st11(spark, d):
-    numbers = lambda c: F.sort_array(F.regexp_extract_all(c, F.lit("([0-9]+)"), F.lit(1)))
-    bare = F.split_part("url", F.lit("#"), F.lit(1))
-    return table(spark, d, "pages").select("page_id", ((numbers(F.col("url")) == numbers(bare)) & (F.length(bare) >= 0.6 * F.length("url"))).alias("same"))
+    return table(spark, d, "part").select("p_partkey", texts.safe_correction(F.expr(_FIXED["text"]), F.expr(_FIXED["fixed"])).alias("safe"))
 
 
 @add("st12_two_key_dedupe", """WITH RECURSIVE t AS (SELECT p_brand AS grp, p_partkey AS id, p_type AS a, p_size AS b, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -39,30 +39,37 @@ def concatenated(parts: Sequence[DataFrame], name: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
 
 
-def rule_terms(spark: SparkSession, text: str) -> DataFrame:
-    """list_name and lower-cased, trimmed terms of a plain YAML mapping of lists."""
-    rows, name = [], None
-    for line in text.splitlines():
-        bare = line.split(" #")[0].rstrip()
-        if not bare.strip() or bare.lstrip().startswith("#"):
-            continue
-        if bare.lstrip().startswith("- ") and name is not None:
-            rows.append((name, bare.lstrip()[2:].strip().strip("'\"").strip().lower()))
-        elif bare.endswith(":"):
-            name = bare[:-1].strip()
-        else:
-            raise ValueError(f"not a list of terms: {line!r}")
-    return spark.createDataFrame(rows, "list_name string, term string")
+def rule_terms(rules: DataFrame, key: str, text: str) -> DataFrame:
+    """key, list_name and lower-cased, trimmed terms of plain YAML mappings of lists, one text a row.
+
+    A line that ends with a colon begins a list, "- term" adds to it (in quotes or not);
+    comments and blank lines are passed over. Any other line fails the query, as a rule
+    that is silently lost would.
+    """
+    lines = F.transform(F.split(text, "\r?\n"), lambda x: F.rtrim(F.regexp_replace(x, "(^|\\s)#.*$", "")))
+    bare = F.filter(lines, lambda x: F.trim(x) != "")
+    start = F.struct(F.lit(None).cast("string").alias("name"), F.array().cast("array<struct<list_name:string,term:string>>").alias("out"))
+
+    def step(held: Column, line: Column) -> Column:
+        item = F.ltrim(line).startswith("- ") & held["name"].isNotNull()
+        head = ~item & line.endswith(":")
+        term = F.lower(F.trim(F.regexp_replace(F.trim(F.substring(F.ltrim(line), 3, 1 << 20)), "^['\"]|['\"]$", "")))
+        wrong = F.raise_error(F.concat(F.lit("not a list of terms: "), line)).cast("string")
+        name = F.when(item, held["name"]).when(head, F.trim(F.regexp_replace(line, ":$", ""))).otherwise(wrong)
+        return F.struct(name.alias("name"), F.when(item, F.concat(held["out"], F.array(F.struct(held["name"].alias("list_name"), term.alias("term"))))).otherwise(held["out"]).alias("out"))
+
+    found = rules.select(key, F.explode(F.aggregate(bare, start, step, lambda held: held["out"])).alias("r"))
+    return found.select(key, "r.list_name", "r.term")
 
 
 TREE = "array<struct<text: string, facets: array<struct<label: string, from_source: string, leaves: array<struct<label: string>>>>>>"
 
 
-def topic_leaves(trees: DataFrame, column: str) -> DataFrame:
-    """One row a leaf with a label: bullet, its text, facet and leaf."""
-    bullets = trees.select(F.posexplode(F.from_json(column, TREE)).alias("bullet", "b"))
-    facets = bullets.select("bullet", F.col("b.text").alias("text"), F.explode("b.facets").alias("f"))
-    leaves = facets.select("bullet", "text", F.col("f.label").alias("facet"), F.explode("f.leaves.label").alias("leaf"))
+def topic_leaves(trees: DataFrame, key: str, column: str) -> DataFrame:
+    """One row a leaf with a label: key, bullet, its text, facet and leaf."""
+    bullets = trees.select(key, F.posexplode(F.from_json(column, TREE)).alias("bullet", "b"))
+    facets = bullets.select(key, "bullet", F.col("b.text").alias("text"), F.explode("b.facets").alias("f"))
+    leaves = facets.select(key, "bullet", "text", F.col("f.label").alias("facet"), F.explode("f.leaves.label").alias("leaf"))
     return leaves.filter(F.trim("leaf") != "")
 
 
@@ -75,7 +82,7 @@ def split_by_range(rows: DataFrame, column: str, parts: Sequence[tuple[str, int
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row a text file: its path and whole text."""
+    """One row a text file: its path and whole text. A file is held whole."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 

@@ -34,6 +34,18 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
     out.write.mode("overwrite").csv(path, header=True, emptyValue="", escape='"')
 
 
+def write_each(rows: DataFrame, path: str, column: str) -> None:
+    """A file a row, with the row's text."""
+    rows.select(F.col(column).alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+
+
+def write_json_arrays(rows: DataFrame, path: str, size: int = 5000) -> None:
+    """Files of one JSON array each, of about ``size`` rows."""
+    number = rows.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).alias("_n"))  # one row
+    dealt = rows.crossJoin(F.broadcast(number)).select(F.struct(*rows.columns).alias("row"), F.pmod(F.xxhash64(*rows.columns), F.col("_n")).alias("part"))
+    write_each(dealt.groupBy("part").agg(F.to_json(F.collect_list("row")).alias("array")), path, "array")
+
+
 def write_pages(rows: DataFrame, send: Callable[[list[dict]], None], size: int = 500) -> None:
     """Send rows to a service in pages of ``size``, from every partition by itself."""
 

@@ -47,6 +47,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kiteloom.llm import words as W
 from kiteloom.llm.common import small_batches, stage
@@ -439,8 +440,17 @@ def classes(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denom
 def thin(docs: DataFrame, n: int = SHINGLE, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """The rows of ``docs`` that represent their component, with all their columns.
 
-    Of repeated rows (one id, one text) one stays; rows of one id that differ in their
-    text stay or go together.
+    Of rows that share id and text the one stays whose other columns hash least; rows of one
+    id that differ in their text stay or go together. Rows without an id are linked with
+    nothing, so all of them stay.
     """
     gone = classes(docs, n, numerator, denominator).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    # rows travel packed, so that columns of any name stay as they are
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"], docs["text"]).join(gone, "doc_id", "left_anti")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.xxhash64(F.to_json(F.struct(*[F.col("row")[c].alias(c) for c in others]))) if others else F.lit(0)
+    # a row without an id is a group of its own
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text", "alone").orderBy("order"))
+    named = rows.withColumns({"order": order, "alone": alone}).withColumn("nth", nth).filter("nth = 1")
+    return named.select([F.col("row")[c].alias(c) for c in docs.columns])

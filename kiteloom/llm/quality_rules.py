@@ -162,15 +162,21 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_marks", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_stop_words", "n_repeat_words")
+VERDICT = ("base_failed", "failed_rules", "kept")
+
+
 def judge(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with measures, base_failed, the failed rules and kept."""
-    seen = measures(docs, text).withColumns({"base_failed": base_failed(), "failed_rules": compile_rules(rules)})
-    return seen.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("words", "keys", "full_lines")
+    """``docs`` with MEASURES and VERDICT, which replace columns of those names; all others stay."""
+    # the row is packed, so that what measures work with can't clash with its columns
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
+    seen = measures(packed, "text").withColumns({"base_failed": base_failed(), "failed_rules": compile_rules(rules)})
+    told = seen.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    return told.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in MEASURES + VERDICT], *MEASURES, *VERDICT)
 
 
 def reject(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``docs`` that every rule keeps, with their own columns only."""
-    # the row is packed first, so that measures can't clash with its columns
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
     # a filter on kept would be pushed below and repeat every measure; a generator stays above
     return judge(packed, rules).select(F.inline(F.when(F.col("kept"), F.array("row"))))

@@ -257,3 +257,48 @@ def test_op11_recall_on_the_table(spark):
     want = nearest(ids, x, 20, 20)
     assert got.keys() == want.keys()
     assert sum(len(got[q] & {i for i, _ in w}) for q, w in want.items()) >= 0.97 * 20 * len(want)
+
+
+# repaired operators ------------------------------------------------------------------------------
+
+
+def test_thin_keeps_rows_without_ids_and_a_stated_row_of_repeats(spark):
+    from kiteloom.llm import near_dedup
+
+    long = " ".join(f"w{i}" for i in range(60))
+    data = [(None, long, "a", 1), (None, long, "a", 1), (None, None, "b", 2), (1, long, "x", 3), (1, long, "y", 4), (1, long, "x", 3), (2, long + " more", "z", 5), (3, "other", "q", 6), (3, "another", "q", 7), (4, None, "n", 8)]
+    columns = "doc_id long, text string, order string, nth int"
+    kept = [near_dedup.thin(spark.createDataFrame(rows, columns).repartition(n), n=5, numerator=80, denominator=100).collect() for rows, n in ((data, 1), (data[::-1], 4))]
+    got = [sorted((tuple(r) for r in k), key=repr) for k in kept]
+    assert got[0] == got[1]
+    assert [r for r in got[0] if r[0] is None] == sorted([data[0], data[1], data[2]], key=repr)
+    assert [r[0] for r in got[0] if r[0] is not None] == [1, 3, 3, 4]
+
+
+def test_judge_keeps_a_callers_columns(spark):
+    from kiteloom.llm import quality_rules
+
+    df = spark.createDataFrame([(1, "a b c", ["own"], 7, "k", 9)], "doc_id long, text string, words array<string>, keys int, full_lines string, n_words int")
+    r = quality_rules.judge(df).first()
+    assert (r["words"], r["keys"], r["full_lines"], r["n_words"], r["text"]) == (["own"], 7, "k", 3, "a b c")
+    assert quality_rules.judge(df).columns.count("n_words") == 1
+
+
+def test_media_are_read_back_from_what_was_stored(spark, tmp_path):
+    import glob
+    import shutil
+
+    from kiteloom.llm import common, media
+
+    passage = " ".join(f"shared{i * 7919}" for i in range(400))
+    df = spark.createDataFrame([(i, f"head {i} " * 40 + passage + f" tail {i}" * 40) for i in range(12)] + [(99, None), (98, "")], "doc_id long, text string").repartition(3)
+    held = media.stored(df, media.train(df))
+    saved = media.savings(held, media.chunk_store(held)).first()
+    assert saved["distinct_chunks"] < 0.7 * saved["chunks_of_distinct_files"]
+    assert sorted(r["doc_id"] for r in media.columns(df).collect()) == sorted([*range(12), 98, 99])
+    lazy = media.columns(df)
+    for folder in glob.glob(f"{common.shared_dir(spark)}/media-*"):
+        if "manifest" not in folder and "dictionary" not in folder:
+            shutil.rmtree(folder)
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|not found"):
+        lazy.collect()

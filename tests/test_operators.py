@@ -84,7 +84,6 @@ def test_containment_reads_whole_long_texts(spark, tmp_path):
     spark.createDataFrame(data, "conv_id long, turn long, text string").repartition(4).write.parquet(f"{tmp_path}/conversations.parquet")
     assert rows(queries()["jn11_whole_texts"](spark, str(tmp_path))) == sorted(want)
     assert {(g, 20) for g in range(5)} <= set(want) and len(want) < len(data) - 10
-    assert (0, 20) not in rows(queries()["jn11_containment"](spark, str(tmp_path)))
 
 
 @pytest.mark.parametrize("seed", range(4))

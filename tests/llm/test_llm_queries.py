@@ -8,6 +8,7 @@ import hashlib
 import io
 import math
 import re
+import struct
 import wave
 import zlib
 
@@ -15,6 +16,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -148,15 +150,42 @@ def test_op1_is_the_plain_sum_of_its_features(spark, docs):
         assert abs(r["score"] - 1 / (1 + math.exp(-max(-35, min(35, z))))) < 1e-9
 
 
-def test_pipeline_stages_take_effect(spark, docs):
-    seen = spark.read.parquet(f"{SF}/documents.parquet")
+def test_op7_is_the_plain_sort(spark, docs):
+    """Shards are ranges of all rows sorted by the keys, cut where the running bytes are nearest to each target."""
+    signed = lambda u: u - 2**64 if u >= 2**63 else u
+    key = lambda d: (signed(xxhash.xxh64_intdigest(docs[d].encode(), 42)), signed(xxhash.xxh64_intdigest(struct.pack("<q", d), 42)))
+    rows = {r["doc_id"]: r for r in QUERIES["op7_histogram_sharding"](spark, SF).collect()}
+    order = sorted(docs, key=key)
+    shards = [rows[d]["shard"] for d in order]
+    assert shards == sorted(shards)
+    total, before = sum(r["size"] for r in rows.values()), 0
+    begun = {}
+    for d in order:
+        begun.setdefault(rows[d]["shard"], (before, rows[d]["size"]))
+        before += rows[d]["size"]
+    for s, (at, size) in begun.items():
+        assert abs(at - total * s / 40) <= 0.001 * total / 40 + max(size, max(r["size"] for r in rows.values()))
+
+
+def test_pipeline_stages_take_effect(spark):
+    """Every stage changes what it gets, at the least size at which each has work."""
+    sf = "/root/testdata/sf0.01"
+    seen = spark.read.parquet(f"{sf}/documents.parquet")
     columns, n = seen.columns, seen.count()
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     for name, step in corpus_pipeline.STAGES[:-1]:
-        kept = stage(step(spark, seen, SF), f"test-{name}")
+        kept = stage(step(spark, seen, sf), f"test-{name}")
         assert kept.columns == columns
-        assert kept.count() < seen.count() or name in ("toxicity", "substring_dedup")
         assert kept.join(seen, "doc_id", "left_anti").count() == 0
+        gone = [r["doc_id"] for r in seen.join(kept, "doc_id", "left_anti").select("doc_id").collect()]
+        if name == "substring_dedup":
+            assert kept.join(seen.select("doc_id", F.col("n_chars").alias("had")), "doc_id").filter("n_chars < had").count() > 0
+        else:
+            assert gone
+        if name == "toxicity":
+            told = [labels[d] for d in gone if d in labels]
+            assert told and np.mean(told) >= 0.8
         seen = kept
     assert 0.3 * n < seen.count() < n
-    rows = corpus_pipeline.STAGES[-1][1](spark, seen, SF).collect()
+    rows = corpus_pipeline.STAGES[-1][1](spark, seen, sf).collect()
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in seen.select("doc_id").collect()}

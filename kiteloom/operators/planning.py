@@ -66,6 +66,22 @@ def two_axes(plans: DataFrame, by: str, first: DataFrame, second: DataFrame, cou
     return places.join(placed(padded, "first", True), [by, "place"], "left").join(placed(second, "second", False), [by, "place"], "left")
 
 
+def topped_up(gaps: DataFrame, spare: DataFrame, slot: str, rounds: int = 2) -> DataFrame:
+    """The spare rows (slot, i from 1, good, more) that are drawn for each slot's gap, with their ``round``.
+
+    A round draws as many rows of the slot as it still lacks, in order; those that aren't
+    good leave a gap for the next round. What a slot lacks after the last round it lacks.
+    """
+    drawn, state = None, gaps.select(slot, "gap", F.lit(0).cast("long").alias("used"))
+    for n in range(1, rounds + 1):
+        now = spare.join(state, slot).filter((F.col("i") > F.col("used")) & (F.col("i") <= F.col("used") + F.col("gap")))
+        one = now.select(*spare.columns, F.lit(n).alias("round"))
+        drawn = one if drawn is None else drawn.unionByName(one)
+        met = now.groupBy(slot).agg(F.count_if("good").alias("met"))
+        state = state.join(met, slot, "left").select(slot, (F.col("gap") - F.coalesce("met", F.lit(0))).alias("gap"), (F.col("used") + F.col("gap")).alias("used"))
+    return drawn
+
+
 def displacement(legs: DataFrame, by: Sequence[str], direction: str, distance: str) -> DataFrame:
     """End point and straight distance of a walk along compass directions."""
     d = F.col(direction)

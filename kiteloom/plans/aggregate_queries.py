@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kiteloom.operators import aggregates as ops
+from kiteloom.operators.ranking import rank_within, running_within
 from kiteloom.plans.registry import Family
 from kiteloom.sources.tables import table
 
@@ -129,7 +130,18 @@ sql("ag25_members", "SELECT c_nationkey, count(*) FILTER (WHERE c_custkey % 2 =
 sql("bonus_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql("bonus_grouping_sets", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY GROUPING SETS ((p_brand), (p_size), ())")
 sql("bonus_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
-sql("bonus_rank_ntile", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS rnk, ntile(4) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS quart FROM events")
+@FAMILY.add("bonus_rank_ntile", "SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY user_id) AS rnk, ntile(4) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS quart FROM events")
+def rank_ntile(spark, d):
+    """Ranks and quarters within a handful of large types."""
+    rows = table(spark, d, "events").select("event_id", "event_type", "user_id", "ts")
+    users = running_within(rows.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n")), "event_type", ["user_id"], "n", "upto")
+    sizes = rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("size"))
+    placed = rank_within(rows, "event_type", ["ts", "event_id"], "nth").join(sizes, "event_type").join(users, ["event_type", "user_id"])
+    low, more, at = F.floor(F.col("size") / 4), F.col("size") % 4, F.col("nth") - 1
+    quart = F.when(at < more * (low + 1), F.floor(at / (low + 1))).otherwise(more + F.floor((at - more * (low + 1)) / F.greatest(low, F.lit(1))))
+    return placed.select("event_id", (F.col("upto") - F.col("n") + 1).alias("rnk"), (quart + 1).alias("quart"))
+
+
 sql("bonus_moving_average", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS mean4 FROM events")
 sql("bonus_intersect_except", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 1")
 sql("bonus_pricing_summary", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kiteloom.operators import folds, planning, puzzles, sequences
+from kiteloom.operators.ranking import rank_within
 from kiteloom.plans.registry import Family
 from kiteloom.sources.tables import table
 
@@ -76,13 +77,21 @@ def pl5(spark, d):
     return folds.budget_chunks(rows, 20000, 6)
 
 
-@add("pl6_top_up", "WITH a AS (SELECT doc_id, lang, quality, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nth FROM documents JOIN labels USING (doc_id)), want AS (SELECT lang, count(*) FILTER (WHERE nth <= 10 AND quality = 0) AS gap FROM a GROUP BY lang), spare AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM a WHERE nth > 10 AND quality = 1) SELECT s.lang, s.doc_id FROM spare s JOIN want w ON s.lang = w.lang AND s.i <= w.gap")
+_TOP_UP = """WITH RECURSIVE a AS (SELECT doc_id, lang, source, quality, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS nth FROM documents JOIN labels USING (doc_id)),
+  g AS (SELECT lang, source, count(*) FILTER (WHERE nth <= 5 AND quality = 0) AS gap0 FROM a GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS i FROM a WHERE nth > 5),
+  r1 AS (SELECT s.*, g.gap0 FROM s JOIN g USING (lang, source) WHERE i <= gap0), g1 AS (SELECT lang, source, gap0, gap0 - count(r1.doc_id) FILTER (WHERE quality = 1) AS gap1 FROM g LEFT JOIN r1 USING (lang, source, gap0) GROUP BY 1, 2, 3),
+  r2 AS (SELECT s.* FROM s JOIN g1 USING (lang, source) WHERE i > gap0 AND i <= gap0 + gap1)
+  SELECT lang, source, doc_id, 1 AS round, quality = 1 AS kept FROM r1 UNION ALL SELECT lang, source, doc_id, 2, quality = 1 FROM r2"""
+
+
+@add("pl6_top_up", _TOP_UP)
 def pl6(spark, d):
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "quality", F.row_number().over(w).alias("nth"))
-    gap = rows.filter("nth <= 10").groupBy("lang").agg(F.count_if(F.col("quality") == 0).alias("gap"))
-    spare = rows.filter("nth > 10 AND quality = 1").withColumn("i", F.row_number().over(w))
-    return spare.join(gap, "lang").filter("i <= gap").select("lang", "doc_id")
+    """Of the first five of each language and source, the bad ones are made up for in two rounds at most."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "source", (F.col("quality") == 1).alias("good"), F.concat_ws("\n", "lang", "source").alias("slot"))
+    nth = rank_within(rows, "slot", ["doc_id"], "nth")
+    gaps = nth.filter("nth <= 5 AND NOT good").groupBy("slot").agg(F.count(F.lit(1)).alias("gap"))
+    spare = nth.filter("nth > 5").withColumn("i", F.col("nth") - 5).drop("nth")
+    return planning.topped_up(gaps, spare, "slot", rounds=2).select("lang", "source", "doc_id", "round", F.col("good").alias("kept"))
 
 
 _GUARD = """WITH RECURSIVE t AS (SELECT p_brand AS paper, p_partkey AS id, p_type AS stem, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE CAST(p_size AS VARCHAR) END AS answer, p_partkey % 4 <> 0 AS numeric, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from kiteloom.functions import legacy, texts
 from kiteloom.operators import sequences
+from kiteloom.operators.ranking import running_within
 from kiteloom.plans.registry import Family
 from kiteloom.plans.script import in_script
 from kiteloom.sources.tables import table
@@ -79,9 +80,10 @@ def tx7(spark, d):
 
 @add("tx8_balanced_groups", "SELECT doc_id, CAST(floor((cum - 1) * 4 / total) AS BIGINT) AS grp FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS cum, sum(n_chars) OVER (PARTITION BY source) AS total FROM documents)")
 def tx8(spark, d):
-    w = Window.partitionBy("source")
-    cum = F.sum("n_chars").over(w.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return _docs(spark, d).select("doc_id", F.floor((cum - 1) * 4 / F.sum("n_chars").over(w)).alias("grp"))
+    docs = _docs(spark, d).select("doc_id", "source", "n_chars")
+    totals = docs.groupBy("source").agg(F.sum("n_chars").alias("total"))
+    summed = running_within(docs, "source", ["doc_id"], "n_chars", "cum").join(totals, "source")
+    return summed.select("doc_id", F.floor((F.col("cum") - 1) * 4 / F.col("total")).alias("grp"))
 
 
 @add("tx9_needs_restructure", "SELECT doc_id, (contains(lower(text), 'mcq') AND len(regexp_extract_all(text, '\\([a-d]\\)')) >= 2) OR length(text) - length(translate(text, '=+√∑∫×÷', '')) >= 4 AS needs FROM documents")

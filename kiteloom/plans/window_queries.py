@@ -9,7 +9,7 @@ from kiteloom.functions import texts
 from kiteloom.operators import papers
 from kiteloom.operators import sequences as ops
 from kiteloom.operators.folds import interleave, two_key_dedupe
-from kiteloom.operators.ranking import global_rank
+from kiteloom.operators.ranking import global_rank, rank_within
 from kiteloom.operators.vectors import cosine_topk
 from kiteloom.plans.registry import Family
 from kiteloom.sources.tables import table
@@ -49,7 +49,11 @@ def wn5(spark, d):
     return table(spark, d, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", order).alias("best"), F.min("o_orderdate").alias("first_seen"))
 
 
-sql("wn6_rank_from_zero", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) - 1 AS rank0 FROM events")
+@add("wn6_rank_from_zero", "SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) - 1 AS rank0 FROM events")
+def wn6(spark, d):
+    """Ranks within a handful of large channels."""
+    rows = table(spark, d, "events").select("event_id", "event_type", (-F.col("value")).alias("low"))
+    return rank_within(rows, "event_type", ["low", "event_id"], "rank").select("event_id", (F.col("rank") - 1).alias("rank0"))
 
 
 @add("wn7_text_windows", "SELECT doc_id, CAST(i * 1850 AS INTEGER) AS start, CAST(length(substr(text, i * 1850 + 1, 2000)) AS INTEGER) AS size FROM (SELECT doc_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 2000) / 1850.0), 0) AS BIGINT) + 1)) AS i FROM documents)")

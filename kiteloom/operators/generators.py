@@ -1,45 +1,114 @@
-"""Seeded question blocks: one generator a seed, so any partitioning gives equal rows."""
+"""Seeded blocks of generated questions, each type an expression over drawn numbers.
+
+A block's slots get their types in shuffled rounds. Each slot draws TRIES questions from
+its seed, and takes the first whose stem the slots before it have not taken: acceptance
+by the keys slot and stem, in rounds over all blocks at once. Draws come from md5, so any
+engine and any partitioning gives equal rows.
+"""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from kiteloom.operators import folds, planning, puzzles, sequences
 
+TRIES = 12
+WORDS = ("RIVER", "STONE", "MAPLE", "CLOUD", "BRIDGE", "LANTERN", "HARVEST", "COPPER", "MEADOW", "ANCHOR", "PEBBLE", "QUARRY")
 RULES = ("add", "multiply", "squares", "alternate")
+CIPHERS = ("shift", "reverse", "double", "reverse_shift")
+SYMBOLS = ("circle", "square", "triangle", "plus")
 
 
-def series_question(rng: random.Random) -> tuple[str, list[int], int]:
-    """rule, the shown terms and the next one."""
-    rule, k, value = rng.choice(RULES), rng.randint(2, 9), rng.randint(1, 20)
-    terms = [value]
-    for i in range(1, 6):
-        value = {"add": value + k, "multiply": value * k, "squares": value + i * i, "alternate": value + k if i % 2 else value * 2}[rule]
-        terms.append(value)
-    return rule, terms[:-1], terms[-1]
+def drawn(key: Column, nth: int, low: int, high: int) -> Column:
+    """A number in low..high from md5 of the key and ``nth``."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws("|", key, F.lit(str(nth)))), 1, 8), 16, 10).cast("long")
+    return (bits % (high - low + 1) + low).cast("int")
 
 
-def series_blocks(seeds: DataFrame, size: int) -> DataFrame:
-    """seed, nth, rule, stem and answer of ``size`` questions a seed, without repeated stems.
+def _pick(items: tuple[str, ...], i: Column) -> Column:
+    return F.get(F.array(*map(F.lit, items)), i)
 
-    After 100 draws a question the block ends with those that were found.
-    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for seed in frame["seed"]:
-                rng, seen = random.Random(int(seed)), set()
-                for _ in range(100 * size):
-                    if len(seen) == size:
-                        break
-                    rule, terms, answer = series_question(rng)
-                    stem = ", ".join(map(str, terms)) + ", ?"
-                    if stem not in seen:
-                        seen.add(stem)
-                        rows.append((seed, len(seen), rule, stem, answer))
-            yield pd.DataFrame(rows, columns=["seed", "nth", "rule", "stem", "answer"])
-
-    return seeds.mapInPandas(run, "seed long, nth int, rule string, stem string, answer long")
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _series(key: Column) -> tuple[Column, Column]:
+    rule, first, k = _pick(RULES, drawn(key, 0, 0, 3)), drawn(key, 1, 1, 20), drawn(key, 2, 2, 9)
+    term = lambda n: planning.series_term(rule, first, k, F.lit(n)).cast("long")
+    shown = F.array_join(F.array(*[term(n).cast("string") for n in range(1, 6)]), ", ")
+    return _text("series: ", shown, ", ?"), term(6).cast("string")
+
+
+def _coding(key: Column) -> tuple[Column, Column]:
+    word, rule, k = _pick(WORDS, drawn(key, 0, 0, len(WORDS) - 1)), _pick(CIPHERS, drawn(key, 1, 0, 3)), drawn(key, 2, 2, 9)
+    return _text("code ", word, " by ", rule, " ", k), puzzles.cipher_code(puzzles.cipher_values(word, rule, k), F.lit("sequence"))
+
+
+def _letter_sum(key: Column) -> tuple[Column, Column]:
+    one, two = _pick(WORDS, drawn(key, 0, 0, len(WORDS) - 1)), _pick(WORDS, drawn(key, 1, 0, len(WORDS) - 1))
+    both = F.concat(one, two)
+    return _text("sum of letters of ", one, " and ", two), puzzles.cipher_code(puzzles.cipher_values(both, F.lit("shift"), F.lit(0)), F.lit("sum"))
+
+
+def _calendar(key: Column) -> tuple[Column, Column]:
+    year = drawn(key, 0, 1901, 2060)
+    return _text("next year like ", year), planning.same_calendar(year).cast("string")
+
+
+def _clock(key: Column) -> tuple[Column, Column]:
+    minutes, water = drawn(key, 0, 0, 719), drawn(key, 1, 0, 1) == 1
+    shown = F.when(water, planning.water_clock(minutes)).otherwise(planning.mirror_clock(minutes))
+    return _text(F.when(water, "water").otherwise("mirror"), " image of ", minutes, " minutes"), shown.cast("string")
+
+
+def _sufficiency(key: Column) -> tuple[Column, Column]:
+    m, r, low, wide = drawn(key, 0, 3, 9), drawn(key, 1, 0, 2), drawn(key, 2, 1, 80), drawn(key, 3, 4, 12)
+    value = planning.sole_value([lambda v: v % m == r, lambda v: v >= low, lambda v: v < low + wide])
+    return _text("a number from ", low, ", under ", low + wide, ", that leaves ", r, " by ", m), F.coalesce(value.cast("string"), F.lit("not sufficient"))
+
+
+def _direction(key: Column) -> tuple[Column, Column]:
+    legs = [(_pick(("N", "E", "S", "W"), drawn(key, 2 * i, 0, 3)), drawn(key, 2 * i + 1, 1, 12)) for i in range(4)]
+    along = lambda plus, minus: sum((F.when(d == plus, n).when(d == minus, -n).otherwise(0) for d, n in legs), F.lit(0))
+    far = F.round(F.hypot(along("E", "W").cast("double"), along("N", "S").cast("double")), 2)
+    return _text("walk ", F.concat_ws(", ", *[_text(d, " ", n) for d, n in legs])), far.cast("string")
+
+
+def _figures(key: Column) -> tuple[Column, Column]:
+    start = shuffled_by(F.array(*map(F.lit, SYMBOLS)), key)
+    truth = puzzles.turned_series(start, drawn(key, 1, 0, 1) == 1, 5)
+    i, j = drawn(key, 2, 1, 2), drawn(key, 3, 3, 4)
+    shown = puzzles.exchanged(truth, i, j)
+    found = puzzles.restoring_swaps(shown, truth)
+    drawing = F.array_join(F.transform(shown, lambda q: F.array_join(q, " ")), " / ")
+    return _text("which two figures are exchanged: ", drawing), F.array_join(F.transform(found, lambda p: F.concat_ws("-", p["i"].cast("string"), p["j"].cast("string"))), " or ")
+
+
+def shuffled_by(items: Column, key: Column) -> Column:
+    """Items in the order of md5 of the key and their places."""
+    keyed = F.transform(items, lambda x, i: F.struct(F.md5(F.concat_ws("|", key, i.cast("string"))).alias("h"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda k: k["x"])
+
+
+TYPES = {"series": _series, "coding": _coding, "letter_sum": _letter_sum, "calendar": _calendar, "clock": _clock, "sufficiency": _sufficiency, "direction": _direction, "figures": _figures}
+
+
+def question_blocks(seeds: DataFrame, count: int) -> DataFrame:
+    """seed, slot (from 1), type, stem and answer of ``count`` slots a seed, without repeated stems.
+
+    A slot whose draws have all been taken stays empty, so a block may fall short.
+    """
+    kinds = seeds.select("seed", F.array(*map(F.lit, TYPES)).alias("types"))
+    slots = sequences.rounds(kinds, "seed", "types", count, 16).withColumnRenamed("place", "slot")
+    tried = slots.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(TRIES - 1))))
+    key = F.concat_ws("|", F.col("seed").cast("string"), F.col("slot").cast("string"), F.col("try").cast("string"))
+    chain_stem = chain_answer = F
+    for name, make in TYPES.items():
+        stem, answer = make(key)
+        chain_stem, chain_answer = chain_stem.when(F.col("type") == name, stem), chain_answer.when(F.col("type") == name, answer)
+    order = (F.col("slot") * TRIES + F.col("try")).cast("long")
+    made = tried.select("seed", "slot", "type", order.alias("nth"), chain_stem.alias("stem"), chain_answer.alias("answer"))
+    taken = folds.accepted(made, "seed", "nth", ["slot", "stem"]).select("seed", "nth")
+    return made.join(taken, ["seed", "nth"]).select("seed", "slot", "type", "stem", "answer")

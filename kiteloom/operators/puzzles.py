@@ -64,3 +64,30 @@ def arrangement_answers(puzzles: DataFrame, key: str, most: int = 6) -> DataFram
     answer = F.abs(F.get("places", F.get("asked", F.lit(0))) - F.get("places", F.get("asked", F.lit(1))))
     found = whole.groupBy(key).agg(F.count(F.lit(1)).alias("layouts"), F.min(answer).alias("low"), F.max(answer).alias("high"))
     return found.select(key, "layouts", F.when(F.col("low") == F.col("high"), F.col("low")).alias("answer"))
+
+
+# Figures whose four symbols stand at the top, left, right and bottom -------------------------------
+
+
+def turned(figure: Column, clockwise: Column) -> Column:
+    """The figure after a quarter turn of its symbols."""
+    top, left, right, bottom = (F.get(figure, F.lit(i)) for i in range(4))
+    return F.when(clockwise, F.array(left, bottom, top, right)).otherwise(F.array(right, top, bottom, left))
+
+
+def turned_series(start: Column, clockwise: Column, n: int) -> Column:
+    """``n`` figures, each a quarter turn after the one before."""
+    steps = F.sequence(F.lit(2), F.lit(n))
+    return F.aggregate(steps, F.array(start), lambda out, _: F.concat(out, F.array(turned(F.element_at(out, -1), clockwise))))
+
+
+def exchanged(items: Column, i: Column, j: Column) -> Column:
+    """The array with two of its places (from 0) exchanged."""
+    return F.transform(items, lambda x, k: F.when(k == i, F.get(items, j)).when(k == j, F.get(items, i)).otherwise(x))
+
+
+def restoring_swaps(shown: Column, truth: Column) -> Column:
+    """All pairs of places (i < j, from 0) whose exchange turns ``shown`` into ``truth``, by trying each."""
+    places = F.sequence(F.lit(0), F.size(shown) - 1)
+    pairs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    return F.filter(pairs, lambda p: exchanged(shown, p["i"], p["j"]) == truth)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kiteloom.operators import folds, planning, puzzles, sequences
+from kiteloom.operators.generators import question_blocks
 from kiteloom.operators.ranking import rank_within
 from kiteloom.plans.registry import Family
 from kiteloom.sources.tables import table
@@ -244,10 +245,26 @@ def rg11(spark, d):
     return planning.opposite_faces(views, "l_orderkey")
 
 
-@add("rg12_rotation", "SELECT s_suppkey, (CAST(s_suppkey AS INTEGER) % 4 + 3) % 4 AS place FROM supplier")
+#: A series of five figures a part, of which two are exchanged.
+_FIGURES = """f AS (SELECT p_partkey, p_partkey % 2 = 0 AS cw, p_size % 2 + 1 AS i, p_size % 3 + 2 AS j, CASE p_partkey % 3 WHEN 0 THEN 'cstp' WHEN 1 THEN 'tpsc' ELSE 'ccsp' END AS q0 FROM part)"""
+_TURN = "CASE WHEN cw THEN {0}[2] || {0}[4] || {0}[1] || {0}[3] ELSE {0}[3] || {0}[1] || {0}[4] || {0}[2] END"
+
+
+@add("rg12_rotation", f"""WITH {_FIGURES}, q1 AS (SELECT *, {_TURN.format('q0')} AS q1 FROM f), q2 AS (SELECT *, {_TURN.format('q1')} AS q2 FROM q1), q3 AS (SELECT *, {_TURN.format('q2')} AS q3 FROM q2), q4 AS (SELECT *, {_TURN.format('q3')} AS q4 FROM q3),
+  t AS (SELECT p_partkey, [q0, q1, q2, q3, q4] AS truth, i, j FROM q4), s AS (SELECT *, list_transform(range(0, 5), lambda k: CASE k WHEN i THEN truth[j + 1] WHEN j THEN truth[i + 1] ELSE truth[k + 1] END) AS shown FROM t),
+  p AS (SELECT p_partkey, shown, a, b, list_transform(range(0, 5), lambda k: CASE k WHEN a THEN shown[b + 1] WHEN b THEN shown[a + 1] ELSE shown[k + 1] END) = truth AS fits FROM s, range(0, 5) x(a), range(0, 5) y(b) WHERE a < b)
+  SELECT p_partkey, array_to_string(any_value(shown), ' ') AS shown, coalesce(string_agg(a || '-' || b, ' ' ORDER BY a, b) FILTER (WHERE fits), '') AS swaps FROM p GROUP BY p_partkey""")
 def rg12(spark, d):
-    turn = (F.col("s_suppkey").cast("int") % 4 + 3) % 4
-    return table(spark, d, "supplier").select("s_suppkey", (F.array_position(F.array(F.lit(0), F.lit(1), F.lit(2), F.lit(3)), turn) - 1).cast("int").alias("place"))
+    """The exchanges that restore each part's series."""
+    kind = F.col("p_partkey") % 3
+    quad = lambda letters: F.array(*map(F.lit, letters))
+    start = F.when(kind == 0, quad("cstp")).when(kind == 1, quad("tpsc")).otherwise(quad("ccsp"))
+    rows = table(spark, d, "part").select("p_partkey", "p_size", puzzles.turned_series(start, F.col("p_partkey") % 2 == 0, 5).alias("truth"))
+    i, j = F.col("p_size") % 2 + 1, F.col("p_size") % 3 + 2
+    shown = rows.withColumn("figures", F.when(i == j, F.col("truth")).otherwise(puzzles.exchanged(F.col("truth"), i, j)))
+    found = puzzles.restoring_swaps(F.col("figures"), F.col("truth"))
+    joined = F.array_join(F.transform("figures", lambda q: F.array_join(q, "")), " ")
+    return shown.select("p_partkey", joined.alias("shown"), F.array_join(F.transform(found, lambda p: F.concat_ws("-", p["i"].cast("string"), p["j"].cast("string"))), " ").alias("swaps"))
 
 
 sql("rg13_layout_lookup", "SELECT n_nationkey, coalesce(l.layout, 'apart') AS layout FROM nation LEFT JOIN (SELECT * FROM (VALUES (0, 'nested'), (1, 'crossed'), (2, 'apart')) AS v(k, layout)) l ON n_regionkey = l.k")
@@ -278,7 +295,5 @@ def rg15(spark, d):
 
 @add("rg16_question_blocks")
 def rg16(spark, d):
-    """A block of generated series questions a seed, each from its own seeded generator."""
-    from kiteloom.operators.generators import series_blocks
-
-    return series_blocks(spark.range(50).select(F.col("id").alias("seed")), 16)
+    """A block of sixteen questions of eight types a supplier."""
+    return question_blocks(table(spark, d, "supplier").select(F.col("s_suppkey").alias("seed")), 16)

@@ -262,3 +262,41 @@ def test_a_replayed_trigger_changes_nothing(spark, tmp_path):
     small = sink.compact(spark, f"{tmp_path}/c")
     small.write(batch((1, 5)), 2)
     assert sorted(tuple(r) for r in small.read(spark).collect()) == [(1, 5), (2, 20), (3, 30)]
+
+
+def test_blocks_are_the_slot_by_slot_draw(spark, monkeypatch):
+    from kiteloom.operators import generators
+
+    monkeypatch.setattr(generators, "WORDS", ("RIVER", "STONE"))  # few stems, so that slots collide
+    blocks = generators.question_blocks(spark.range(3).select(F.col("id").alias("seed")), 120).collect()
+    again = generators.question_blocks(spark.range(3).select(F.col("id").alias("seed")).repartition(3), 120).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, again))
+    for seed in range(3):
+        own = [r for r in blocks if r["seed"] == seed]
+        assert len({r["stem"] for r in own}) == len(own) == len({r["slot"] for r in own})
+        spread = collections.Counter(r["type"] for r in own)
+        assert set(spread) == set(generators.TYPES) and min(spread.values()) >= 3 and spread["letter_sum"] <= 4
+        assert spread["series"] == 15 and len(own) < 120  # pairs of two words run out
+        for r in own:
+            stem, answer = r["stem"], r["answer"]
+            if r["type"] == "letter_sum":
+                a, b = stem.removeprefix("sum of letters of ").split(" and ")
+                assert answer == str(sum(ord(c) - 64 for c in a + b))
+            if r["type"] == "clock":
+                m = int(stem.split(" of ")[1].split()[0])
+                assert answer == str((720 - m) % 720 if stem.startswith("water") else (360 - m) % 720)
+            if r["type"] == "direction":
+                x = y = 0
+                for d, n in (leg.split() for leg in stem.removeprefix("walk ").split(", ")):
+                    x, y = x + {"E": 1, "W": -1}.get(d, 0) * int(n), y + {"N": 1, "S": -1}.get(d, 0) * int(n)
+                assert abs(float(answer) - round((x * x + y * y) ** 0.5, 2)) < 0.011
+            if r["type"] == "figures":
+                assert answer in ("1-3", "1-4", "2-3", "2-4")
+
+
+def test_restoring_swaps_by_trying(spark):
+    start = F.array(*map(F.lit, "cstp"))
+    truth = puzzles.turned_series(start, F.lit(True), 5)
+    got = spark.range(1).select(truth.alias("t"), puzzles.restoring_swaps(puzzles.exchanged(truth, F.lit(1), F.lit(3)), truth).alias("one"), puzzles.restoring_swaps(truth, truth).alias("same")).first()
+    assert ["".join(q) for q in got["t"]] == ["cstp", "spct", "ptsc", "tcps", "cstp"]
+    assert [tuple(p) for p in got["one"]] == [(1, 3)] and [tuple(p) for p in got["same"]] == [(0, 4)]

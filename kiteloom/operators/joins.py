@@ -85,6 +85,23 @@ def _pieces(span: int, least: bool):
     return run
 
 
+def _tiny_held(plain: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, seq, text of the texts under WIDTH characters that an earlier text of the group holds.
+
+    The texts of groups with such short ones are cut into all their parts of just these
+    lengths; the least ``seq`` of the parts that equal a short text tells whether it comes
+    after. No pair of texts is formed.
+    """
+    tiny = plain.filter(F.length("text") < WIDTH)
+    lengths = tiny.groupBy(*keys).agg(F.collect_set(F.length("text")).alias("lengths"))  # WIDTH at most
+    near = plain.join(lengths, keys) if keys else plain.crossJoin(F.broadcast(lengths))
+    sized = near.select(*keys, "seq", "text", F.explode("lengths").alias("n")).filter(F.length("text") >= F.col("n"))
+    parts = F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substr("text", i, F.col("n")))
+    cut = sized.select(*keys, "seq", F.explode(F.array_distinct(F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(parts))).alias("text"))
+    firsts = cut.join(tiny.select(*keys, "text").distinct(), [*keys, "text"], "left_semi").groupBy(*keys, "text").agg(F.min("seq").alias("first"))
+    return tiny.join(firsts, [*keys, "text"]).filter("first < seq").select(*keys, "seq", "text")
+
+
 def not_contained(rows: DataFrame, by: Sequence[str], seq: str, text: str) -> DataFrame:
     """Rows whose text isn't equal to, or part of, that of an earlier row of the group.
 
@@ -118,10 +135,9 @@ def not_contained(rows: DataFrame, by: Sequence[str], seq: str, text: str) -> Da
     side = lambda p: plain.select(*keys, F.col("seq").alias(f"{p}_seq"), F.col("text").alias(f"{p}_text"))
     held = F.col("e_text").contains(F.col("c_text"))
     gone = pairs.distinct().join(side("c"), [*keys, "c_seq"]).join(side("e"), [*keys, "e_seq"]).filter(held)
-    tiny, every = side("c").filter(F.length("c_text") < WIDTH), side("e")
-    gone_tiny = (tiny.join(every, keys) if keys else tiny.crossJoin(every)).filter((F.col("e_seq") < F.col("c_seq")) & held)
+    gone_tiny = _tiny_held(plain, keys)
     told = [*keys, F.col("c_seq").alias("seq"), F.col("c_text").alias("text")]
-    kept = plain.join(gone.select(*told).unionByName(gone_tiny.select(*told)).distinct(), [*keys, "seq", "text"], "left_anti")
+    kept = plain.join(gone.select(*told).unionByName(gone_tiny).distinct(), [*keys, "seq", "text"], "left_anti")
     kept = kept.select(*[F.col(k).alias(b) for k, b in zip(keys, by, strict=True)], F.col("seq").alias(seq), F.col("text").alias(text))
     return rows.join(kept, [*by, text, seq], "left_semi")
 

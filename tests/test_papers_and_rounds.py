@@ -147,3 +147,19 @@ def test_chunks_across_blocks_are_the_loop(spark, monkeypatch, seed):
         want[g, i] = chunk
     df = spark.createDataFrame(data, "grp string, id long, size long").repartition(5)
     assert {(r["grp"], r["id"]): r["chunk"] for r in folds.budget_chunks(df, 90, 5).collect()} == want
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_short_texts_are_found_by_their_parts(spark, by):
+    from kiteloom.operators import joins
+
+    rng = random.Random(7)
+    data = [(rng.choice("xy"), i, "".join(rng.choice("ab ") for _ in range(rng.choice([0, 1, 2, 3, 5, 7, 8, 12, 30])))) for i in range(120)]
+    want = []
+    for g, i, t in data:
+        if not any(j < i and t in u and (not by or h == g) for h, j, u in data):
+            want.append((g, i))
+    df = spark.createDataFrame(data, "g string, i int, t string").repartition(4)
+    got = joins.not_contained(df, by, "i", "t").select("g", "i").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert 3 < len(want) < 100

@@ -144,15 +144,17 @@ def budget_chunks(rows: DataFrame, budget: int, most: int) -> DataFrame:
         last = lambda s: F.struct(F.greatest(s["to"] - BLOCK, F.lit(0)).alias("to"), s["n"].alias("n"))
         return F.aggregate("rows", F.struct(entry.alias("to"), F.lit(0).cast("long").alias("n")), walk, last)
 
-    maps = published(blocks.select("grp", "block", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), through).alias("map")), "chunk-maps")
-    last, step = maps.agg(F.max("block")).first()[0] or 0, 1
-    while step <= last:
-        before = maps.select("grp", (F.col("block") + step).alias("block"), F.col("map").alias("before"))
-        joined = maps.join(before, ["grp", "block"], "left")
-        maps = published(joined.select("grp", "block", F.when(F.col("before").isNull(), F.col("map")).otherwise(_composed(F.col("before"), F.col("map"))).alias("map")), "chunk-maps")
-        step *= 2
-    entries = maps.select("grp", (F.col("block") + 1).alias("block"), F.get("map", F.lit(0)).alias("entry"))
-    entered = blocks.join(entries, ["grp", "block"], "left")
+    last, step = blocks.agg(F.max("block")).first()[0] or 0, 1
+    nowhere = F.lit(None).cast("struct<to:int,n:bigint>")
+    entered = blocks.withColumn("entry", nowhere)
+    if last:  # some group goes on beyond its first block
+        maps = published(blocks.select("grp", "block", F.transform(F.sequence(F.lit(0), F.lit(most - 1)), through).alias("map")), "chunk-maps")
+        while step <= last:
+            before = maps.select("grp", (F.col("block") + step).alias("block"), F.col("map").alias("before"))
+            joined = maps.join(before, ["grp", "block"], "left")
+            maps = published(joined.select("grp", "block", F.when(F.col("before").isNull(), F.col("map")).otherwise(_composed(F.col("before"), F.col("map"))).alias("map")), "chunk-maps")
+            step *= 2
+        entered = blocks.join(maps.select("grp", (F.col("block") + 1).alias("block"), F.get("map", F.lit(0)).alias("entry")), ["grp", "block"], "left")
     begin = F.struct(F.coalesce(F.col("entry.to"), F.lit(0)).alias("to"), (F.coalesce(F.col("entry.n"), F.lit(0).cast("long")) - 1).alias("chunk"), F.array().cast("array<bigint>").alias("out"))
 
     def number(s: Column, x: Column) -> Column:

@@ -287,7 +287,9 @@ def rg14(spark, d):
     return planning.triangles(table(spark, d, "supplier").select(F.col("s_nationkey").alias("figure"), k.alias("id"), *ends.values()), "figure", "id")
 
 
-@add("rg15_distractors")
+@add("rg15_distractors", """WITH c AS (SELECT p_partkey, p_size AS s, unnest([p_size * 2, p_size - 5, p_size, p_size + 1, p_size - 1, p_size + 2, p_size - 2, p_size + 3, p_size - 3, p_size + 4, p_size - 4]) AS v, unnest(range(11)) AS i FROM part),
+  d AS (SELECT p_partkey, v, min(i) AS i FROM c WHERE v > 0 AND v <> s GROUP BY p_partkey, v QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY min(i)) <= 3)
+  SELECT p_partkey, string_agg(v, ',' ORDER BY i) AS choices FROM d GROUP BY p_partkey""")
 def rg15(spark, d):
     s = F.col("p_size")
     return table(spark, d, "part").select("p_partkey", F.array_join(planning.distractors(s, F.array(s * 2, s - 5, s)).cast("array<string>"), ",").alias("choices"))

@@ -83,7 +83,8 @@ def vr5(spark, d):
     return fused.withColumn("place", place).filter("place <= 10").select("item_id", "id", "score", "place")
 
 
-#: Letters stand for signs, since the test texts hold no Devanagari; a place counts if an impossible sequence begins there.
+#: Letters stand for signs, since the test texts hold no Devanagari; a place counts if an
+#: impossible sequence begins there. Stutters, which SQL's patterns can't tell, don't occur among the candidates.
 _SIGNS = "translate(text, 'abeoiu', '्ाीुण>')"
 _PLACES = "len(list_filter(range(1, length(t) + 1), lambda i: regexp_matches(substr(t, i, 2), '^(्[ा-ौॢॣ]|््|[॒॑]|<[ऀ-ॿ]|[ऀ-ॿ]>|[\\s(«»][ा-ौ])') OR (i = 1 AND regexp_matches(t, '^[ा-ौ]'))))"
 

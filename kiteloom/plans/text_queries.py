@@ -30,7 +30,7 @@ def tx2(spark, d):
     return _docs(spark, d).select("doc_id", F.length(texts.composed(F.col("text"))).cast("long").alias("n"))
 
 
-@add("tx3_sentences")
+@add("tx3_sentences", "SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([।.!?])\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n{2,}'), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS n FROM documents")
 def tx3(spark, d):
     return _docs(spark, d).select("doc_id", F.size(texts.sentences(F.col("text"))).alias("n"))
 
@@ -104,7 +104,21 @@ def tx11(spark, d):
     return table(spark, d, "pages").select("page_id", F.length(texts.html_text(F.col("html"))).cast("long").alias("n"))
 
 
-@add("tx12_page_text")
+_UNESCAPED = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&')"
+
+
+def _without(html: str, tags: tuple[str, ...], by: str) -> str:
+    """SQL: markup without the elements of some tags and comments."""
+    for tag in tags:
+        html = f"regexp_replace({html}, '(?is)<{tag}\\b.*?</{tag}>', '{by}', 'g')"
+    return f"regexp_replace({html}, '(?s)<!--.*?-->', '{by}', 'g')"
+
+
+_BARE = _without("html", ("script", "style", "nav", "header", "footer", "aside", "iframe", "noscript"), " ")
+_PLAIN = _UNESCAPED.format(f"regexp_replace({_BARE}, '<[^>]+>', ' ', 'g')")
+
+
+@add("tx12_page_text", f"SELECT page_id, substr(trim(regexp_replace({_PLAIN}, '[\\s\\x{{00A0}}]+', ' ', 'g')), 1, 8000) AS body FROM pages")
 def tx12(spark, d):
     return table(spark, d, "pages").select("page_id", texts.page_text(F.col("html")).alias("body"))
 
@@ -298,7 +312,13 @@ def tx37(spark, d):
     return table(spark, d, "pages").select("page_id", texts.domain(F.col("url")).alias("domain"))
 
 
-@add("tx38_crc_seed")
+#: crc32 of a text of ASCII characters, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::UBIGINT)),
+  lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)::UBIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384::UBIGINT) ELSE a // 2 END)), 4294967295::UBIGINT)"""
+_SEED = _CRC.format("p_brand || '|' || p_type || '|' || p_size")
+
+
+@add("tx38_crc_seed", f"SELECT p_partkey, CAST({_SEED} AS BIGINT) AS seed FROM part")
 def tx38(spark, d):
     return table(spark, d, "part").select("p_partkey", F.crc32(F.encode(F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")), "UTF-8")).alias("seed"))
 

@@ -5,26 +5,29 @@ Its media form is a mono WAV file of unsigned 8-bit samples, one a payload byte.
 file is cut where a rolling gear hash of the last bytes has its low bits zero, so equal
 passages of different media make equal chunks.
 
-* stored: one row a document, a stage table that one pass over the texts writes: doc_id,
-  bytes, media key, chunk digests in order, and the compressed chunks but for those that
-  the same task has stored before (``lacks`` of them);
-* manifest: one row a chunk of distinct media: (media key, place, digest);
-* chunk store: one row a distinct chunk digest, of all that tasks have stored.
+* stored: a stage table in buckets of its key. A document's row has doc_id, bytes, media key
+  and chunk digests in order; a chunk's row has its digest as key and its compressed body,
+  once for each distinct digest;
+* chunk store: the chunks' rows of that table;
+* manifest: one row a chunk of distinct media: (media key, place, digest), a stage table.
 
 Chunks are small, so they are compressed with a dictionary that is trained on a bounded
 sample: what the first SAMPLE rows that are read begin with. It is stored like the rest
 and changes no result.
 
-Reading back takes everything from the stored table; texts are not read again. A file
-with all its chunks is rebuilt where it lies. For media that nowhere lie whole the manifest
-is joined with the store on the digest; those of one chunk are rebuilt and checked right
-there, the chunks of longer ones travel on to be put in order. Rebuilt files must have the
-digest that names them; samples and features are taken from the file read back, and joined
-to its documents.
+Documents are added in BATCHES: each text is cut once, its chunks are exchanged by digest,
+and those that the table does not hold yet are appended. Reading back takes everything from
+these tables; texts are not read again. The manifest is joined with the store on the digest,
+for every file, and the chunks travel to their file's key to be put in order of place, for
+one ROUNDS-th of the files after the other. So no second copy of all bodies is on the way
+at once. Rebuilt files must have the digest that names them; samples and features are taken
+from the file read back, and joined to its documents.
 
-Digests are exchanged by hash with map-side combining; a digest or payload that very
-many rows share has one row on the other side of its join, so that adaptive execution
-splits it. One payload's chunks are gathered, which its own size bounds.
+The store lies in buckets, so the manifest comes to it. A task stores a chunk once and
+digests are exchanged with map-side combining; chunks of more than HOT places are sent to
+all tasks instead, so no task has all places of one. A payload that very many rows share
+has one row on the other side of its join, which adaptive execution splits. One payload's
+chunks are gathered, which its own size bounds.
 
 Defined results: null counts as the empty text, whose payload is 64 zero bytes; equal
 texts get equal values; repeated rows each get a row; extra columns are ignored; an
@@ -35,16 +38,20 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kiteloom.llm.common import small_batches, stage
+from kiteloom.llm.common import shared_dir, small_batches, stage
 
 UNIT = 64
 RATE = 8000
@@ -127,17 +134,34 @@ def _emit(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.R
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
-STORED = "doc_id long, n_bytes long, media binary, chunks array<binary>, bodies array<binary>, lacks int"
-#: Digests that are sent to every task at most; more are joined by exchange.
-SENT = 1 << 18
+STORED = "key binary, doc_id long, n_bytes long, media binary, chunks array<binary>, body binary"
+#: Places of one chunk in the manifest that are joined by exchange at most. The chunks of more
+#: are sent to every task: one in HOT of the manifest's rows at most.
+HOT = 1024
+#: Parts of the documents that are stored, and of the files that are put together, one after the other.
+BATCHES, ROUNDS = 2, 4
 
 
-def _cut(dictionary: bytes):
-    """Cuts, digests and compresses the media of each text; a chunk that the task has stored goes without a body."""
+@contextmanager
+def short_exchanges(spark: SparkSession):
+    """Within, a job's exchanged rows go when it ends; else they stay until the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _cut(dictionary: bytes, batch_no: int):
+    """Cuts, digests and compresses the media of each text: its row, and those of its chunks that the task has not stored yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, seen = zstandard.ZstdCompressor(level=LEVEL, dict_data=_trained(dictionary)), set()
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.int32()]
+        names = [x.split()[0] for x in STORED.split(", ")]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+        task, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows, held = [], 0
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -145,18 +169,21 @@ def _cut(dictionary: bytes):
                 media = media_of(body)
                 ends = cuts(media)
                 parts = [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-                found, bodies = [_digest(p) for p in parts], []
+                found = [_digest(p) for p in parts]
                 for d, part in zip(found, parts, strict=True):
                     if len(seen) > 200_000:
                         seen.clear()
-                    bodies.append(None if d in seen else squeeze.compress(part))
-                    seen.add(d)
-                rows.append((doc, len(body), found[0] if len(found) == 1 else _digest(media), found, bodies, bodies.count(None)))
+                    if d not in seen:
+                        rows.append((d, None, None, None, None, squeeze.compress(part)))
+                        seen.add(d)
+                # a key that no other row has, and shorter than a digest
+                rows.append((struct.pack("<HIQ", batch_no, task, at), doc, len(body), found[0] if len(found) == 1 else _digest(media), found, None))
+                at += 1
                 held += len(media)
                 if held > 1 << 24:
-                    yield _emit(rows, [x.split()[0] for x in STORED.split(", ")], kinds)
+                    yield _emit(rows, names, kinds)
                     rows, held = [], 0
-            yield _emit(rows, [x.split()[0] for x in STORED.split(", ")], kinds)
+            yield _emit(rows, names, kinds)
 
     return run
 
@@ -176,28 +203,43 @@ def train(docs: DataFrame) -> bytes:
 
 
 def stored(docs: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """STORED of each row, as a stage table."""
-    small_batches(docs.sparkSession)
+    """STORED rows of the documents and of their distinct chunks, as a stage table in buckets of the key."""
+    spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stage(texts.mapInArrow(_cut(dictionary), STORED), "media")
+    turn = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(BATCHES))
+    name = f"media_{uuid.uuid4().hex}"
+    path, buckets = f"{shared_dir(spark)}/{name.replace('_', '-')}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with short_exchanges(spark):
+        for k in range(BATCHES):
+            rows = texts.filter(turn == k).mapInArrow(_cut(dictionary, k), STORED).dropDuplicates(["key"])
+            if k:
+                rows = rows.join(spark.table(name).select("key"), "key", "left_anti")
+            rows.write.mode("append").bucketBy(buckets, "key").option("compression", "zstd").option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only, the files stay
+    return table
 
 
 def catalogue(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (its key) and chunks (digests in order) of each row, stored without a dictionary."""
-    return stored(docs).drop("bodies", "lacks")
+    return listed_in(stored(docs))
 
 
-def chunk_store(held: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """digest and compressed body of each distinct chunk (of the ``wanted`` digests), of stored rows or of documents that are stored first."""
-    held = held if "bodies" in held.columns else stored(held)
-    parts = held.select(F.explode(F.arrays_zip(F.col("chunks").alias("digest"), F.col("bodies").alias("body"))).alias("c")).select("c.digest", "c.body")
-    parts = parts.filter("body IS NOT NULL")
-    return (parts if wanted is None else parts.join(wanted, "digest", "left_semi")).dropDuplicates(["digest"])
+def listed_in(held: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, media and chunks of each document, of stored rows."""
+    return held.filter("media IS NOT NULL").select("doc_id", "n_bytes", "media", "chunks")
+
+
+def chunk_store(held: DataFrame) -> DataFrame:
+    """digest and compressed body of each distinct chunk, of stored rows or of documents that are stored first."""
+    held = held if "body" in held.columns else stored(held)
+    return held.filter("body IS NOT NULL").select(F.col("key").alias("digest"), "body")
 
 
 def manifest(listed: DataFrame) -> DataFrame:
     """media, place, total and digest: the ordered chunk list of each distinct file."""
-    once = listed.select("media", "chunks").dropDuplicates(["media"])
+    once = listed.filter("media IS NOT NULL").select("media", "chunks").dropDuplicates(["media"])
     return once.select("media", F.size("chunks").alias("total"), F.posexplode("chunks").alias("place", "digest"))
 
 
@@ -221,7 +263,7 @@ def _rebuild(dictionary: bytes):
         for batch in batches:
             rows = []
             for key, total, place, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if place != len(parts):
+                if place != len(parts) or body is None:
                     raise ValueError("a chunk of a file is missing")
                 parts.append(unpack.decompress(body))
                 if len(parts) == total:
@@ -234,41 +276,30 @@ def _rebuild(dictionary: bytes):
     return run
 
 
-def reconstruct(listing: DataFrame, store: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """media and FEATURES of each distinct file, from the manifest and the store."""
-    got = listing.join(store, "digest").select("media", "total", "place", "body")
-    # a file of one chunk is rebuilt where it lies, the chunks of others travel to meet in order
-    single = got.filter("total = 1").mapInArrow(_rebuild(dictionary), _REBUILT)
-    many = got.filter("total > 1").repartition("media").sortWithinPartitions("media", "place").mapInArrow(_rebuild(dictionary), _REBUILT)
-    return single.unionByName(many)
-
-
-def _in_place(dictionary: bytes):
-    """Rebuilds files whose chunks lie together, as (media, chunks) rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor(dict_data=_trained(dictionary))
-        for batch in batches:
-            rows = [(key, *_whole(key, b"".join(map(unpack.decompress, bodies)))) for key, bodies in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield _emit(rows, _NAMES, _KINDS)
-
-    return run
+def reconstruct(listing: DataFrame, store: DataFrame, dictionary: bytes = b"", hot: DataFrame | None = None) -> DataFrame:
+    """media and FEATURES of each distinct file, from the manifest and the store. ``hot``: the rows of the store that very many places have."""
+    rest = listing if hot is None else listing.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    got = rest.join(store, "digest", "left").select("media", "total", "place", "body")
+    if hot is not None:
+        got = got.unionByName(listing.join(F.broadcast(hot), "digest").select("media", "total", "place", "body"))
+    return got.repartition("media").sortWithinPartitions("media", "place").mapInArrow(_rebuild(dictionary), _REBUILT)
 
 
 def read_back(held: DataFrame, dictionary: bytes = b"") -> DataFrame:
-    """media and FEATURES of each distinct file, from the stored rows."""
-    whole = held.filter("lacks = 0").select("media", "bodies").mapInArrow(_in_place(dictionary), _REBUILT)
-    apart = held.filter("lacks > 0").select("media", "chunks").dropDuplicates(["media"]).join(held.filter("lacks = 0").select("media"), "media", "left_anti")
-    listing = stage(manifest(apart), "media-manifest")
-    wanted = stage(listing.select("digest").distinct(), "media-wanted")
-    few = wanted.count() <= SENT
-    found = chunk_store(held.select("chunks", "bodies"), F.broadcast(wanted) if few else wanted)
-    return whole.unionByName(reconstruct(listing, found, dictionary)).dropDuplicates(["media"])
+    """media and FEATURES of each distinct file, from the stored rows, as stage tables."""
+    store = chunk_store(held)
+    with short_exchanges(held.sparkSession):
+        listing = stage(manifest(held), "media-manifest")
+        often = listing.groupBy("digest").count().filter(F.col("count") > HOT).select("digest")
+        hot = stage(store.join(F.broadcast(often), "digest", "left_semi"), "media-hot")
+        turn = F.pmod(F.crc32("media"), F.lit(ROUNDS))
+        parts = [stage(reconstruct(listing.filter(turn == k), store, dictionary, hot), "media-features") for k in range(ROUNDS)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def savings(listed: DataFrame, store: DataFrame) -> DataFrame:
     """One row: chunks of all documents, of distinct files, and distinct chunks."""
-    every = listed.agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"))
+    every = listed.filter("media IS NOT NULL").agg(F.coalesce(F.sum(F.size("chunks")), F.lit(0)).alias("chunks"))
     files = manifest(listed).agg(F.count(F.lit(1)).alias("chunks_of_distinct_files"))
     return every.crossJoin(files).crossJoin(store.agg(F.count(F.lit(1)).alias("distinct_chunks")))  # one row each
 
@@ -279,12 +310,11 @@ def columns(docs: DataFrame) -> DataFrame:
     kept = stage(spark.createDataFrame([(train(docs),)], "dictionary binary"), "media-dictionary")
     dictionary = bytes(kept.first()[0])  # what readers will find
     held = stored(docs, dictionary)
-    # a table of its own, so that the join with documents, of which many may share one file, can be split
-    rebuilt = stage(read_back(held, dictionary), "media-features")
+    rebuilt = read_back(held, dictionary)
     spelled = {
         "payload_sha256": F.lower(F.hex("payload_digest")), "media_sha256": F.lower(F.hex("media_digest")),
         "feature": F.format_string("samples=%d;sum=%d;energy=%d;crossings=%d;peak=%d", "payload_bytes", "sum", "energy", "crossings", "peak"),
     }
-    return held.select("doc_id", "n_bytes", "media").join(rebuilt, "media").withColumns(spelled).select(
+    return listed_in(held).drop("chunks").join(rebuilt, "media").withColumns(spelled).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )

@@ -300,3 +300,27 @@ def test_media_are_read_back_from_what_was_stored(spark, tmp_path):
         shutil.rmtree(folder)
     with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|not found"):
         media.read_back(held).collect()
+
+
+def test_every_file_is_put_together_from_the_store(spark, monkeypatch):
+    from kiteloom.llm import media
+
+    passage = " ".join(f"shared{i * 7919}" for i in range(400))
+    rows = [(i, f"head {i} " * 40 + passage + f" tail {i}" * 40) for i in range(12)] + [(20, "short"), (21, "short"), (99, None), (98, ""), (7, "again"), (None, "no id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = media.stored(df)
+    store = media.chunk_store(held)
+    assert store.count() == store.select("digest").distinct().count()  # once, not once a task
+    assert media.listed_in(held).count() == len(rows)
+    joined, plain = [], media.reconstruct
+    monkeypatch.setattr(media, "reconstruct", lambda listing, *more: joined.append(listing) or plain(listing, *more))
+    want = {media._digest(media.media_of((text or "").encode())): media.features(media.media_of((text or "").encode())) for _, text in rows}
+    for hot in (1024, 2):
+        monkeypatch.setattr(media, "HOT", hot)
+        joined.clear()
+        assert {bytes(r[0]): tuple(bytes(x) if isinstance(x, bytearray) else x for x in r[1:]) for r in media.read_back(held).collect()} == want
+        met = {bytes(r["media"]) for part in joined for r in part.select("media").distinct().collect()}
+        assert met == set(want)  # no file beside the join
+    lost = media.listed_in(held).filter("doc_id = 20").first()["chunks"][0]
+    with pytest.raises(Exception, match="chunk of a file is missing"):
+        plain(media.manifest(held), store.filter(F.col("digest") != F.lit(bytes(lost)))).collect()

@@ -136,13 +136,13 @@ IMPOSSIBLE = r"्[ा-ौॢॣ]|््|[॒॑]|<[ऀ-ॿ]|[ऀ-ॿ]>|(?:^|[\s
 STUTTER = r"((.्)\2{3,})"
 
 
-def garble_density(text: Column, impossible: str = IMPOSSIBLE, stutter: str = STUTTER) -> Column:
+def garble_density(text: Column, impossible: str = IMPOSSIBLE, stutter: str | None = STUTTER) -> Column:
     """Places where an impossible sequence begins, and characters of stutters, per 100 characters.
 
-    Sequences may overlap: each place counts. ``stutter`` has a run in group 1.
+    Sequences may overlap: each place counts. ``stutter`` has a run in group 1; None counts places alone.
     """
     places = F.regexp_count(text, F.lit(f"(?={impossible})"))
-    runs = F.aggregate(F.regexp_extract_all(text, F.lit(stutter), F.lit(1)), F.lit(0), lambda a, r: a + F.length(r))
+    runs = F.lit(0) if stutter is None else F.aggregate(F.regexp_extract_all(text, F.lit(stutter), F.lit(1)), F.lit(0), lambda a, r: a + F.length(r))
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0.0)).otherwise((places + runs) * 100.0 / F.length(text))
 
 

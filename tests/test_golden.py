@@ -43,6 +43,11 @@ def test_garble_counts_each_place_and_stutters(spark):
     assert column(spark, ["क््ा"], texts.garble_density) == [50.0]  # a double sign, and the vowel on the second
 
 
+def test_garble_by_places_alone(spark):
+    said = ["ण्" * 5, "क्ा" + "ण्" * 5, " ्" * 6, None]
+    assert column(spark, said, lambda t: texts.garble_density(t, stutter=None)) == [0.0, pytest.approx(100 / 13), 0.0, 0.0]
+
+
 def test_legacy_font_needs_two_samples_of_three(spark):
     marked, plain = "Hkk izk xyz " * 400, "words of plain text " * 240
     assert column(spark, ["Hkk izk", "plain", "", None, "12 34", "Hkk izk यहहिन्दीहै"], texts.legacy_font) == [True, False, False, False, False, False]

@@ -18,6 +18,11 @@ DEVANAGARI = "[\\u0900-\\u097F]"
 LETTER = "[\\p{L}\\u0900-\\u097F]"
 
 
+def _trimmed(part: Column) -> Column:
+    """F.trim for F.transform, which would give a function of two parameters the place as characters to trim."""
+    return F.trim(part)
+
+
 def normalise(text: Column) -> Column:
     """Whitespace runs as one blank, trimmed, lower-case."""
     return F.lower(F.trim(F.regexp_replace(text, SPACE + "+", " ")))
@@ -37,7 +42,7 @@ def composed(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Split after a danda or . ! ? before whitespace, or at a blank line; no empty ones."""
     parts = F.split(text, "(?<=[\\u0964.!?])\\s+|\\n{2,}")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, _trimmed), lambda s: s != "")
 
 
 #: What marks a text as promotion, a dump of questions, a table of contents
@@ -121,7 +126,7 @@ def article_text(html: Column) -> Column:
     body = F.regexp_extract(html, "(?is)<article\\b[^>]*>(.*?)</article>", 1)
     chosen = F.when(body != "", body).otherwise(html)
     bare = F.regexp_replace(chosen, "(?is)<(script|style|iframe|nav)\\b.*?</\\1>|<!--.*?-->", "")
-    lines = F.transform(F.split(html_text(bare), "\n"), F.trim)
+    lines = F.transform(F.split(html_text(bare), "\n"), _trimmed)
     return F.trim(F.regexp_replace(F.array_join(lines, "\n"), "\\n{3,}", "\n\n"))
 
 
@@ -209,7 +214,7 @@ def row_numbers(spec: Column) -> Column:
 
 def first_line(text: Column, last: bool = False) -> Column:
     """The first (or last) non-blank line, trimmed; null where there is none."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), _trimmed), lambda x: x != "")
     return F.try_element_at(lines, F.lit(-1 if last else 1))
 
 

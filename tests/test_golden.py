@@ -48,6 +48,15 @@ def test_garble_by_places_alone(spark):
     assert column(spark, said, lambda t: texts.garble_density(t, stutter=None)) == [0.0, pytest.approx(100 / 13), 0.0, 0.0]
 
 
+def test_lines_are_trimmed_of_blanks_and_of_nothing_else(spark):
+    # the first line begins with its place, 0, and so on
+    said = ["0997 a | b0\n 1st1 \n", "\n 1 \n22 2", " \n", None]
+    assert column(spark, said, texts.first_line) == ["0997 a | b0", "1", None, None]
+    assert column(spark, said, lambda t: texts.first_line(t, last=True)) == ["1st1", "22 2", None, None]
+    assert column(spark, ["0 is. 1 is! no 2"], texts.sentences) == [["0 is.", "1 is!", "no 2"]]
+    assert column(spark, ["<article>0 zero<br> 1 one </article>"], lambda t: F.regexp_replace(texts.article_text(t), r"\s+", " ")) == ["0 zero 1 one"]
+
+
 def test_legacy_font_needs_two_samples_of_three(spark):
     marked, plain = "Hkk izk xyz " * 400, "words of plain text " * 240
     assert column(spark, ["Hkk izk", "plain", "", None, "12 34", "Hkk izk यहहिन्दीहै"], texts.legacy_font) == [True, False, False, False, False, False]

@@ -33,3 +33,9 @@ def test_rerank_with_stutters_among_the_candidates(spark, tmp_path):
     docs = table(spark, SF, "documents")
     d = changed(spark, tmp_path, "documents", docs.selectExpr("doc_id", "concat(text, repeat(' a', doc_id % 9 + 4)) AS text", "lang", "source", "n_chars"))
     agrees(spark, "or14_rerank", d)
+
+
+def test_hooks_that_begin_with_a_nought(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    d = changed(spark, tmp_path, "documents", docs.selectExpr("doc_id", "concat('0', text, '\n 1 last 1 ') AS text", "lang", "source", "n_chars"))
+    agrees(spark, "tx39_hook_closing", d)

@@ -21,7 +21,8 @@ words and the features they have.
 
 Defined results: a null or empty text has the score of no features; repeated rows get
 equal scores; rows without a label are scored like others; labels of several rows for
-one doc_id count as toxic if any is; labels other than 0 and 1, or null, are no labels. Very
+one doc_id count as toxic if any is; of a sampled doc_id that repeats with several texts
+that of the least hash is learnt from; labels other than 0 and 1, or null, are no labels. Very
 long texts are scored whole. Without labelled rows of both classes every score is the
 prior. An empty table gives no rows. Extra columns are ignored by ``score`` and carried
 by ``reject``.
@@ -268,7 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, grou
     if not n_bad or not n_good:
         return Model({}, math.log((n_bad + 0.5) / (n_good + 0.5)))
     taken = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taken, "doc_id").select("text", "toxic")
+    said = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taken, "doc_id")
+    # one text an id, else repeated rows would be learnt as often as they come, and be collected so below
+    texts = stage(said.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic"), "sampled")
     counted = texts.mapInArrow(_count_terms, "term string, bad long, good long")
     rates = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") + F.col("good") >= LEAST_TEXTS)
     rates = stage(rates, "rates")

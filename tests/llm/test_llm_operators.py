@@ -429,3 +429,13 @@ def test_counterfactual_pairing_spares_neutral_mentions(spark):
     assert fair(said(30, random.Random(2)) + " nastyword vileword") > 0.5
     none = toxicity.fit(docs, told.limit(0))
     assert none.weights == {} and none.scorer()(None) == none.scorer()("any") == 0.5
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    """Copies of rows under one id neither weigh more nor are more rows at the driver."""
+    rng = random.Random(7)
+    rows = [(i, said(20, rng) + (" nastyword" if i % 4 == 0 else "")) for i in range(200)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    once = toxicity.fit(docs, told)
+    assert once.weights
+    assert toxicity.fit(docs.unionByName(docs).unionByName(docs), told) == once

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import shutil
 
+from pyspark.sql import functions as F
+
+from kiteloom.operators import folds, generators
 from kiteloom.plans import registry
 from kiteloom.sources.tables import table
 from tests.compare import difference, oracle
@@ -39,3 +42,12 @@ def test_hooks_that_begin_with_a_nought(spark, tmp_path):
     docs = table(spark, SF, "documents")
     d = changed(spark, tmp_path, "documents", docs.selectExpr("doc_id", "concat('0', text, '\n 1 last 1 ') AS text", "lang", "source", "n_chars"))
     agrees(spark, "tx39_hook_closing", d)
+
+
+def test_question_blocks_draw_each_number_once(spark, monkeypatch):
+    """A try costs its draws: no number is drawn again wherever it is used, and no try gets an answer."""
+    made, kept = [], folds.accepted
+    monkeypatch.setattr(folds, "accepted", lambda rows, *a: made.append(rows) or kept(rows, *a))
+    generators.question_blocks(spark.range(2).select(F.col("id").alias("seed")), 16)
+    assert "answer" not in made[0].columns
+    assert made[0]._jdf.queryExecution().optimizedPlan().toString().count("md5(") < 60

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kiteloom.operators.ranking import rank_within
 
 
 def largest_remainder(shares: DataFrame, by: Sequence[str], key: str, share: str, total: Column) -> DataFrame:
@@ -120,28 +125,109 @@ def mirror_clock(minutes: Column) -> Column:
     return F.pmod(360 - minutes, F.lit(720))
 
 
-def triangles(segments: DataFrame, figure: str, key: str) -> DataFrame:
+#: Segments of a block of a figure; a task holds three blocks and their crossings.
+SEGMENTS = 1024
+
+
+def triangles(segments: DataFrame, figure: str, key: str, block: int = SEGMENTS) -> DataFrame:
     """Number of triangles of each figure's segments (x1, y1, x2, y2); figures without any are absent.
 
     Three segments bound one if each two cross, within both, at three places that are
-    pairwise distinct and not on one line. Crossings are found once a pair.
+    pairwise distinct and not on one line. Segments of equal keys aren't compared.
+
+    A figure's segments are dealt into blocks by place, and a task counts the triangles of
+    three blocks: it holds the crossings of their pairs and makes no row for a crossing or a
+    triple, so what is exchanged is a segment once for each pair of other blocks, and what
+    leaves a task is one number. Time still grows with the cube of a figure's segments.
     """
+    plain = segments.select(F.col(figure).alias("figure"), F.col(key).cast("long").alias("key"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    placed = rank_within(plain.filter("figure IS NOT NULL AND key IS NOT NULL"), "figure", ["key", "x1", "y1", "x2", "y2"], "nth")
+    dealt = placed.withColumn("own", F.floor((F.col("nth") - 1) / block).cast("int"))
+    dealt = dealt.join(dealt.groupBy("figure").agg((F.max("own") + 1).alias("blocks")), "figure")
+    # the other two blocks of a task, the three of them in ascending order
+    others = F.expr("flatten(transform(sequence(0, blocks - 1), a -> transform(sequence(a, blocks - 1), b -> array_sort(array(own, a, b)))))")
+    tasks = dealt.withColumn("t", F.explode(F.array_distinct(others)))
+    rows = tasks.select("figure", *[F.get("t", F.lit(i)).alias(f"t{i}") for i in range(3)], "own", "nth", "key", "x1", "y1", "x2", "y2")
+    counted = rows.groupBy("figure", "t0", "t1", "t2").applyInArrow(_block_triangles, T.StructType([rows.schema["figure"], T.StructField("n", T.LongType())]))
+    found = counted.groupBy("figure").agg(F.sum("n").alias("triangles")).filter("triangles > 0")
+    return found.withColumnRenamed("figure", figure)
+
+
+def _crossings(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the segments a and b (rows of x1, y1, x2, y2): whether they cross, where, and the sine of their angle."""
+    eps = 1e-9
+    (x1, y1, x2, y2), (x3, y3, x4, y4) = [c[:, None] for c in a.T], [c[None] for c in b.T]
+    dxa, dya, dxb, dyb, gx, gy = x1 - x2, y1 - y2, x3 - x4, y3 - y4, x1 - x3, y1 - y3
+    with np.errstate(all="ignore"):
+        across = dxa * dyb - dya * dxb
+        t, u = (gx * dyb - gy * dxb) / across, (gx * dya - gy * dxa) / across
+        met = (np.abs(across) >= eps) & (t >= -eps) & (t <= 1 + eps) & (u >= -eps) & (u <= 1 + eps)
+        return met, x1 - t * dxa, y1 - t * dya, np.abs(across) / (np.hypot(dxa, dya) * np.hypot(dxb, dyb))
+
+
+def _bound(u: tuple, v: tuple, w: tuple) -> np.ndarray:
+    """Whether three places (x, y) are pairwise distinct and not on one line."""
     eps, apart = 1e-9, 1e-6
-    one, two = (segments.select(figure, *[F.col(c).cast("double" if c != key else "long").alias(f"{c}_{n}") for c in (key, "x1", "y1", "x2", "y2")]) for n in "ab")
-    dxa, dya, dxb, dyb = (F.expr(e) for e in ("x1_a - x2_a", "y1_a - y2_a", "x1_b - x2_b", "y1_b - y2_b"))
-    across, gx, gy = dxa * dyb - dya * dxb, F.expr("x1_a - x1_b"), F.expr("y1_a - y1_b")
-    pairs = one.join(two, figure).filter(F.col(f"{key}_a") < F.col(f"{key}_b")).withColumn("across", across).filter(F.abs("across") >= eps)
-    pairs = pairs.withColumns({"t": F.try_divide(gx * dyb - gy * dxb, "across"), "u": F.try_divide(gx * dya - gy * dxa, "across")})
-    pairs = pairs.filter(F.col("t").between(-eps, 1 + eps) & F.col("u").between(-eps, 1 + eps))
-    cross = pairs.select(figure, F.col(f"{key}_a").alias("i"), F.col(f"{key}_b").alias("j"), (F.col("x1_a") - F.col("t") * dxa).alias("x"), (F.col("y1_a") - F.col("t") * dya).alias("y"))
-
-    def named(i: str, j: str, n: int) -> DataFrame:
-        return cross.select(figure, F.col("i").alias(i), F.col("j").alias(j), F.col("x").alias(f"px{n}"), F.col("y").alias(f"py{n}"))
-
-    three = named("a", "b", 0).join(named("b", "c", 1), [figure, "b"]).join(named("a", "c", 2), [figure, "a", "c"])
-    differ = [(F.abs(F.col(f"px{m}") - F.col(f"px{n}")) >= apart) | (F.abs(F.col(f"py{m}") - F.col(f"py{n}")) >= apart) for m, n in ((0, 1), (1, 2), (0, 2))]
-    area = F.abs(F.expr("(px1 - px0) * (py2 - py0) - (px2 - px0) * (py1 - py0)"))
-    return three.filter(differ[0] & differ[1] & differ[2] & (area >= eps)).groupBy(figure).agg(F.count(F.lit(1)).alias("triangles"))
+    differ = lambda m, n: (np.abs(m[0] - n[0]) >= apart) | (np.abs(m[1] - n[1]) >= apart)
+    return (np.abs((v[0] - u[0]) * (w[1] - u[1]) - (w[0] - u[0]) * (v[1] - u[1])) >= eps) & differ(u, v) & differ(v, w) & differ(u, w)
+
+
+def _near(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places i and j of the pairs with |x[i] - y[j]| < far[i]."""
+    order = np.argsort(y)
+    low, high = np.searchsorted(y[order], x - far, "left"), np.searchsorted(y[order], x + far, "right")
+    n = high - low
+    j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    return np.repeat(np.arange(len(x)), n), order[j]
+
+
+def _block_triangles(rows: pa.Table) -> pa.Table:
+    """The triangles whose segments, by place, lie in the blocks t0, t1 and t2 of a figure.
+
+    With d between the crossings of a with b and with c, the other sides are at least d
+    times the sine of a's angles with b and c, and twice the area d squared times both: so
+    where d is large against these, the triangle is one for sure, and a product of matrices
+    counts it. What is near, or crosses at a tiny angle, is judged one by one.
+    """
+    rows = rows.sort_by("nth")
+    own, key = rows["own"].to_numpy(), rows["key"].to_numpy()
+    ends = np.stack([rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1).astype(np.float64)
+    at = [np.flatnonzero(own == rows[f"t{i}"][0].as_py()) for i in range(3)]
+    clear = 1e-4 * max(1.0, float(np.abs(ends).max()))
+
+    def pair(i: int, j: int) -> tuple[np.ndarray, ...]:
+        met, x, y, sine = _crossings(ends[at[i]], ends[at[j]])
+        met &= key[at[i]][:, None] < key[at[j]][None]
+        return met, x, y, sine, met & (sine >= 1e-3)
+
+    (m01, x01, y01, s01, p01), (m02, x02, y02, s02, p02), (m12, x12, y12, _, p12) = pair(0, 1), pair(0, 2), pair(1, 2)
+    odd12 = bool((m12 & ~p12).any())
+    sure = (p01.astype(np.float32) @ p12.astype(np.float32))[p02]  # each a whole number of at most a block
+    total = int(sure.sum(dtype=np.float64))
+    first = ends[at[0]]
+    for a in range(len(first)):
+        b, c = np.flatnonzero(p01[a]), np.flatnonzero(p02[a])
+        if len(b) and len(c):
+            along = first[a, 2:] - first[a, :2]
+            along /= np.hypot(*along)
+            tb, tc = x01[a, b] * along[0] + y01[a, b] * along[1], x02[a, c] * along[0] + y02[a, c] * along[1]
+            fb, fc = clear / s01[a, b], clear / s02[a, c]
+            i, j = _near(tb, tc, fb)
+            k, h = _near(tc, tb, fc)
+            fresh = np.abs(tb[h] - tc[k]) >= fb[h]  # not found from the other side
+            i, j = np.concatenate([i, h[fresh]]), np.concatenate([j, k[fresh]])
+            inner = np.abs(tb[i] - tc[j]) < np.maximum(fb[i], fc[j])
+            p, q = b[i[inner]], c[j[inner]]
+            held = p12[p, q]
+            p, q = p[held], q[held]
+            total -= int((~_bound((x01[a, p], y01[a, p]), (x12[p, q], y12[p, q]), (x02[a, q], y02[a, q]))).sum())
+        b, c = np.flatnonzero(m01[a]), np.flatnonzero(m02[a])
+        if len(b) and len(c) and (odd12 or not (p01[a, b].all() and p02[a, c].all())):
+            met = np.ix_(b, c)
+            i, j = np.nonzero(m12[met] & ~(p12[met] & p01[a, b][:, None] & p02[a, c][None]))
+            p, q = b[i], c[j]
+            total += int(_bound((x01[a, p], y01[a, p]), (x12[p, q], y12[p, q]), (x02[a, q], y02[a, q])).sum())
+    return pa.table({"figure": rows["figure"].slice(0, 1), "n": pa.array([total], pa.int64())})
 
 
 def batch_replies(replies: DataFrame, by: Sequence[str], raw: str, sections: Column, fields: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
-from kiteloom.operators import folds, generators
+from kiteloom.operators import folds, generators, planning
 from kiteloom.plans import registry
 from kiteloom.sources.tables import table
 from tests.compare import difference, oracle
@@ -51,3 +51,22 @@ def test_question_blocks_draw_each_number_once(spark, monkeypatch):
     generators.question_blocks(spark.range(2).select(F.col("id").alias("seed")), 16)
     assert "answer" not in made[0].columns
     assert made[0]._jdf.queryExecution().optimizedPlan().toString().count("md5(") < 60
+
+
+def test_triangles_across_blocks(spark):
+    """Blocks of seven segments count as the SQL does, concurrent and nearly parallel segments among them, and no crossing is a row."""
+    con = oracle(SF)
+    sides = "(id * 7919 + id // 3) % 11 AS x1, (id * 104729) % 13 AS y1, (id * 31 + id // 7) % 17 AS x2, (id * 57) % 19 AS y2"
+    con.execute(f"CREATE TABLE s AS SELECT figure::BIGINT AS figure, id::BIGINT AS id, x1::DOUBLE + CASE WHEN id % 5 = 0 THEN 0.0001 ELSE 0 END AS x1, y1::DOUBLE AS y1, x2::DOUBLE AS x2, y2::DOUBLE AS y2 FROM (SELECT id % 2 AS figure, id, {sides} FROM range(90) t(id))")
+    want = dict(con.execute(registry.oracle_sql()["rg14_triangle_count"].replace(_segments(), "SELECT * FROM s")).fetchall())
+    rows = spark.createDataFrame(con.execute("SELECT * FROM s").fetchall(), "figure long, id long, x1 double, y1 double, x2 double, y2 double")
+    for block in (7, 1024):
+        got = planning.triangles(rows, "figure", "id", block)
+        assert {r["figure"]: r["triangles"] for r in got.collect()} == want
+    assert "px0" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _segments() -> str:
+    from kiteloom.plans.planning_queries import _SEGMENTS
+
+    return _SEGMENTS

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks a core that write a file a row.
+TASKS = 4
+
+
 def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Old rows of keys that ``new`` lacks, with all of ``new``."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
@@ -35,8 +39,13 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
 
 
 def write_each(rows: DataFrame, path: str, column: str) -> None:
-    """A file a row, with the row's text."""
-    rows.select(F.col(column).alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
+    """A file a row, with the row's text.
+
+    A file costs far more than its row, so rows are dealt over all cores however few
+    partitions they come in.
+    """
+    dealt = rows.select(F.col(column).alias("value")).repartition(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+    dealt.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
 def write_json_arrays(rows: DataFrame, path: str, size: int = 5000) -> None:

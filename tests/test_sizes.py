@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kiteloom.operators import folds, generators, planning
 from kiteloom.plans import registry
+from kiteloom.sources import files, sinks
 from kiteloom.sources.tables import table
 from tests.compare import difference, oracle
 
@@ -53,6 +54,14 @@ def test_question_blocks_draw_each_number_once(spark, monkeypatch):
     assert made[0]._jdf.queryExecution().optimizedPlan().toString().count("md5(") < 60
 
 
+def test_a_file_each_is_written_by_many_tasks(spark, tmp_path):
+    rows = spark.range(64).coalesce(1).select(F.concat(F.lit('{"job_id": "'), "id", F.lit('"}')).alias("record"))
+    sinks.write_each(rows, f"{tmp_path}/jobs", "record")
+    names = [p.name for p in (tmp_path / "jobs").iterdir() if p.name.startswith("part-")]
+    assert len(names) == 64 and len({n[:10] for n in names}) > 4
+    assert sorted(r["job_id"] for r in files.read_jobs(spark, f"{tmp_path}/jobs").collect()) == sorted(map(str, range(64)))
+
+
 def test_triangles_across_blocks(spark):
     """Blocks of seven segments count as the SQL does, concurrent and nearly parallel segments among them, and no crossing is a row."""
     con = oracle(SF)
